@@ -1,0 +1,4 @@
+"""Registered queries of the panel operators, and their SQL."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
