@@ -17,3 +17,25 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hits using (doc_id) left join names using (doc_id)
 """
+
+def _op1() -> str:
+    from panelyard.llm.licences import TEMPLATES
+
+    rows = ", ".join(f"({k}, '{label}', '{text}', {a}, {b}, {str(base).lower()})" for k, (label, text, a, b, base) in enumerate(TEMPLATES))
+    return rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+t as (select k, label, string_split(text, ' ') as tw, a, b, base from (values {rows}) v(k, label, text, a, b, base)),
+starts as (select doc_id, w, i from (select doc_id, w, unnest(range(0, len(w))) as i from d) where w[i + 1] in (select tw[a + 1] from t)),
+places as (
+    select doc_id, label, base, i, list_sum(list_transform(range(0, len(tw)), lambda p: if(i - a + p >= 0 and w[i - a + p + 1] = tw[p + 1], 1, 0))) / len(tw) as share
+    from starts join t on w[i + 1] = tw[a + 1] and w[i + 1 : i + b - a] = tw[a + 1 : b]),
+g as (select doc_id, count(*) filter (base) as n_base, min(i) filter (base) as first_word, max(i) filter (base) as last_word,
+      string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score
+      from places group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from d left join g using (doc_id)
+"""
+
+
+OP1 = _op1()
