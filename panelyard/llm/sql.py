@@ -39,3 +39,36 @@ from d left join g using (doc_id)
 
 
 OP1 = _op1()
+
+_ASSIGN = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + """)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _op4() -> str:
+    from panelyard.llm.secrets import COPIED_OWNERS, KINDS, LIVE_CHARACTERS
+
+    parts = []
+    for k, (name, pattern, _, group, least) in enumerate(KINDS):
+        pattern = _ASSIGN if name == "assign" else pattern
+        parts.append(f"select row_id, {k} as k, '{name}' as kind, {least} as least, regexp_extract_all(text, '({pattern})', 1) as m, regexp_extract_all(text, '({pattern})', {group + 1 if group else 1}) as v, string_split_regex(text, '{pattern}') as gaps from d".replace("string_split_regex(text, '" + pattern + "')", "string_split_regex(text, '" + pattern.replace("(" + pattern[1:].split(")")[0] + ")", "(?:" + pattern[1:].split(")")[0] + ")", 1).replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+") + "')" if name == "assign" else "string_split_regex(text, '" + pattern + "')"))
+    places = " union all ".join(parts)
+    return rf"""
+with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as text, coalesce(source, '') as owner, coalesce(source, '') || '/' || coalesce(lang, '') as repository from documents),
+p as ({places}),
+u as (select row_id, k, kind, least, unnest(range(0, len(m))) as i, m, v, gaps from p where len(m) > 0),
+s as (select row_id, k, kind, v[i + 1] as value, m[i + 1] as whole, least,
+      (list_sum(list_transform(gaps[1 : i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i], lambda x: length(x))), 0))::bigint as a from u),
+f as (select *, a + length(whole) as b from s where length(value) >= least),
+n as (select row_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+      string_agg(kind || ':' || a || ':' || b, ',' order by a, k) filter (k < 3) as base, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) as spans from f group by row_id),
+e as (select distinct row_id, value, b - length(value) as at from f),
+o as (select value, count(distinct owner) as owners from e join d using (row_id) group by value),
+c as (select row_id, count(*) filter (owners >= {COPIED_OWNERS}) as n_copied,
+      count(*) filter (owners < {COPIED_OWNERS} and len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS}) as n_live, max(owners) as max_owners
+      from e join o using (value) group by row_id)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256,
+       coalesce(spans, '') as spans, coalesce(n_copied, 0)::bigint as n_copied, coalesce(n_live, 0)::bigint as n_live, coalesce(max_owners, 0)::bigint as max_owners
+from d left join n using (row_id) left join c using (row_id)
+"""
+
+
+OP4 = _op4()
