@@ -27,11 +27,12 @@ BLANKS = _table(lambda b: b != 32 and not 9 <= b <= 13)
 
 @dataclass
 class Words:
-    """ids: each word's index in ``spellings``; document d has the words ``first[d]:first[d + 1]``."""
+    """ids: each word's index in ``spellings``; document d has the words ``first[d]:first[d + 1]``; starts: words' first bytes."""
 
     ids: np.ndarray
     spellings: pa.BinaryArray
     first: np.ndarray
+    starts: np.ndarray
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -40,7 +41,7 @@ class Words:
 def words(texts: pa.StringArray, table: np.ndarray = LETTERS) -> Words:
     data, begins = raw(texts)
     if len(data) == 0:
-        return Words(np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(len(texts) + 1, np.int64))
+        return Words(np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64))
     low = table[data]
     inside = low != 0x20
     if table is BLANKS:
@@ -56,4 +57,4 @@ def words(texts: pa.StringArray, table: np.ndarray = LETTERS) -> Words:
     np.cumsum(stops - starts, out=at[1:])
     column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(low[inside]))])
     coded = column.dictionary_encode()
-    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, np.searchsorted(starts, begins))
+    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, np.searchsorted(starts, begins), starts)
