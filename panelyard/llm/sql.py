@@ -72,3 +72,25 @@ from d left join n using (row_id) left join c using (row_id)
 
 
 OP4 = _op4()
+
+OP5 = r"""
+with c as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k,
+      length('<|turn|>') + length(role) + 1 + length(text) + len(regexp_extract_all(text, '[<\[]\\*(\|turn\|>|\|end\|>|s>|/s>|INST\]|/INST\])')) + length('<|end|>') + 1 as chars from c),
+p as (select *, sum(chars) over (partition by conv_id order by k) as upto, sum(chars) over (partition by conv_id) as whole from n)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
+       (coalesce(sum(upto) filter (role = 'assistant'), 0) + max(whole) - coalesce(max(upto) filter (role = 'assistant'), 0))::bigint as formatted_chars,
+       count(*) filter (role = 'assistant') as n_examples
+from p group by conv_id
+"""
+
+OP7 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256.0 * x::double)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+select q.vec_id as query_id, row_number() over (partition by q.vec_id order by list_inner_product(q.v, c.v) desc, c.vec_id)::int as rank, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+qualify rank <= 5
+"""
