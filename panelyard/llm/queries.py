@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import bpe, chat, decontaminate, licences, quality, secrets, sql, token_files, topk, toxicity
+from panelyard.llm import bpe, chat, decontaminate, licences, near_dup, quality, secrets, sql, token_files, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_token_files": op2_token_files,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_top_k": op7_top_k,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
+    "op10_near_dup": op10_near_dup,
 }
 
 ORACLE: dict[str, str] = {
@@ -68,4 +73,5 @@ ORACLE: dict[str, str] = {
     "op5_chat": sql.OP5,
     "op7_top_k": sql.OP7,
     "op9_decontaminate": sql.OP9,
+    "op10_near_dup": sql.OP10,
 }

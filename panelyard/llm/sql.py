@@ -94,3 +94,18 @@ select q.vec_id as query_id, row_number() over (partition by q.vec_id order by l
 from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
 qualify rank <= 5
 """
+
+_BLANKS = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
+OP10 = rf"""
+with recursive d as (select doc_id, {_BLANKS} as w from documents),
+s as (select distinct doc_id, unnest(if(len(w) >= 5, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')), if(len(w) > 0, [array_to_string(w, ' ')], []))) as g from d),
+h as (select doc_id, hash(g) as g from s),
+n as (select doc_id, count(*) as n from h group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from h a join h b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+edge as (select a, b from link union select b, a from link),
+reach(a, b) as (select a, b from edge union select reach.a, edge.b from reach join edge on reach.b = edge.a),
+least as (select a, min(b) as m from reach group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id, doc_id = least(doc_id, coalesce(m, doc_id)) as kept
+from d left join n using (doc_id) left join least on a = doc_id
+"""
