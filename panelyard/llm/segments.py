@@ -1,22 +1,26 @@
 """Texts cut at places where every pre-tokenizer of the usual pattern cuts, and coded by their spellings.
 
-The pattern's alternatives hold a space only as their first character, before something that is not white space.  So a cut
-before a single ASCII space between two characters that are surely not white space never changes a text's tokens.  Cuts are
-made only where both neighbours are ASCII graphic characters or letters of the block U+00C0 to U+00FF; other places stay
-whole.  A batch's distinct segments are few beside its segments, so each is tokenized once.
+The pattern's alternatives hold a space only as their first character, before something that is not white space; a run of
+letters ends where punctuation begins; a single line feed between visible characters stands alone.  So a cut there never
+changes a text's tokens.  Cuts are made only where the neighbours are ASCII or letters of the block U+00C0 to U+00FF; other
+places stay whole.  A batch's distinct segments are few beside its segments, so each is tokenized once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
 from panelyard.llm.shared import raw
 
-_GRAPHIC = np.zeros(256, bool)
-_GRAPHIC[0x21:0x7F] = True
+_VISIBLE, _MARK, _LETTER = 1, 2, 3  # digits and other visible characters, ASCII punctuation, letters
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[0x30:0x3A] = _VISIBLE
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
 
 
 @dataclass
@@ -33,13 +37,19 @@ def segments(texts: pa.StringArray) -> Segments:
     n = len(data)
     if n == 0:
         return Segments(np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(len(texts) + 1, np.int64))
-    space = np.flatnonzero(data == 0x20)
-    space = space[(space > 0) & (space < n - 1)]
-    before, after = data[space - 1], data[space + 1]
-    solid = _GRAPHIC[before] | ((before >= 0x80) & (space > 1) & (data[space - 2] == 0xC3))
-    solid &= _GRAPHIC[after] | (after == 0xC3)
+    kind = _KIND[data]
+    wide = np.flatnonzero(data == 0xC3)
+    wide = wide[wide < n - 1]
+    letter = (data[wide + 1] != 0x97) & (data[wide + 1] != 0xB7)  # not the signs of multiplication and division
+    kind[wide[letter]] = kind[wide[letter] + 1] = _LETTER
+    kind[wide[~letter]] = kind[wide[~letter] + 1] = _VISIBLE
+    seen = kind >= _VISIBLE
     cut = np.zeros(n + 1, bool)
-    cut[space[solid]] = True
+    cut[1 : n - 1] = (data[1:-1] == 0x20) & seen[:-2] & seen[2:]
+    line = np.flatnonzero(data[1:-1] == 0x0A) + 1
+    line = line[seen[line - 1] & seen[line + 1]]
+    cut[line] = cut[line + 1] = True
+    cut[1:n] |= (kind[:-1] == _LETTER) & (kind[1:] == _MARK)
     cut[begins] = True
     cut[n] = False
     starts = np.flatnonzero(cut)
@@ -61,11 +71,11 @@ def gather(values: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> tuple[np.nd
 class Coder:
     """Token ids of texts by way of their segments; spellings seen before are not encoded again.
 
-    encode: from a list of spellings to their ids one after the other and the number of ids of each.  ``most`` spellings are
-    remembered at most; then the memory starts anew, which only costs time.
+    encode: from a list of spellings to their ids one after the other and the number of ids of each.  Spellings that a slice
+    holds twice or more are remembered, ``most`` of them; then the memory starts anew, which only costs time.
     """
 
-    def __init__(self, encode, most: int = 250_000):
+    def __init__(self, encode, most: int = 400_000):
         self.encode, self.most = encode, most
         self._forget()
 
@@ -77,16 +87,22 @@ class Coder:
         """All ids one after the other, and where each text's ids begin (one more than texts)."""
         found = segments(texts)
         spellings = found.spellings.to_pylist()
-        slots = np.fromiter((self.known.get(s, -1) for s in spellings), np.int64, len(spellings))
+        slots = np.fromiter(map(self.known.get, spellings, repeat(-1)), np.int64, len(spellings))
+        values, ends = self.values, self.ends
         if (slots < 0).any():
-            if len(self.known) + int((slots < 0).sum()) > self.most:
-                self._forget()
-                slots[:] = -1
+            often = np.bincount(found.ids, minlength=len(spellings)) > 1
             new = np.flatnonzero(slots < 0)
-            values, sizes = self.encode([spellings[k] for k in new.tolist()])
-            slots[new] = len(self.known) + np.arange(len(new))
-            self.known.update(zip((spellings[k] for k in new.tolist()), slots[new].tolist(), strict=True))
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-            self.values = np.concatenate([self.values, values.astype(np.uint32)])
-        ids, stop = gather(self.values, self.ends, slots[found.ids])
+            new = new[np.argsort(~often[new], kind="stable")]  # what is worth remembering first
+            own = [spellings[k] for k in new.tolist()]
+            fresh, sizes = self.encode(own)
+            slots[new] = len(ends) - 1 + np.arange(len(new))
+            values, ends = np.concatenate([values, fresh.astype(np.uint32)]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
+            keep = int(often[new].sum())
+            if len(self.known) + keep > self.most:
+                self._forget()
+            else:
+                self.known.update(zip(own[:keep], slots[new[:keep]].tolist(), strict=True))
+                self.ends = ends[: len(self.ends) + keep].copy()
+                self.values = values[: self.ends[-1]].copy()
+        ids, stop = gather(values, ends, slots[found.ids])
         return ids, np.concatenate([[0], stop])[found.first]
