@@ -39,11 +39,13 @@ def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with j as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, o_totalprice from lineitem join orders on o_orderkey = l_orderkey),
-w as (select *, row_number() over k = count(*) over (partition by l_orderkey) as last, o_totalprice * l_quantity / sum(l_quantity) over (partition by l_orderkey) as s from j window k as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity))
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when last then o_totalprice - coalesce(sum(s) filter (not last) over (partition by l_orderkey), 0) else s end, 4) as share from w
+t as (select l_orderkey, sum(l_quantity) as q, count(*) as n from j group by 1),
+w as (select j.*, row_number() over (partition by j.l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) = n as last, o_totalprice * l_quantity / q as s from j join t on t.l_orderkey = j.l_orderkey),
+b as (select l_orderkey, sum(s) as others from w where not last group by 1)
+select w.l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when last then o_totalprice - coalesce(others, 0) else s end, 7) as share from w left join b on b.l_orderkey = w.l_orderkey
 """)
 def proportional_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shares(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("share", 4).alias("share"))
+    return _shares(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("share", 7).alias("share"))
 
 
 @query("select o_orderkey as l_orderkey, '' as rule from orders where false")
@@ -154,12 +156,12 @@ def cutoff_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 with {_RELATION}
 select o_custkey, count(*) filter (relation = 'Before') as n_before, count(*) filter (relation = 'After') as n_after, count(*) filter (relation = 'Mixed') as n_mixed, count(*) filter (relation = 'Unknown') as n_unknown,
-       round(avg(o_totalprice) filter (relation = 'Before'), 4) as mean_before, round(avg(o_totalprice) filter (relation = 'After'), 4) as mean_after,
-       round(avg(o_totalprice) filter (relation = 'Before') - avg(o_totalprice) filter (relation = 'After'), 4) as difference from r group by o_custkey
+       round(avg(o_totalprice) filter (relation = 'Before'), 7) as mean_before, round(avg(o_totalprice) filter (relation = 'After'), 7) as mean_after,
+       round(avg(o_totalprice) filter (relation = 'Before') - avg(o_totalprice) filter (relation = 'After'), 7) as difference from r group by o_custkey
 """)
 def cohort_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = strata.cohort_difference(_relations(spark, sf_dir), ["o_custkey"], "relation", F.col("o_totalprice"))
-    return out.withColumns({c: F.round(c, 4) for c in ("mean_before", "mean_after", "difference")})
+    return out.withColumns({c: F.round(c, 7) for c in ("mean_before", "mean_after", "difference")})
 
 
 def _seconds(ts: str) -> Column:

@@ -129,13 +129,13 @@ def preferred_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 with t as (select s_nationkey, count(*) as n, avg(s_acctbal) as mean, stddev_samp(s_acctbal) as sd, min(s_acctbal) = max(s_acctbal) as steady from supplier group by 1),
 c as (select * from (values """ + ", ".join(f"({d}, {stats.t_quantile(0.975, d)!r})" for d in range(1, 400)) + """) v(df, t))
-select s_nationkey, n, round(mean, 4) as mean, case when n >= 2 and not steady then round(mean - t * sd / sqrt(n), 4) end as ci_low, case when n >= 2 and not steady then round(mean + t * sd / sqrt(n), 4) end as ci_high,
+select s_nationkey, n, round(mean, 7) as mean, case when n >= 2 and not steady then round(mean - t * sd / sqrt(n), 7) end as ci_low, case when n >= 2 and not steady then round(mean + t * sd / sqrt(n), 7) end as ci_high,
        case when n < 2 then 'insufficient' when steady then 'constant_scores' else 'estimated' end as status
 from t left join c on df = n - 1
 """)
 def t_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.t_interval(table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_acctbal")
-    return out.select("s_nationkey", "n", *(F.round(c, 4).alias(c) for c in ("mean", "ci_low", "ci_high")), "status")
+    return out.select("s_nationkey", "n", *(F.round(c, 7).alias(c) for c in ("mean", "ci_low", "ci_high")), "status")
 
 
 @query()
