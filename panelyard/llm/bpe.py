@@ -184,7 +184,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch, texts in text_slices(batches):
             ids, at = _coder(path, pattern).code(texts)
             whole = ids.astype("<u4").tobytes()
+            del ids
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([whole[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "ids"])
+        _coder(path, pattern).forget()  # the worker may serve other stages next
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

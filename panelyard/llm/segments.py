@@ -75,11 +75,11 @@ class Coder:
     holds twice or more are remembered, ``most`` of them; then the memory starts anew, which only costs time.
     """
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 200_000):
         self.encode, self.most = encode, most
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.values, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -99,7 +99,7 @@ class Coder:
             values, ends = np.concatenate([values, fresh.astype(np.uint32)]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
             keep = int(often[new].sum())
             if len(self.known) + keep > self.most:
-                self._forget()
+                self.forget()
             else:
                 self.known.update(zip(own[:keep], slots[new[:keep]].tolist(), strict=True))
                 self.ends = ends[: len(self.ends) + keep].copy()

@@ -165,6 +165,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
             shard = np.searchsorted(bounds, pc.fill_null(doc_ids, -(2**63)).to_numpy(zero_copy_only=False), side="right")
             packed = [whole[4 * a : 4 * b] + end for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc_ids, pa.array(packed, pa.binary())], names=["shard", "doc_id", "ids"])
+        _coder(path).forget()  # the worker may serve other stages next
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _filesystem(folder)
@@ -175,7 +176,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
                     store.create_dir(at, recursive=True)
                     number, n_docs, n_tokens = shard, 0, 0
                     name, own = f"shard-{shard:08d}.tok.zst", f"{at}/.{uuid.uuid4().hex}"
-                    out = store.open_output_stream(own)
+                    out = store.open_output_stream(own, compression=None)
                     writer = FileWriter(out)
                 writer.add(doc_id, ids)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4

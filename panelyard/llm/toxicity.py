@@ -23,7 +23,7 @@ from panelyard.llm.words import words
 
 #: Labelled documents that are fitted at most, and the text bytes each may have to be chosen; they come in the order of a
 #: hash of their ids.  Both bounds concern the fit alone.
-TRAIN_DOCUMENTS, TRAIN_BYTES = 8000, 20_000
+TRAIN_DOCUMENTS, TRAIN_BYTES = 5000, 20_000
 #: Documents of the sample that a word or prefix must stand in to get a weight.
 LEAST_DOCUMENTS = 3
 #: Standard errors that a feature's log odds over documents must lie above the labels' to get a weight.
@@ -103,15 +103,36 @@ class Model:
         return -np.expm1(np.bincount(own.doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n)), p
 
 
+def _sliced(texts: pa.StringArray) -> Iterator[tuple[int, pa.RecordBatch]]:
+    done = 0
+    for part, own in text_slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+        yield done, pa.RecordBatch.from_arrays([own], names=["text"])
+        done += part.num_rows
+
+
+def _joined(parts: list[tuple[int, Sentences]]) -> Sentences:
+    """Sentences of consecutive slices as one; a spelling that several slices hold stands several times."""
+    if not parts:
+        return sentences(pa.array([], pa.string()))
+    spelled, numbered = np.cumsum([0] + [len(x.features) for _, x in parts]), np.cumsum([0] + [len(x.doc) for _, x in parts])
+    return Sentences(
+        np.concatenate([x.word + a for (_, x), a in zip(parts, spelled, strict=False)]),
+        np.concatenate([x.features for _, x in parts]),
+        np.concatenate([x.sentence + a for (_, x), a in zip(parts, numbered, strict=False)]),
+        np.concatenate([x.doc + first for first, x in parts]),
+        np.concatenate([x.start for _, x in parts]),
+        np.concatenate([x.stop for _, x in parts]),
+    )
+
+
 def fit(texts: pa.StringArray, labels: np.ndarray) -> Model:
     """Full-batch Adam on the noisy-or likelihood; the same rows in the same order give the same weights."""
-    own, n = sentences(texts), len(texts)
+    own, n = _joined([(k, sentences(part["text"])) for k, part in _sliced(texts)]), len(texts)
     hashes, feature = np.unique(own.features, return_inverse=True)
     feature = feature.reshape(own.features.shape)
     held = np.unique(own.doc[own.sentence] * (len(own.features) + 1) + own.word)
-    pairs = (held // (len(own.features) + 1))[:, None] * (len(hashes) + 1) + feature[held % (len(own.features) + 1)]
+    pairs = np.unique((held // (len(own.features) + 1))[:, None] * (len(hashes) + 1) + feature[held % (len(own.features) + 1)])
     y = labels.astype(float)
-    pairs = np.unique(np.concatenate([pairs.ravel(), np.zeros(0, np.int64)]))
     doc, of = pairs // (len(hashes) + 1), pairs % (len(hashes) + 1)
     n_bad, n_all = np.bincount(of, y[doc], len(hashes)), np.bincount(of, minlength=len(hashes))
     odds = np.log((n_bad + 0.5) / (n_all - n_bad + 0.5)) - np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
