@@ -58,8 +58,13 @@ def _suspects(texts: pa.StringArray) -> np.ndarray:
             while k >= 0:
                 at.append(k)
                 k = inside.find(word, k + 1)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], _HEX[data], [False]]).astype(np.int8)))
-    runs = edge[::2][(edge[1::2] - edge[::2]) >= 24]
+    inside, first = _HEX[data], np.zeros(len(data) + 1, bool)
+    first[begins] = True  # a run ends where its text ends
+    start, stop = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1] | first[1:-1]
+    stop[:-1] &= ~inside[1:] | first[1:-1]
+    starts = np.flatnonzero(start)
+    runs = starts[np.flatnonzero(stop) - starts >= 23]
     out = np.zeros(len(texts), bool)
     out[np.searchsorted(begins, np.concatenate([np.array(at, np.int64), runs]), side="right") - 1] = True
     return out
