@@ -75,3 +75,13 @@ def slice_rows(df: DataFrame, order: list[Column], offset: int, most: int) -> Da
 def pending(work: DataFrame, done: DataFrame, key: list[str], order: list[Column], most: int) -> DataFrame:
     """Work that is not done yet, its first ``most`` rows: the limit counts new work only."""
     return work.join(done.select(*key), key, "left_anti").orderBy(*order).limit(most)
+
+
+def prefix_mismatches(expected: DataFrame, written: DataFrame, order: list[Column], key: str, written_order: list[Column]) -> DataFrame:
+    """Places where the i-th written record is not the i-th expected one: place, expected, written.
+
+    Fewer written records are fine (work resumes after them), more are not.
+    """
+    numbered = lambda df, by, name: df.select(F.row_number().over(Window.orderBy(*by)).alias("place"), F.col(key).alias(name))
+    both = numbered(written, written_order, "written").join(numbered(expected, order, "expected"), "place", "left")
+    return both.where(~F.col("written").eqNullSafe(F.col("expected"))).select("place", "expected", "written")

@@ -65,3 +65,20 @@ def budget_reserved(df: DataFrame, by: list[str], order: list[str], cost: str, b
     """Running cost within ``by``; adds spent (this row included) and within_budget."""
     spent = F.sum(cost).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("spent", spent).withColumn("within_budget", F.col("spent") <= budget)
+
+
+def attempt_totals(items: DataFrame, batch: str, tokens: str, receipt: str, partitioned: str) -> DataFrame:
+    """Tokens of a batch's attempts: known, total_tokens, total_source.
+
+    Item tokens are summed if all are known; else the batch's receipt stands for them, unless the batch was split over exports
+    (``partitioned``), whose receipt covers other rows too.  A receipt below what is known is inconsistent (null total).
+    """
+    g = items.groupBy(batch).agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("known"), F.bool_and(F.col(tokens).isNotNull()).alias("_all"), F.max(receipt).alias("_receipt"), F.bool_or(partitioned).alias("_split"))
+    source = F.when(F.col("_all"), "items").when(F.col("_split") | F.col("_receipt").isNull(), "unknown").when(F.col("_receipt") < F.col("known"), "inconsistent").otherwise("receipt")
+    total = F.when(source == "items", F.col("known")).when(source == "receipt", F.col("_receipt"))
+    return g.select(batch, "known", total.alias("total_tokens"), source.alias("total_source"))
+
+
+def invalid_truncations(df: DataFrame, finish: str, valid: str) -> DataFrame:
+    """Completed rows that stopped at the token limit without a valid answer."""
+    return df.where((F.col(finish) == "length") & ~F.coalesce(F.col(valid), F.lit(False)))

@@ -228,3 +228,33 @@ def ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("conv_id", F.size("p").cast("long").alias("n_parts"), F.sha2(whole, 256).alias("text_sha256"), F.char_length(whole).cast("long").alias("n_chars"), (last == F.size("p") - 1).alias("whole"))
 
 
+
+
+@query("""
+with i as (select user_id, case when event_id % 6 <> 0 then floor(value)::bigint end as t, user_id * 40 as receipt, user_id % 5 = 0 as split from events),
+g as (select user_id, coalesce(sum(t), 0)::bigint as known, count(t) = count(*) as every, max(receipt) as receipt, bool_or(split) as split from i group by 1),
+s as (select *, case when every then 'items' when split then 'unknown' when receipt < known then 'inconsistent' else 'receipt' end as total_source from g)
+select user_id, known, case total_source when 'items' then known when 'receipt' then receipt end as total_tokens, total_source from s
+""")
+def attempt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 6 != 0, F.floor("value").cast("long")).alias("t"), (F.col("user_id") * 40).alias("receipt"), (F.col("user_id") % 5 == 0).alias("split"))
+    return usage.attempt_totals(items, "user_id", "t", "receipt", "split")
+
+
+@query("""
+select event_id, event_type from events where event_type in ('view', 'signup') and value > 60 and not (value > 90)
+""")
+def invalid_truncations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_type").isin("view", "signup") & (F.col("value") > 60), "length").otherwise("stop").alias("finish"), (F.col("value") > 90).alias("valid"))
+    return usage.invalid_truncations(rows, "finish", "valid").select("event_id", "event_type")
+
+
+@query("""
+with e as (select row_number() over (order by s_nationkey, s_suppkey) as place, s_suppkey as expected from supplier), w as (select row_number() over (order by s_nationkey, s_suppkey) as place, s_suppkey + (s_nationkey = 4)::int as written from supplier where s_nationkey < 10)
+select place::int as place, expected, written from w left join e using (place) where written is distinct from expected
+""")
+def prefix_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.asc("s_nationkey"), F.asc("_id")]
+    suppliers = table(spark, sf_dir, "supplier").withColumn("_id", F.col("s_suppkey"))
+    written = suppliers.where("s_nationkey < 10").withColumn("s_suppkey", F.col("s_suppkey") + (F.col("s_nationkey") == 4).cast("int"))
+    return selection.prefix_mismatches(suppliers, written, order, "s_suppkey", order)

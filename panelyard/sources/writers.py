@@ -51,3 +51,8 @@ def set_digest(df: DataFrame, key: str) -> DataFrame:
     """
     each = canonical_lines(df, key).select("key", F.sha2("line", 256).alias("d"))
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "d"))), lambda x: x["d"]), "\n"), 256).alias("set_sha256"), F.count("*").alias("records"))
+
+
+def write_split(df: DataFrame, by: str, folder: str) -> None:
+    """One folder for each value of a column, so that readers of one value open its files only."""
+    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(folder)
