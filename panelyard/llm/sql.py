@@ -40,16 +40,21 @@ from d left join g using (doc_id)
 
 OP1 = _op1()
 
-_ASSIGN = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + """)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KEYWORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+#: The patterns of the secret scan in RE2, letters spelled out in either case; the value, where it is not the whole match, is
+#: what a group holds that is put in for the braces.
+_ASSIGN = f"""(?:{_KEYWORDS})["'']?\\x20*[:=]\\x20*["'']?{{}}"""
+_VALUE = "[A-Za-z0-9+/_.=-]+"
 
 
 def _op4() -> str:
     from panelyard.llm.secrets import COPIED_OWNERS, KINDS, LIVE_CHARACTERS
 
     parts = []
-    for k, (name, pattern, _, group, least) in enumerate(KINDS):
-        pattern = _ASSIGN if name == "assign" else pattern
-        parts.append(f"select row_id, {k} as k, '{name}' as kind, {least} as least, regexp_extract_all(text, '({pattern})', 1) as m, regexp_extract_all(text, '({pattern})', {group + 1 if group else 1}) as v, string_split_regex(text, '{pattern}') as gaps from d".replace("string_split_regex(text, '" + pattern + "')", "string_split_regex(text, '" + pattern.replace("(" + pattern[1:].split(")")[0] + ")", "(?:" + pattern[1:].split(")")[0] + ")", 1).replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+") + "')" if name == "assign" else "string_split_regex(text, '" + pattern + "')"))
+    for k, (name, pattern, _, _, least) in enumerate(KINDS):
+        plain, grouped = (_ASSIGN.format(_VALUE), _ASSIGN.format(f"({_VALUE})")) if name == "assign" else (pattern, f"({pattern})")
+        found = f"regexp_extract_all(text, '{plain}') as m, regexp_extract_all(text, '{grouped}', 1) as v, string_split_regex(text, '{plain}') as gaps"
+        parts.append(f"select row_id, {k} as k, '{name}' as kind, {least} as least, {found} from d")
     places = " union all ".join(parts)
     return rf"""
 with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as text, coalesce(source, '') as owner, coalesce(source, '') || '/' || coalesce(lang, '') as repository from documents),
