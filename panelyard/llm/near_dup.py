@@ -3,12 +3,15 @@
 1.  Every text's set of five-word shingles (64-bit hashes) becomes a SetSketch: register i holds the truncated, exponentially
     spaced level of the least exponential variate that the i-th hash gives to any element.  Registers merge by maximum.
     Texts with the same set are one node from here on, so copies cost nothing further.
-2.  Register values are banded.  In each band's bucket every node is paired with the bucket's two ends by id (a star each),
-    not with each other.  A pair's similarity is estimated jointly, by maximum likelihood over the counts of larger, smaller
+2.  Register values are banded.  In each band's bucket every node is paired with two of its nodes (a star each), the one of
+    the least number and the hub, whose buckets hold the most nodes, not with each other.  The hub is the text that the
+    others were made from, where there is one: it is nearer to all of them than they are to each other.  A pair's similarity is estimated jointly, by maximum likelihood over the counts of larger, smaller
     and equal registers given both set sizes; clear misses go, the rest is verified on full sets.
-3.  Verified links are contracted to components.  Buckets that still hold several components pair their nodes across
-    components, in blocks so that no bucket must fit a task; estimate and verify these too, and contract again.  A pair in
-    one bucket is then either linked by a path or was estimated, so stars lose no connection.
+3.  Verified links are contracted to components.  Buckets that still hold several components compare nodes across them:
+    small ones by pairs that are estimated and verified as before, large ones in blocks of registers and full sets, so that no
+    bucket must fit a task and no pair leaves it but a verified link.  A block keeps its own components while it goes, so one
+    link joins two of them and their other pairs are passed over.  A pair in one bucket is then either linked by a path or
+    was estimated, so stars lose no connection.
 
 The chance that a pair of similarity 0.75 shares none of 32 bands of 4 registers is (1 - 0.75 ** 4) ** 32, about 5e-6.
 """
@@ -31,10 +34,10 @@ SHINGLE = 5
 REGISTERS, BAND = 128, 4
 #: SetSketch: base of the levels, rate of the variates, highest level.
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
-#: Links are 100 * intersection >= PERCENT * union; estimates below MAYBE (5 standard errors lower) are not verified.
-PERCENT, MAYBE = 75, 0.55
-#: Nodes of a bucket that meet in one task when components are paired.
-BUCKET_BLOCK = 1000
+#: Links are 100 * intersection >= PERCENT * union; estimates below MAYBE (4.4 standard errors lower, missed at 5e-6) are not verified.
+PERCENT, MAYBE = 75, 0.58
+#: Buckets of up to SMALL_BUCKET nodes pair them by a join; larger ones meet in blocks of BUCKET_BLOCK nodes.
+SMALL_BUCKET, BUCKET_BLOCK = 16, 1000
 _MIX = np.random.default_rng(20_240_117)
 _MULTIPLY = (_MIX.integers(0, 2**32, (REGISTERS, 2), np.uint64) | 1).astype(np.uint32)
 
@@ -98,6 +101,21 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
     return (lo + hi) / 2
 
 
+def reaches(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, least: float) -> np.ndarray:
+    """Whether :func:`estimate` is at least ``least``: the likelihood, being concave, still rises there."""
+    more, less = (left > right).sum(1), (left < right).sum(1)
+    same = left.shape[1] - more - less
+    u = n_left / (n_left + n_right)
+    v = 1 - u
+    c = (BASE - 1) / BASE
+    p = lambda x: -np.log1p(-x * c) / np.log(BASE)
+    slope = lambda x: c / (1 - x * c) / np.log(BASE)
+    x, y = np.maximum(u - v * least, 1e-12), np.maximum(v - u * least, 1e-12)
+    a, b, da, db = p(x), p(y), -v * slope(x), -u * slope(y)
+    rising = more * da / a + less * db / b - same * (da + db) / np.maximum(1 - a - b, 1e-12) >= 0
+    return rising & (np.minimum(u / v, v / u) >= least)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in text_slices(batches):
         sets = shingle_sets(texts)
@@ -124,17 +142,17 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, whole.num_rows, 4096):
             batch = whole.slice(k, 4096)
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("registers_a", "registers_b"))
-            j = estimate(left, right, batch.column("n_a").to_numpy().astype(float), batch.column("n_b").to_numpy().astype(float))
-            near = pa.array(j >= MAYBE)
+            near = pa.array(reaches(left, right, batch.column("n_a").to_numpy().astype(float), batch.column("n_b").to_numpy().astype(float), MAYBE))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], names=["a", "b"])
 
 
-def _with_registers(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose estimate is not a clear miss."""
     for side in ("a", "b"):
         own = nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("registers").alias(f"registers_{side}"))
         pairs = pairs.join(own, side)
     sized = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")  # else the union is too large already
-    return pairs.where(sized)
+    return pairs.where(sized).select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(_likely, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,24 +163,34 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(100 * common >= PERCENT * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """node, root for every node of the links (a, b): the smallest node it is connected with.
+def components(links: DataFrame, labels: DataFrame | None = None, name: str = "components") -> DataFrame:
+    """node, root for every node of the links (a, b) and of earlier labels: the least node it is connected with.
 
-    Each round hooks every node to the least root among its own and its neighbours' and shortens the paths; links whose ends
-    share a root go.  A round's tables are written to the shared folder, so lineage stays short.
+    Each round hooks every node to its least neighbour, follows the hooks to their ends and replaces the links' ends by them;
+    links whose ends have met go.  A round's tables are written to the shared folder, so lineage stays short.
     """
-    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    labels = kept(nodes.withColumn("root", F.col("node")), name)
-    edges = kept(links.select("a", "b").where("a <> b").distinct(), name)
-    while True:
-        # edges between roots
-        two = edges.join(labels.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-        edges = kept(two.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
-        if edges.isEmpty():
-            return labels
+    edges = links.select("a", "b")
+    if labels is None:
+        nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+        labels = nodes.withColumn("root", F.col("node"))
+    else:
+        more = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
+        labels = labels.union(more.withColumn("root", F.col("node")))
+        edges = _moved(edges, labels)
+    edges = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    while not edges.isEmpty():
         hook = _contracted(edges, name)
-        moved = hook.select(F.col("node").alias("root"), F.col("root").alias("lower"))
-        labels = kept(labels.join(moved, "root", "left").select("node", F.coalesce("lower", "root").alias("root")), name)
+        higher = hook.select(F.col("node").alias("root"), F.col("root").alias("lower"))
+        labels = labels.join(higher, "root", "left").select("node", F.coalesce("lower", "root").alias("root"))
+        edges = kept(_moved(edges, hook).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    return kept(labels, name)
+
+
+def _moved(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges between their ends' roots (an end that has none stays)."""
+    for side in ("a", "b"):
+        edges = edges.join(roots.select(F.col("node").alias(side), F.col("root").alias("_root")), side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+    return edges
 
 
 def _contracted(edges: DataFrame, name: str) -> DataFrame:
@@ -176,13 +204,63 @@ def _contracted(edges: DataFrame, name: str) -> DataFrame:
             return hook
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components within a bucket (columns bucket, node, root, size), by blocks of its nodes."""
+def _split_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, root, size of the buckets that hold several components; one of those with the same nodes."""
+    rooted = kept(shared.select("bucket", "node", "size").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.sum("node").alias("sum"), F.max("size").alias("n")).where("r <> s")
+    return rooted.join(several.groupBy("nodes", "sum", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+
+
+def _crossing_pairs(members: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components in buckets of up to SMALL_BUCKET nodes."""
+    small = members.where(F.col("size") <= SMALL_BUCKET)
+    left = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    right = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    return left.join(right, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct()
+
+
+def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links (a, b) between components in the larger buckets, enough to join what can be joined."""
     n = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
-    dealt = members.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    left = dealt.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    right = dealt.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return left.join(right, ["bucket", "i", "j"]).where("a < b and root_a <> root_b").select("a", "b").distinct()
+    dealt = members.where(F.col("size") > SMALL_BUCKET).join(nodes, "node").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    cells = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n_shingles", "registers", "shingles")
+    return cells.groupBy("bucket", "i", "j").applyInArrow(_cell, "a long, b long").distinct()
+
+
+def _cell(key: tuple, held: pa.Table) -> pa.Table:
+    """Links between blocks i and j of a bucket (within the block, if they are the same).
+
+    A pair is looked at where all nodes share the first band that it shares, which is one bucket of all that hold it.
+    """
+    held = held.sort_by("node")
+    node, root, size, block = (held[c].to_numpy() for c in ("node", "root", "n_shingles", "block"))
+    rows = np.frombuffer(b"".join(held["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    bands = np.ascontiguousarray(rows).view(np.uint64)
+    own_band = int((bands == bands[0]).all(0).argmax())
+    lists = held["shingles"].combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    shingles = lambda k: flat[ends[k] : ends[k + 1]]
+    comp = np.unique(root, return_inverse=True)[1]
+    i, j = key[1].as_py(), key[2].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    links: list[tuple[int, int]] = []
+    for k in left.tolist():
+        mates = right[(comp[right] != comp[k]) & ((right > k) | (i != j))]
+        mates = mates[100 * np.minimum(size[mates], size[k]) >= PERCENT * np.maximum(size[mates], size[k])]
+        mates = mates[(bands[mates] == bands[k]).argmax(1) == own_band]
+        share = (rows[mates] == rows[k]).mean(1)
+        mates, share = mates[share >= MAYBE - 0.1], share[share >= MAYBE - 0.1]  # equal registers: near the estimate, and cheap
+        if not len(mates):
+            continue
+        near = reaches(np.broadcast_to(rows[k], (len(mates), REGISTERS)), rows[mates], np.full(len(mates), size[k], float), size[mates].astype(float), MAYBE)
+        for m in mates[near][np.argsort(-share[near], kind="stable")].tolist():
+            if comp[m] == comp[k]:
+                continue
+            common = len(np.intersect1d(shingles(k), shingles(m), assume_unique=True))
+            if 100 * common >= PERCENT * (size[k] + size[m] - common):
+                links.append((min(node[k], node[m]), max(node[k], node[m])))
+                comp[comp == comp[m]] = comp[k]
+    return pa.table({c: pa.array([x[side] for x in links], pa.int64()) for side, c in enumerate("ab")})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,21 +286,20 @@ def _grouped(docs: DataFrame) -> DataFrame:
     nodes = kept(rows.join(marks.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "n_shingles", "registers"), "near-nodes")
 
     buckets = nodes.select("node", "registers").mapInArrow(_bands, "bucket long, node long")
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low <> high")
+    ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("size")).where("size > 1")
     shared = kept(buckets.join(ends, "bucket"), "near-buckets")
-    stars = [shared.where(f"node <> {end}").select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b")) for end in ("low", "high")]
-    likely = kept(_with_registers(reduce(DataFrame.union, stars).distinct(), nodes).select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(_likely, "a long, b long"), "near-likely")
+    crowd = shared.groupBy("node").agg(F.sum("size").alias("crowd"))
+    hubs = shared.select("bucket", "node").join(crowd, "node").groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("crowd"), "node")).alias("hub"))
+    stars = [x.where(f"node <> {end}").select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b")).distinct() for end, x in (("low", shared), ("hub", shared.join(hubs, "bucket")))]
+    likely = kept(_likely_pairs(reduce(DataFrame.union, stars).distinct(), nodes), "near-likely")
 
     sets = _sets(base, marks, shared.select("node").distinct())
-    links = kept(_verified(likely, sets), "near-links")
-    labels = components(links)
-
-    rooted = shared.select("bucket", "node", "size").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
-    crossing = _across(rooted.join(split, "bucket", "left_semi")).join(likely, ["a", "b"], "left_anti")
-    more = kept(_with_registers(crossing, nodes).select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(_likely, "a long, b long"), "near-likely")
-    if not more.isEmpty():
-        labels = components(links.union(_verified(more, sets)))
+    labels = components(kept(_verified(likely, sets), "near-links"))
+
+    members = kept(_split_buckets(shared, labels), "near-members")
+    pairs = _likely_pairs(_crossing_pairs(members).join(likely, ["a", "b"], "left_anti"), nodes)
+    more = kept(_verified(pairs, sets).union(_crossing_links(members, nodes, sets)), "near-links")
+    labels = components(more, labels)
 
     group = marks.select("mark", "node", "least_doc").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = group.groupBy("root").agg(F.min("least_doc").alias("component_id"))
