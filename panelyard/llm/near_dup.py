@@ -331,5 +331,5 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     gone = _grouped(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("gone_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["gone_hash"])
     return docs.join(gone, same, "left_anti").select(*columns)

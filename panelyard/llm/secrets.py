@@ -140,7 +140,6 @@ def mask_live(docs: DataFrame, copied_owners: int = COPIED_OWNERS, mask: str = M
     each = scanned.select("doc_id", "text_hash", F.explode("found").alias("v"))
     live = each.join(ownership(scanned, copied_owners).where("not copied").select(F.col("hash").alias("own")), F.col("v.hash") == F.col("own")).where("v.live")
     places = kept(live.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("v.start", "v.stop")).alias("places")).withColumnsRenamed({"doc_id": "mask_doc", "text_hash": "mask_hash"}), "secrets-live")
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     suspect = F.col("text").rlike("(?i)password|passwd|secret|token|api_?key") | F.col("text").rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |eyJ|gh[pousr]_")
     suspect = F.coalesce(suspect, F.lit(False))
 
@@ -148,9 +147,11 @@ def mask_live(docs: DataFrame, copied_owners: int = COPIED_OWNERS, mask: str = M
     def masked(text, places):
         return text.combine(places, lambda t, own: _mask(t, own, mask))
 
-    found = docs.where(suspect).join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("mask_doc")) & (text_hash == F.col("mask_hash")), "left")
-    found = found.withColumn("text", F.when(F.col("places").isNotNull(), masked("text", "places")).otherwise(F.col("text")))
-    return docs.where(~suspect).unionByName(found.select(*columns))
+    held = docs.where(suspect).select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))  # whatever its columns' names
+    own_hash = F.xxhash64(F.coalesce(F.col("row")["text"].cast("string"), F.lit("")))
+    found = held.join(places, F.col("row")["doc_id"].cast("long").eqNullSafe(F.col("mask_doc")) & (own_hash == F.col("mask_hash")), "left")
+    text = F.when(F.col("places").isNotNull(), masked(F.col("row")["text"], F.col("places"))).otherwise(F.col("row")["text"])
+    return docs.where(~suspect).unionByName(found.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns)))
 
 
 def _mask(text: str, places, mask: str) -> str:

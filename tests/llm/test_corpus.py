@@ -34,7 +34,7 @@ def docs(spark):
     texts += [t + " " + rng.choice(STEMS) for t in texts[:20]] + texts[:5] + ODD_TEXTS
     rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3]), (None, "the river sings of the stone")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    names = ["node", "root", "mark", "score", "labels", "spans", "shard", "ids", "places", "row_id", "registers", "found"]
+    names = ["node", "root", "mark", "score", "labels", "spans", "shard", "ids", "places", "row_id", "registers", "found", "gone_id", "gone_hash", "text_hash"]
     return df.withColumns({c: F.lit("clash") for c in names} | {"lang": F.lit("en"), "source": F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string"))})
 
 
@@ -236,7 +236,9 @@ def test_secrets_ownership_and_mask(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     out = {r.doc_id: (r.n_copied, r.n_live, r.max_owners) for r in secrets.secrets(df).collect()}
     assert out == {0: (1, 0, 4), 1: (1, 0, 4), 2: (1, 0, 4), 3: (1, 0, 4), 10: (0, 2, 1), 11: (0, 0, 0), 12: (0, 0, 1)}
-    masked = {r.doc_id: r.text for r in secrets.mask_live(df).collect()}
+    clash = df.withColumns({c: F.lit("clash") for c in ("places", "mask_doc", "mask_hash", "row", "own", "v")})
+    assert secrets.mask_live(clash).columns == clash.columns
+    masked = {r.doc_id: r.text for r in secrets.mask_live(clash).collect()}
     assert masked == {r[0]: r[1] for r in rows} | {10: "my token=[secret], and token=[secret]"}
 
 
