@@ -173,13 +173,7 @@ def _coder(path: str, pattern: str) -> Coder:
     return Coder(load(path, pattern).encode)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` (doc_id, text) as doc_id and ids (binary: little-endian unsigned 32-bit), one row per row.
-
-    Null and empty texts have no ids; repeated rows repeat; other columns are not read.  path: a tokenizer's rank file on
-    every executor; pattern: what splits texts before the merges.
-    """
-
+def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             ids, at = _coder(path, pattern).code(texts)
@@ -188,12 +182,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([whole[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "ids"])
         _coder(path, pattern).forget()  # the worker may serve other stages next
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The rows of ``encode`` as doc_id, ids and decoded (binary: the bytes that the ids spell); null ids spell nothing."""
-
+def _decoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = load(path, pattern)
@@ -202,10 +194,32 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 spelled = [table.decode(np.frombuffer(x or b"", "<u4")) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(spelled, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return run
+
+
+_IDS, _DECODED = "doc_id long, ids binary", "doc_id long, ids binary, decoded binary"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` (doc_id, text) as doc_id and ids (binary: little-endian unsigned 32-bit), one row per row.
+
+    Null and empty texts have no ids; repeated rows repeat; other columns are not read.  path: a tokenizer's rank file on
+    every executor; pattern: what splits texts before the merges.
+    """
+    return _texts(docs).mapInArrow(_encoder(path, pattern), _IDS)
+
+
+def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The rows of ``encode`` as doc_id, ids and decoded (binary: the bytes that the ids spell); null ids spell nothing."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(path, pattern), _DECODED)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encoded and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, path, pattern), path, pattern)
+    """Encoded and decoded again, in one pass of one worker: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    forth, back = _encoder(path, pattern), _decoder(path, pattern)
+    both = _texts(docs).mapInArrow(lambda batches: back(forth(batches)), _DECODED)
     return both.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

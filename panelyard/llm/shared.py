@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory whatever Spark's batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
     """Pieces of the batches holding about ``most`` bytes of text (one row at least), with that column; null text is empty."""
     for batch in batches:
+        give_back()  # what the last batch took
         texts = batch.column(column)
         if batch.num_rows == 0:
             continue
@@ -52,6 +54,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             stop = max(row + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(row, stop - row), pc.fill_null(texts.slice(row, stop - row), "")
             row = stop
+    give_back()  # the worker lives on for other stages
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Arrow's pool and the C library keep it otherwise, in every worker for itself."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
 
 
 def raw(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:

@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = struct.pack("<I", end_id)
-        for batch, texts in text_slices(batches, most=2 * SLICE_BYTES):
+        for batch, texts in text_slices(batches, most=4 * SLICE_BYTES):
             ids, at = _coder(path).code(texts)
             whole, doc_ids = ids.astype("<u4").tobytes(), batch.column("doc_id")
             shard = np.searchsorted(bounds, pc.fill_null(doc_ids, -(2**63)).to_numpy(zero_copy_only=False), side="right")

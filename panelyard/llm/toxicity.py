@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.quality import remainder
-from panelyard.llm.shared import raw, text_slices
+from panelyard.llm.shared import give_back, raw, text_slices
 from panelyard.llm.words import words
 
 #: Labelled documents that are fitted at most, and the text bytes each may have to be chosen; they come in the order of a
@@ -173,6 +173,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         held = [b for b in batches if b.num_rows]
         texts = pa.concat_arrays([b.column("text") for b in held]) if held else pa.array([], pa.string())
         model = fit(texts, np.concatenate([b.column("y").to_numpy() for b in held] or [np.zeros(0, int)]))
+        del held, texts
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.hashes.view(np.int64), 0)), pa.array(np.append(model.weights, model.bias)), pa.array(np.append(np.zeros(len(model.hashes), bool), True))], names=["hash", "weight", "bias"])
 
     rows = sample.select("text", "y").coalesce(1).mapInArrow(run, "hash long, weight double, bias boolean").toPandas()  # the sample's words
