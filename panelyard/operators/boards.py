@@ -70,3 +70,8 @@ def facet_filter(df: DataFrame, equals: dict[str, object], text: str, columns: l
     for c in chosen:
         df = df.where(c)
     return df
+
+
+def span(df: DataFrame, key: list[str], at: str, kind: str, failed: Column) -> DataFrame:
+    """Per key: started, finished, only_kind (null for none, ``multiple`` for several), any_failure."""
+    return df.groupBy(*key).agg(F.min(at).alias("started"), F.max(at).alias("finished"), collapse(kind).alias("only_kind"), F.coalesce(F.bool_or(failed), F.lit(False)).alias("any_failure"))

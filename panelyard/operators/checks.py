@@ -102,3 +102,23 @@ def chronology_breaches(df: DataFrame, by: list[str], at: str, order: str) -> Da
     """Rows whose time lies before that of the row in front, by ``order``: by, order, at, previous_at."""
     w = Window.partitionBy(*by).orderBy(order)
     return df.withColumn("previous_at", F.lag(at).over(w)).where(F.col("previous_at") > F.col(at)).select(*by, order, at, "previous_at")
+
+
+def leaks(text: Column, forbidden: list[str], pattern: str | None = None) -> Column:
+    """Whether visible text holds a forbidden part, as it is written, or a match of the pattern; null text leaks nothing."""
+    found = F.lit(False)
+    for part in forbidden:
+        found = found | F.contains(text, F.lit(part))
+    return F.coalesce(found | text.rlike(pattern) if pattern else found, F.lit(False))
+
+
+def reported_breaches(df: DataFrame, reported: DataFrame, key: list[str], measures: dict[str, Column], tolerance: float = 0.0) -> DataFrame:
+    """Keys and measures whose reported value isn't what the rows give: key, measure, reported, recomputed.
+
+    Values are compared null-safely, numbers within the tolerance; a key on one side only breaches every measure it has.
+    """
+    own = df.groupBy(*key).agg(*(c.cast("double").alias(f"_{name}") for name, c in measures.items()))
+    both = own.join(reported.select(*key, *(F.col(name).cast("double").alias(name) for name in measures)), key, "full_outer")
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(n).alias("reported"), F.col(f"_{n}").alias("recomputed")) for n in measures)))
+    same = F.col("reported").eqNullSafe(F.col("recomputed")) | F.coalesce(F.abs(F.col("reported") - F.col("recomputed")) <= tolerance, F.lit(False))
+    return both.select(*key, pairs.alias("p")).select(*key, "p.*").where(~same)

@@ -85,3 +85,19 @@ def next_event(df: DataFrame, by: list[str], order: list[str], columns: list[str
     """Adds next_<column> of the following row within ``by``."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
+
+
+def guarded_left(df: DataFrame, notes: DataFrame, key: list[str], guard: str, columns: list[str]) -> DataFrame:
+    """Notes by key, kept only where the guard (a digest) is equal: adds the columns and note (current, stale, none).
+
+    ``notes`` has one row per key; its guard column bears the name that ``df``'s has.
+    """
+    right = notes.select(*key, F.col(guard).alias("_guard"), *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_there"))
+    current = F.coalesce(F.col(guard) == F.col("_guard"), F.lit(False))
+    note = F.when(F.col("_there").isNull(), "none").when(current, "current").otherwise("stale").alias("note")
+    return df.join(right, key, "left").select(*df.columns, *(F.when(current, F.col(f"_{c}")).alias(c) for c in columns), note)
+
+
+def of_selected(df: DataFrame, selected: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key was selected, each once however often the key stands there."""
+    return df.join(selected.select(*key), key, "left_semi")

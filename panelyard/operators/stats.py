@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -137,3 +137,22 @@ def permutation_test(df: DataFrame, by: list[str], label: str, value: str, first
 
     tested = rows.join(feasible, by, "left_semi").select(*by, label, value).groupBy(*by).applyInPandas(exact, f"{kinds}, p_value double")
     return sizes.join(tested, by, "left").select(*by, "n_first", "n_second", (F.col("mean_first") - F.col("mean_second")).alias("difference"), "n_allocations", "p_value")
+
+
+def group_means(df: DataFrame, by: list[str], measured: str, baseline: str) -> DataFrame:
+    """Means of measured and baseline values over the rows that have both: n, measured_mean, baseline_mean, shift."""
+    both = F.col(measured).isNotNull() & F.col(baseline).isNotNull()
+    out = df.groupBy(*by).agg(F.count_if(both).alias("n"), F.avg(F.when(both, F.col(measured))).alias("measured_mean"), F.avg(F.when(both, F.col(baseline))).alias("baseline_mean"))
+    return out.withColumn("shift", F.col("measured_mean") - F.col("baseline_mean"))
+
+
+def track_mean(tracks: Column, keep: Callable[[Column], Column]) -> Column:
+    """Mean of an array's values that ``keep`` chooses; null without one."""
+    held = F.filter(tracks, keep)
+    return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(held))
+
+
+def delta_mean(alt: Column, ref: Column) -> Column:
+    """Mean of alternate minus reference over two aligned arrays; null if they are empty or differ in length."""
+    deltas = F.zip_with(alt, ref, lambda a, r: (a - r).cast("double"))
+    return F.when((F.size(alt) == F.size(ref)) & (F.size(alt) > 0), F.aggregate(deltas, F.lit(0.0), lambda a, x: a + x) / F.size(alt))

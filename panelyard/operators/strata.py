@@ -48,3 +48,8 @@ def cohort_difference(df: DataFrame, by: list[str], relation: str, score: Column
     one = lambda r: F.col(relation) == r
     g = df.groupBy(*by).agg(*(F.count_if(one(r)).alias(f"n_{r.lower()}") for r in ("Before", "After", "Mixed", "Unknown")), F.avg(F.when(one("Before"), score)).alias("mean_before"), F.avg(F.when(one("After"), score)).alias("mean_after"))
     return g.withColumn("difference", F.col("mean_before") - F.col("mean_after"))
+
+
+def planned_counts(df: DataFrame, by: list[str], plans: dict[str, Column]) -> DataFrame:
+    """Rows per group and how many of them each condition plans, in one pass."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.count_if(c).alias(name) for name, c in plans.items()))

@@ -82,3 +82,9 @@ def attempt_totals(items: DataFrame, batch: str, tokens: str, receipt: str, part
 def invalid_truncations(df: DataFrame, finish: str, valid: str) -> DataFrame:
     """Completed rows that stopped at the token limit without a valid answer."""
     return df.where((F.col(finish) == "length") & ~F.coalesce(F.col(valid), F.lit(False)))
+
+
+def distinct_runtime(df: DataFrame, by: list[str], file: str, seconds: str) -> DataFrame:
+    """Runtime by mode, each file counted once with its least seconds: n_files, runtime (null if a file's is unknown)."""
+    each = df.groupBy(*by, file).agg(F.min(seconds).alias("_s"))
+    return each.groupBy(*by).agg(F.count("*").alias("n_files"), complete_sum(F.col("_s")).alias("runtime"))

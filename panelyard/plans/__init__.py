@@ -1,6 +1,6 @@
 """Registered queries: operators applied to whole tables, with SQL for those that SQL can express."""
 
-from panelyard.plans import analytics, panels, payload_plans, records, sequences
+from panelyard.plans import analytics, panels, payload_plans, records, reports, sequences
 from panelyard.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "panels", "payload_plans", "records", "sequences"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "panels", "payload_plans", "records", "reports", "sequences"]

@@ -56,3 +56,8 @@ def set_digest(df: DataFrame, key: str) -> DataFrame:
 def write_split(df: DataFrame, by: str, folder: str) -> None:
     """One folder for each value of a column, so that readers of one value open its files only."""
     df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(folder)
+
+
+def write_csv(df: DataFrame, order: list[str], folder: str) -> None:
+    """Quoted CSV with a header in each part, sorted over all parts; quotes within values are doubled, nulls are empty."""
+    df.orderBy(*order).write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(folder)

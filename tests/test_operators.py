@@ -248,3 +248,35 @@ def test_canonical_json():
     assert digests.canonical_json({"b": 1, "a": ["é", 1.5, None]}) == '{"a":["é",1.5,null],"b":1}'
     with pytest.raises(ValueError):
         digests.canonical_json({"a": float("nan")})
+
+
+def test_leaks_take_null_text_as_clean(spark):
+    df = spark.createDataFrame([("a.b",), ("see REF",), (None,), ("x12",)], "t string")
+    assert [r[0] for r in df.select(checks.leaks(F.col("t"), ["REF", "."], "[0-9]{2}")).collect()] == [True, True, False, True]
+    assert [r[0] for r in df.select(checks.leaks(F.col("t"), ["REF"])).collect()] == [False, True, False, False]
+
+
+def test_guarded_notes_tell_stale_from_missing(spark):
+    df = spark.createDataFrame([(1, "d"), (2, "d"), (3, "d"), (4, None)], "k int, digest string")
+    notes = spark.createDataFrame([(1, "d", "x"), (2, "e", "y"), (4, None, "z")], "k int, digest string, label string")
+    assert {(r.k, r.label, r.note) for r in joins.guarded_left(df, notes, ["k"], "digest", ["label"]).collect()} == {(1, "x", "current"), (2, None, "stale"), (3, None, "none"), (4, None, "stale")}
+
+
+def test_reported_figures_on_one_side_only(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0)], "k string, v double")
+    reported = spark.createDataFrame([("a", 3.0000001), ("c", None)], "k string, total double")
+    found = checks.reported_breaches(df, reported, ["k"], {"total": F.sum("v")}, 1e-6).collect()
+    assert [tuple(r) for r in found] == [("b", "total", None, 5.0)]
+
+
+def test_tracks_and_deltas(spark):
+    df = spark.createDataFrame([([1, 5, 9], [1, 1, 1]), ([1], [1, 2]), ([], []), (None, None)], "a array<int>, b array<int>")
+    out = df.select(stats.track_mean(F.col("a"), lambda x: x > 2).alias("m"), stats.delta_mean(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [tuple(r) for r in out] == [(7.0, 4.0), (None, None), (None, None), (None, None)]
+
+
+def test_spans_and_runtimes_with_unknowns(spark):
+    df = spark.createDataFrame([("a", 1, "x", 3), ("a", 2, "x", 4), ("b", 1, None, None), ("b", 1, None, None)], "k string, at int, kind string, s int")
+    spans = {tuple(r) for r in boards.span(df, ["k"], "at", "kind", F.col("s") > 3).collect()}
+    assert spans == {("a", 1, 2, "x", True), ("b", 1, 1, None, False)}
+    assert {tuple(r) for r in usage.distinct_runtime(df, ["k"], "at", "s").collect()} == {("a", 2, 7), ("b", 1, None)}

@@ -119,3 +119,10 @@ def test_tables(spark, tmp_path):
         tables.append_new(requests, epoch, path, ["digest"])
     assert spark.read.parquet(path).count() == 2
     assert tables.frozen_plan_changes(cache, cache.withColumn("answer", F.col("answer") % 9), ["digest"]).first().digest == "z"
+
+
+def test_csv_keeps_quotes_and_order(spark, tmp_path):
+    df = spark.createDataFrame([(2, 'say "hi", you'), (1, "a,b"), (3, None)], "k int, v string")
+    writers.write_csv(df, ["k"], f"{tmp_path}/out")
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/out")
+    assert {(r.k, r.v) for r in back.collect()} == {("1", "a,b"), ("2", 'say "hi", you'), ("3", None)}
