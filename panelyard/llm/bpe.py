@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.segments import Coder, gather
-from panelyard.llm.shared import text_slices
+from panelyard.llm.shared import SLICE_BYTES, text_slices
 
 _NONE = np.int32(2**31 - 1)
 _WIDE = 4096
@@ -175,7 +175,7 @@ def _coder(path: str, pattern: str) -> Coder:
 
 def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, most=2 * SLICE_BYTES):
             ids, at = _coder(path, pattern).code(texts)
             whole = ids.astype("<u4").tobytes()
             del ids
