@@ -302,7 +302,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     labels = components(more, labels)
 
     group = marks.select("mark", "node", "least_doc").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = group.groupBy("root").agg(F.min("least_doc").alias("component_id"))
+    least = kept(group.groupBy("root").agg(F.min("least_doc").alias("component_id")), "near-least")  # a table, so that the join below can split a large component
     by_mark = group.join(least, "root").select("mark", "component_id")
     out = rows.select("doc_id", "text_hash", "n_shingles", "mark").join(by_mark, "mark", "left")
     component = F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
