@@ -3,7 +3,10 @@
 A sentence's probability is the logistic of its words' weights (a word's weight is its own and those of its prefixes, so
 unseen compounds of an offending stem count too); a document's is the noisy-or of its sentences'.  The weights
 maximise the documents' likelihood: in a toxic document the gradient goes to the sentences that already explain it, in a
-clean one every sentence is pushed down.  The fitted sentence scores then locate the offending sentences.
+clean one every sentence is pushed down.  The fitted sentence scores then locate the offending sentences.  Toxic labels that
+no sentence explains are met by a rate per document, which is part of the fit alone, a sentence without any word that has a
+weight of MARK is no evidence and scores 0: else the bias would take such labels, and every plain sentence of a long document
+would add to its score.
 """
 
 from __future__ import annotations
@@ -14,22 +17,28 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.quality import remainder
 from panelyard.llm.shared import give_back, raw, text_slices
 from panelyard.llm.words import words
 
-#: Labelled documents that are fitted at most, and the text bytes each may have to be chosen; they come in the order of a
-#: hash of their ids.  Both bounds concern the fit alone.
-TRAIN_DOCUMENTS, TRAIN_BYTES = 5000, 20_000
+#: Labelled documents that are fitted at most, and the text bytes from which on no further one is taken, whatever the length
+#: of each; they come in the order of a hash of their ids.  Both bounds concern the fit alone.
+TRAIN_DOCUMENTS, TRAIN_BYTES = 5000, 40 << 20
 #: Documents of the sample that a word or prefix must stand in to get a weight.
 LEAST_DOCUMENTS = 3
 #: Standard errors that a feature's log odds over documents must lie above the labels' to get a weight.
 LEAST_Z = 3.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 ROUNDS, RATE, RIDGE, BIAS = 150, 0.1, 2e-5, -6.0
+#: The rate per document of toxic labels that no sentence explains.
+UNEXPLAINED = 0.2
+#: Rounds end when the bias has moved by no more than STILL in the last ROUNDS of them, or after MOST_ROUNDS.
+STILL, MOST_ROUNDS = 0.1, 1500
+#: Log odds that a word must add for its sentence to be evidence at all.
+MARK = 2.0
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n")] = True
 
@@ -92,10 +101,11 @@ class Model:
 
     def sentence_scores(self, own: Sentences) -> np.ndarray:
         if not len(self.hashes):
-            return np.full(len(own.doc), 1 / (1 + np.exp(-self.bias)))
+            return np.zeros(len(own.doc))
         at = np.minimum(np.searchsorted(self.hashes, own.features), len(self.hashes) - 1)
         w = np.where(self.hashes[at] == own.features, self.weights[at], 0.0).sum(1)
-        return 1 / (1 + np.exp(-np.clip(np.bincount(own.sentence, w[own.word], len(own.doc)) + self.bias, -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(own.sentence, w[own.word], len(own.doc)) + self.bias, -500, 500)))
+        return np.where(np.bincount(own.sentence, (w >= MARK)[own.word], len(own.doc)) > 0, p, 0.0)
 
     def document_scores(self, own: Sentences, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Noisy-or of each text's sentences (0 without one), and the sentence scores."""
@@ -143,21 +153,27 @@ def fit(texts: pa.StringArray, labels: np.ndarray) -> Model:
     spelling, column = np.nonzero(many[feature])
     number = (np.cumsum(many) - 1)[feature[spelling, column]]
     use = many[feature].any(1)[own.word]
-    word, sentence, n_spellings = own.word[use], own.sentence[use], len(own.features)
-    w, bias, size = np.zeros(int(many.sum())), BIAS, len(own.doc)
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    word, n_spellings = own.word[use], len(own.features)
+    told, sentence = np.unique(own.sentence[use], return_inverse=True)
+    of = own.doc[told]
+    w, bias, size = np.zeros(int(many.sum())), BIAS, len(told)
+    m, v, past = np.zeros_like(w), np.zeros_like(w), bias
     weight = np.where(y > 0, (y == 0).sum() / max(1, (y > 0).sum()), 1.0) ** 0.5
-    for t in range(1, ROUNDS + 1):
+    for t in range(1, MOST_ROUNDS + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, np.bincount(spelling, w[number], n_spellings)[word], size) + bias, -30, 30)))
         p = np.minimum(p, 1 - 1e-9)
-        none = np.exp(np.bincount(own.doc, np.log1p(-p), n))
+        none = (1 - UNEXPLAINED) * np.exp(np.bincount(of, np.log1p(-p), n))
         pull = weight * np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0)
-        g = p * pull[own.doc] / n
-        gw, gb = np.bincount(number, np.bincount(word, g[sentence], n_spellings)[spelling], len(w)) - RIDGE * w, g.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        rate = RATE * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)
-        w = w + rate * m / (np.sqrt(v) + 1e-8)
-        bias = bias + rate * mb / (vb**0.5 + 1e-8)
+        g = p * pull[of] / n
+        gw = np.bincount(number, np.bincount(word, g[sentence], n_spellings)[spelling], len(w)) - RIDGE * w
+        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
+        w = w + RATE * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-8)
+        # by the share of the pull that is left over, whatever its size; it stays below where it began, as most sentences are clean
+        bias = min(BIAS, bias + RATE * g.sum() / max(np.abs(g).sum(), 1e-300))
+        if t % ROUNDS == 0:
+            if abs(bias - past) <= STILL:
+                break
+            past = bias
     return Model(hashes[many], w, float(bias))
 
 
@@ -165,9 +181,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     """From labelled rows whose crc32 of the id, mod 5, is not 0; one task fits the bounded sample."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").distinct()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = base.withColumns({"size": F.octet_length("text").cast("long"), "hash": F.xxhash64("text")})
     chosen = known.where(remainder(F.col("doc_id"), 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(2 * most)
-    sample = base.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")  # 2 * most rows of two numbers
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "text").limit(most)
+    numbers = base.select("doc_id", "size", "hash").join(F.broadcast(chosen), "doc_id")  # 2 * most rows of two numbers
+    order = [F.xxhash64("doc_id"), "doc_id", "y", "hash"]
+    first = numbers.orderBy(*order).limit(most)  # numbers alone, so that no task holds many texts
+    before = F.coalesce(F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.withColumn("before", before).where(F.col("before") < TRAIN_BYTES).groupBy("doc_id", "y", "hash").agg(F.count("*").alias("copies"))
+    sample = base.join(F.broadcast(first), ["doc_id", "hash"]).groupBy("doc_id", "y", "hash").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+    sample = sample.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).orderBy(*order).select("text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -177,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.hashes.view(np.int64), 0)), pa.array(np.append(model.weights, model.bias)), pa.array(np.append(np.zeros(len(model.hashes), bool), True))], names=["hash", "weight", "bias"])
 
-    rows = sample.select("text", "y").coalesce(1).mapInArrow(run, "hash long, weight double, bias boolean").toPandas()  # the sample's words
+    rows = sample.coalesce(1).mapInArrow(run, "hash long, weight double, bias boolean").toPandas()  # the sample's words
     if not len(rows):
         return Model(np.zeros(0, np.uint64), np.zeros(0), BIAS)
     own = rows[~rows["bias"]]

@@ -376,3 +376,18 @@ def test_offending_sentences(spark):
     model = toxicity.fit(pa.array(texts, pa.string()), np.array([k % 3 == 0 for k in range(200)]))
     df = spark.createDataFrame([(1, "fine. such vermin! fine"), (2, "fine"), (3, None)], "doc_id long, text string")
     assert [(r.doc_id, r.sentence.strip()) for r in toxicity.offending(df, model).collect()] == [(1, "such vermin!")]
+
+
+def test_toxicity_of_long_documents(spark):
+    rng = random.Random(3)
+    plain = lambda n: " ".join(f"{' '.join(rng.choices(STEMS, k=6))}." for _ in range(n))
+    rows = [(k, plain(30) + (" you utter vermin." if k % 9 == 0 else ""), int(k % 9 == 0 or k % 50 == 1)) for k in range(1500)]  # some labels without a cause
+    rows += [(k, plain(900) + (" such blackguards." if k % 2 else ""), k % 2) for k in range(2000, 2040)]
+    long = plain(40_000)
+    asked = [(5000, long, None), (5001, long + " you utter vermin.", None), (5002, long[:200_000] + " such blackguards." + long[200_000:], None)]
+    df = spark.createDataFrame([r[:2] for r in rows + asked], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert min(len(r[1]) for r in rows[1500:]) > 20_000
+    out = {r.doc_id: r.predicted for r in toxicity.toxicity(df, labels).collect()}
+    assert [out[k] for k in (5000, 5001, 5002)] == [0, 1, 1]
+    assert {r.doc_id for r in toxicity.clean_documents(df, labels).where("doc_id >= 5000").collect()} == {5000}
