@@ -32,6 +32,13 @@ _PATTERNS = [(re.compile(p, flags), group, least) for _, p, flags, group, least
 _LOWER, _EXACT = [b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey"], [b"AKIA", b"-----BEGIN ", b"eyJ", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"]
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
+#: A private key's body: up to its END line, or else the lines of base64 (with the headers of old key files before them) after
+#: the BEGIN line, whether broken by line feeds, by escapes or by quotes; and the characters by which it is known.
+_PEM, _PEM_END = 3, re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+_GAP = r"(?: \+|\\[nrt]|[\s\"',>#*|])"
+_PEM_LINES = re.compile(rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:(?:\r?\n|\\n)[\x20\t]*+[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[\x20\t]*+(?:\r?\n|\\n|[\"']|\Z)))?")
+_PEM_LEAST, _NOT_KEY = 16, re.compile(rf"(?:Proc-Type|DEK-Info):[^\n\\]*+|\\[nrt]|[^A-Za-z0-9+/=]| \+")
+_EDGE = re.compile(rf"{_GAP}*+")
 #: Owners from which on a value is a widely copied example.
 COPIED_OWNERS = 3
 #: Distinct characters that a value needs to look live; fewer mark placeholders such as xxxxxxxx or 12345678.
@@ -39,10 +46,29 @@ LIVE_CHARACTERS = 9
 MASK = "[secret]"
 
 
+def _key_body(text: str, at: int, before: int) -> tuple[int, int] | None:
+    """Where the body of the private key stands whose BEGIN line ends at ``at``; the next one begins at ``before``."""
+    end = _PEM_END.search(text, at, before)
+    lines = None if end else _PEM_LINES.match(text, at, before)
+    stop = end.start() if end else lines.end() if lines else at
+    start = min(_EDGE.match(text, at, stop).end(), stop)
+    while start < stop and text[stop - 1] in " \t\r\n\"',>#*|":
+        stop -= 1
+    while stop - start > 1 and text[stop - 2 : stop] in ("\\n", "\\r", "\\t"):
+        stop -= 2
+    return (start, stop) if len(_NOT_KEY.sub("", text[start:stop])) >= _PEM_LEAST else None
+
+
 def find(text: str) -> list[tuple[int, int, int, int, int]]:
-    """Candidates by start, then kind: start, end, kind, and where the value stands (code points)."""
+    """Candidates by start, then kind: start, end, kind, and where the value stands (code points).  A private key is named by its
+    BEGIN line, its value is the body; a line without a body is its own value."""
     out = []
     for kind, (pattern, group, least) in enumerate(_PATTERNS):
+        if kind == _PEM:
+            heads = [m.span() for m in pattern.finditer(text)]
+            nexts = [*(a for a, _ in heads[1:]), len(text)][: len(heads)]
+            out += [(a, b, kind, *(_key_body(text, b, end) or (a, b))) for (a, b), end in zip(heads, nexts, strict=True)]
+            continue
         out += [(*m.span(), kind, *m.span(group)) for m in pattern.finditer(text) if len(m[group]) >= least]
     return sorted(out, key=lambda x: (x[0], x[2]))
 
@@ -70,6 +96,12 @@ def _suspects(texts: pa.StringArray) -> np.ndarray:
     return out
 
 
+def _named(text: str, a: int, b: int, kind: int) -> bytes:
+    """What a value is known by over the corpus: a key's body is the same however its lines are broken."""
+    value = text[a:b]
+    return (_NOT_KEY.sub("", value) if kind == _PEM and not value.startswith("-----BEGIN ") else value).encode()
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     value = pa.struct([("hash", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("live", pa.bool_())])
     for batch, texts in text_slices(batches):
@@ -79,7 +111,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.flatnonzero(_suspects(texts)).tolist():
             text = texts[k].as_py()
             found[k] = find(text)
-            values[k] = [{"hash": hashlib.sha256(text[a:b].encode()).hexdigest(), "start": a, "stop": b, "live": len(set(text[a:b])) >= LIVE_CHARACTERS} for a, b in sorted({x[3:] for x in found[k]})]
+            places = {x[3:]: x[2] for x in found[k]}
+            values[k] = [{"hash": hashlib.sha256(_named(text, a, b, kind)).hexdigest(), "start": a, "stop": b, "live": len(set(text[a:b])) >= LIVE_CHARACTERS} for (a, b), kind in sorted(places.items())]
         spans = [[f"{KINDS[x[2]][0]}:{x[0]}:{x[1]}" for x in own] for own in found]
         base = [",".join(s for s, x in zip(ss, own, strict=True) if x[2] < N_BASE) for ss, own in zip(spans, found, strict=True)]
         yield pa.RecordBatch.from_arrays(
