@@ -41,8 +41,18 @@ _PEM_LEAST, _NOT_KEY = 16, re.compile(rf"(?:Proc-Type|DEK-Info):[^\n\\]*+|\\[nrt
 _EDGE = re.compile(rf"{_GAP}*+")
 #: Owners from which on a value is a widely copied example.
 COPIED_OWNERS = 3
-#: Distinct characters that a value needs to look live; fewer mark placeholders such as xxxxxxxx or 12345678.
+#: Distinct characters from which on the SQL takes a value to look live; here placeholders are told by what they are.
 LIVE_CHARACTERS = 9
+#: Distinct characters that a value needs for each of its own, and at most.
+LEAST_DISTINCT, MOST_DISTINCT = 0.4, 6
+#: Share of steps to the same or the next character, up or down, from which on a value is a run or a sequence.
+RUN = 0.7
+_PLAIN_WORDS = set(
+    "password passwd passphrase pass secret secrets token tokens apikey api key keys example sample placeholder changeme change me your my here test testing dummy default "
+    "none null nil true false undefined unknown todo tbd foo bar baz foobar qwerty asdfgh letmein welcome admin root user username value string insert replace redacted removed "
+    "hidden masked empty fake demo env config process self this request response required optional access auth bearer the a an is not with for".split()
+)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 MASK = "[secret]"
 
 
@@ -102,6 +112,23 @@ def _named(text: str, a: int, b: int, kind: int) -> bytes:
     return (_NOT_KEY.sub("", value) if kind == _PEM and not value.startswith("-----BEGIN ") else value).encode()
 
 
+def looks_live(value: str) -> bool:
+    """Whether a value is no placeholder: not of few characters for its length, a run, a sequence, a repeated piece or common words."""
+    if value.startswith("-----BEGIN "):
+        return len(set(value)) >= LIVE_CHARACTERS
+    low = value.lower()
+    n = len(low)
+    if len(set(low)) < min(MOST_DISTINCT, LEAST_DISTINCT * n):
+        return False
+    steps = [ord(y) - ord(x) for x, y in zip(low, low[1:], strict=False)]
+    if any(sum(d in (0, by) for d in steps) >= RUN * len(steps) for by in (1, -1)):
+        return False
+    if (low + low).find(low, 1) < n:
+        return False
+    words = [w.lower() for w in _WORD.findall(value)]
+    return not (words and (low.strip("._-=/+") in _PLAIN_WORDS or all(w in _PLAIN_WORDS for w in words)) and sum(c.isdigit() for c in low) <= 4)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     value = pa.struct([("hash", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("live", pa.bool_())])
     for batch, texts in text_slices(batches):
@@ -112,7 +139,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = texts[k].as_py()
             found[k] = find(text)
             places = {x[3:]: x[2] for x in found[k]}
-            values[k] = [{"hash": hashlib.sha256(_named(text, a, b, kind)).hexdigest(), "start": a, "stop": b, "live": len(set(text[a:b])) >= LIVE_CHARACTERS} for (a, b), kind in sorted(places.items())]
+            values[k] = [{"hash": hashlib.sha256(_named(text, a, b, kind)).hexdigest(), "start": a, "stop": b, "live": looks_live(text[a:b])} for (a, b), kind in sorted(places.items())]
         spans = [[f"{KINDS[x[2]][0]}:{x[0]}:{x[1]}" for x in own] for own in found]
         base = [",".join(s for s, x in zip(ss, own, strict=True) if x[2] < N_BASE) for ss, own in zip(spans, found, strict=True)]
         yield pa.RecordBatch.from_arrays(

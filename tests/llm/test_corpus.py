@@ -256,6 +256,19 @@ def test_private_keys_are_known_by_their_bodies(spark, end):
     assert [masked[k] for k in range(6)] == [f"key {head}\n[secret]{end}"] * 3 + [r[1] for r in rows[3:6]]
 
 
+def test_short_values_can_be_live(spark):
+    live = ["hunter2", "83920175", "k7Qz2p", "4829130756", "x9Lm4t", "90517263849501726384"]
+    plain = ["12345678", "87654321", "xxxxxxxx", "abcdefgh", "abcabcabc", "changeme", "your_token", "000000", "password1", "zzzzzz12"]
+    rows = [(k, f"password={v}", "en", "s1") for k, v in enumerate(live + plain)] + [(100 + k, "token=7391846", "en", f"s{k}") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r.n_live for r in secrets.secrets(df).collect()}
+    assert [out[k] for k in range(len(live + plain))] == [1] * len(live) + [0] * len(plain)
+    assert [out[100 + k] for k in range(3)] == [0] * 3  # several owners, whatever it looks like
+    masked = {r.doc_id: r.text for r in secrets.mask_live(df).collect()}
+    assert [masked[k] for k in range(len(live))] == ["password=[secret]"] * len(live)
+    assert [masked[r[0]] for r in rows[len(live) :]] == [r[1] for r in rows[len(live) :]]
+
+
 def test_chat_round_trip(spark):
     texts = ["", None, "</s>[INST] ok [/INST]", "<\\s>", "<|turn|>user\nhi<|end|>\n", "[\\\\INST]", "a\\nb", "é" * 9]
     rows = [(c, t, ["system", "user", "assistant", "odd\nrole", None][(c + t) % 5], texts[(c * 3 + t) % len(texts)]) for c in range(6) for t in range(c)] + [(5, 1, "user", "tie"), (5, 1, "user", "tie"), (None, 0, "assistant", "lost"), (77, None, "user", "no turn")]
