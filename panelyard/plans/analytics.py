@@ -258,3 +258,18 @@ def prefix_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").withColumn("_id", F.col("s_suppkey"))
     written = suppliers.where("s_nationkey < 10").withColumn("s_suppkey", F.col("s_suppkey") + (F.col("s_nationkey") == 4).cast("int"))
     return selection.prefix_mismatches(suppliers, written, order, "s_suppkey", order)
+
+
+@query("""
+with o as (select o_orderkey, o_custkey % 4 as k, datediff('day', date '1970-01-01', o_orderdate::date) as a, datediff('day', date '1970-01-01', o_orderdate::date) + o_orderkey % 60 as b, year(o_orderdate) * 12 + month(o_orderdate) as m from orders),
+f as (select k, 'm' || m as feature, min(a) as c, max(a) as d from o group by k, m)
+select o_orderkey, string_agg(feature, ',' order by feature) as features from o join f using (k) where a <= d and c <= b group by 1
+""")
+def feature_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders against the spans of all months: no feature is left out."""
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("string")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("k"), day.alias("a"), (day + F.col("o_orderkey") % 60).alias("b"), month.alias("m"))
+    features = orders.groupBy("k", F.concat(F.lit("m"), "m").alias("feature")).agg(F.min("a").alias("c"), F.max("a").alias("d"))
+    pairs = joins.overlap_join(orders.drop("m"), features, ["k"], ("a", "b"), ("c", "d"), 30)
+    return pairs.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("features"))

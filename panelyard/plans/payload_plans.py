@@ -101,3 +101,13 @@ def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     finite = checks.finite("o_totalprice").isNotNull()
     g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_distinct("o_orderpriority").alias("n_models"), F.count("*").alias("n_points"), F.count_if(finite).alias("n_finite"), F.min("o_orderdate").alias("started_at"), F.max("o_orderdate").alias("completed_at"))
     return g.withColumn("completed_text", iso_utc(F.col("completed_at")))
+
+
+@query("""
+with n as (select s_nationkey as nation, count(*) as n from supplier group by 1)
+select n_nationkey as nation, coalesce(n, 0)::bigint as n_rows from nation left join n on nation = n_nationkey where coalesce(n, 0) <> 1
+""")
+def not_exactly_one_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"))
+    return checks.not_exactly_one(nations, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")), ["nation"])

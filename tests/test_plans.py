@@ -27,3 +27,10 @@ def test_allele_normalise_keeps_mutants(spark):
     out = QUERIES["allele_normalise"](spark, SF).where("norm_pos is not null")
     assert out.count() > 0
     assert out.where("not mutant_unchanged or not idempotent").count() == 0
+
+
+def test_whole_tables_enter(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    out = QUERIES["feature_overlap_whole"](spark, SF)
+    assert out.count() == orders.count()  # each order overlaps at least its own month
+    assert out.selectExpr("explode(split(features, ','))").distinct().count() == orders.selectExpr("year(o_orderdate) * 12 + month(o_orderdate)").distinct().count()
