@@ -117,3 +117,9 @@ def line_offset_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"select doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') as slug, (len(text) - len(replace(text, 'the ', ''))) = 4 as once from documents")
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", parsing.slug(F.substring("text", 1, 60)).alias("slug"), parsing.occurs_once(F.col("text"), "the ").alias("once"))
+
+
+@query(r"select doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')) as slug_sha256, (len(text) - len(replace(text, 'the ', ''))) = 4 as once from documents")
+def text_helpers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs of whole texts, as digests."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(parsing.slug(F.col("text")), 256).alias("slug_sha256"), parsing.occurs_once(F.col("text"), "the ").alias("once"))

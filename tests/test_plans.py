@@ -34,3 +34,8 @@ def test_whole_tables_enter(spark):
     out = QUERIES["feature_overlap_whole"](spark, SF)
     assert out.count() == orders.count()  # each order overlaps at least its own month
     assert out.selectExpr("explode(split(features, ','))").distinct().count() == orders.selectExpr("year(o_orderdate) * 12 + month(o_orderdate)").distinct().count()
+
+
+def test_slugs_read_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 60 + " one"), (2, "x" * 60 + " two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({r.slug_sha256 for r in QUERIES["text_helpers_whole"](spark, str(tmp_path)).collect()}) == 2
