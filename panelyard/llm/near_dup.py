@@ -8,8 +8,10 @@
     others were made from, where there is one: it is nearer to all of them than they are to each other.  A pair's similarity is estimated jointly, by maximum likelihood over the counts of larger, smaller
     and equal registers given both set sizes; clear misses go, the rest is verified on full sets.
 3.  Verified links are contracted to components.  Buckets that still hold several components compare nodes across them:
-    small ones by pairs that are estimated and verified as before, large ones in blocks of registers and full sets, so that no
-    bucket must fit a task and no pair leaves it but a verified link.  A block keeps its own components while it goes, so one
+    small ones by pairs that are estimated and verified as before, large ones in cells of two blocks, so that no bucket must
+    fit a task and no pair leaves it but a verified link.  A bucket's most common component meets the rest of the bucket only,
+    never itself, so a hot bucket costs its size times the number of its strays.  Cells hold registers first; only the nodes
+    that have a likely mate there come again with their full sets.  A cell keeps its own components while it goes, so one
     link joins two of them and their other pairs are passed over.  A pair in one bucket is then either linked by a path or
     was estimated, so stars lose no connection.
 
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import kept, text_slices
+from panelyard.llm.shared import Tables, text_slices
 from panelyard.llm.words import BLANKS, words
 
 SHINGLE = 5
@@ -36,8 +38,8 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: Links are 100 * intersection >= PERCENT * union; estimates below MAYBE (4.4 standard errors lower, missed at 5e-6) are not verified.
 PERCENT, MAYBE = 75, 0.58
-#: Buckets of up to SMALL_BUCKET nodes pair them by a join; larger ones meet in blocks of BUCKET_BLOCK nodes.
-SMALL_BUCKET, BUCKET_BLOCK = 16, 1000
+#: Buckets of up to SMALL_BUCKET nodes pair them by a join; larger ones meet in blocks of about BUCKET_BLOCK nodes.
+SMALL_BUCKET, BUCKET_BLOCK = 16, 256
 _MIX = np.random.default_rng(20_240_117)
 _MULTIPLY = (_MIX.integers(0, 2**32, (REGISTERS, 2), np.uint64) | 1).astype(np.uint32)
 
@@ -163,7 +165,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(100 * common >= PERCENT * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def components(links: DataFrame, labels: DataFrame | None = None, name: str = "components") -> DataFrame:
+def components(links: DataFrame, tables: Tables, labels: DataFrame | None = None) -> DataFrame:
     """node, root for every node of the links (a, b) and of earlier labels: the least node it is connected with.
 
     Each round hooks every node to its least neighbour, follows the hooks to their ends and replaces the links' ends by them;
@@ -177,13 +179,13 @@ def components(links: DataFrame, labels: DataFrame | None = None, name: str = "c
         more = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
         labels = labels.union(more.withColumn("root", F.col("node")))
         edges = _moved(edges, labels)
-    edges = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    edges = tables.kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while not edges.isEmpty():
-        hook = _contracted(edges, name)
+        hook = _contracted(edges, tables)
         higher = hook.select(F.col("node").alias("root"), F.col("root").alias("lower"))
         labels = labels.join(higher, "root", "left").select("node", F.coalesce("lower", "root").alias("root"))
-        edges = kept(_moved(edges, hook).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    return kept(labels, name)
+        edges = tables.kept(_moved(edges, hook).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    return tables.kept(labels, "labels")
 
 
 def _moved(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -193,67 +195,105 @@ def _moved(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return edges
 
 
-def _contracted(edges: DataFrame, name: str) -> DataFrame:
+def _contracted(edges: DataFrame, tables: Tables) -> DataFrame:
     """For the higher end of each edge its least neighbour, followed down to a node that has none."""
-    hook = kept(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), name)
+    hook = tables.kept(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "hook")
     while True:
         onward = hook.select(F.col("node").alias("root"), F.col("root").alias("lower"))
-        moved = kept(hook.join(onward, "root", "left").select("node", F.coalesce("lower", "root").alias("root"), F.col("lower").isNotNull().alias("moved")), name)
+        moved = tables.kept(hook.join(onward, "root", "left").select("node", F.coalesce("lower", "root").alias("root"), F.col("lower").isNotNull().alias("moved")), "hook")
         hook = moved.select("node", "root")
         if moved.where("moved").isEmpty():
             return hook
 
 
-def _split_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _split_buckets(shared: DataFrame, labels: DataFrame, tables: Tables) -> DataFrame:
     """bucket, node, root, size of the buckets that hold several components; one of those with the same nodes."""
-    rooted = kept(shared.select("bucket", "node", "size").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.sum("node").alias("sum"), F.max("size").alias("n")).where("r <> s")
-    return rooted.join(several.groupBy("nodes", "sum", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+    rooted = tables.kept(shared.select("bucket", "node", "size").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"nodes_{seed}") for seed in (0, 1)]
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max("size").alias("n"), *same).where("r <> s")
+    return rooted.join(several.groupBy("nodes_0", "nodes_1", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
 
 
-def _crossing_pairs(members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components in buckets of up to SMALL_BUCKET nodes."""
-    small = members.where(F.col("size") <= SMALL_BUCKET)
+def _crossing_pairs(members: DataFrame, small_bucket: int) -> DataFrame:
+    """All pairs (a, b) of different components in buckets of up to ``small_bucket`` nodes."""
+    small = members.where(F.col("size") <= small_bucket)
     left = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
     right = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
     return left.join(right, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct()
 
 
-def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified links (a, b) between components in the larger buckets, enough to join what can be joined."""
-    n = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
-    dealt = members.where(F.col("size") > SMALL_BUCKET).join(nodes, "node").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    cells = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n_shingles", "registers", "shingles")
-    return cells.groupBy("bucket", "i", "j").applyInArrow(_cell, "a long, b long").distinct()
+def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, tables: Tables, small_bucket: int, bucket_block: int) -> DataFrame:
+    """Verified links (a, b) between components in the larger buckets, enough to join what can be joined.
 
-
-def _cell(key: tuple, held: pa.Table) -> pa.Table:
-    """Links between blocks i and j of a bucket (within the block, if they are the same).
+    Blocks 0 to strays - 1 hold the nodes outside the bucket's most common component, the blocks after them hold that one's.
+    Every block meets every block of strays.
+    """
+    large = members.where(F.col("size") > small_bucket)
+    shares = large.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    most = tables.kept(shares.groupBy("bucket").agg(F.max_by("root", F.struct("n", F.col("root"))).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n")), "most")
+    blocks = lambda n: F.ceil(n / bucket_block).cast("int")
+    strays, common, number = blocks(F.col("n") - F.col("n_most")), blocks(F.col("n_most")), F.xxhash64("node")
+    block = F.when(F.col("root") == F.col("most"), strays + F.pmod(number, common)).otherwise(F.pmod(number, strays)).cast("int")
+    met = F.sequence(F.lit(0), F.when(F.col("root") == F.col("most"), strays - 1).otherwise(strays + common - 1))
+    dealt = large.join(most, "bucket").select("bucket", "node", "root", block.alias("block"), F.explode(met).alias("other"))
+    cells = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
+    held = nodes.select("node", "n_shingles", "registers")
+    likely = tables.kept(cells.join(held, "node").groupBy("bucket", "i", "j").applyInArrow(_likely_nodes, "bucket long, i int, j int, block int, node long, root long, own_band int"), "likely-nodes")
+    whole = likely.join(held, "node").join(sets, "node")
+    return whole.groupBy("bucket", "i", "j").applyInArrow(_cell, "a long, b long").distinct()
+
+
+class _Cell:
+    """The nodes of blocks i and j of a bucket (or of one block, if they are the same), by node number.
 
     A pair is looked at where all nodes share the first band that it shares, which is one bucket of all that hold it.
     """
-    held = held.sort_by("node")
-    node, root, size, block = (held[c].to_numpy() for c in ("node", "root", "n_shingles", "block"))
-    rows = np.frombuffer(b"".join(held["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    bands = np.ascontiguousarray(rows).view(np.uint64)
-    own_band = int((bands == bands[0]).all(0).argmax())
-    lists = held["shingles"].combine_chunks()
+
+    def __init__(self, key: tuple, held: pa.Table, own_band: int | None = None):
+        self.held = held.sort_by("node")
+        self.node, self.root, self.size, self.block = (self.held[c].to_numpy() for c in ("node", "root", "n_shingles", "block"))
+        self.rows = np.frombuffer(b"".join(self.held["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        self.bands = np.ascontiguousarray(self.rows).view(np.uint64)
+        self.own_band = int((self.bands == self.bands[0]).all(0).argmax()) if own_band is None else own_band
+        self.comp = np.unique(self.root, return_inverse=True)[1]
+        i, j = key[1].as_py(), key[2].as_py()
+        self.left, self.right, self.crossing = np.flatnonzero(self.block == i), np.flatnonzero(self.block == j), i != j
+
+    def mates(self, k: int) -> np.ndarray:
+        """Nodes of other components whose estimate is not a clear miss, those with more equal registers first."""
+        m = self.right[(self.comp[self.right] != self.comp[k]) & ((self.right > k) | self.crossing)]
+        m = m[100 * np.minimum(self.size[m], self.size[k]) >= PERCENT * np.maximum(self.size[m], self.size[k])]
+        m = m[(self.bands[m] == self.bands[k]).argmax(1) == self.own_band]
+        share = (self.rows[m] == self.rows[k]).mean(1)
+        m, share = m[share >= MAYBE - 0.1], share[share >= MAYBE - 0.1]  # equal registers: near the estimate, and cheap
+        if not len(m):
+            return m
+        near = reaches(np.broadcast_to(self.rows[k], (len(m), REGISTERS)), self.rows[m], np.full(len(m), self.size[k], float), self.size[m].astype(float), MAYBE)
+        return m[near][np.argsort(-share[near], kind="stable")]
+
+
+def _likely_nodes(key: tuple, held: pa.Table) -> pa.Table:
+    """The nodes of a cell that have a likely mate in it."""
+    cell = _Cell(key, held)
+    use = np.zeros(len(cell.node), bool)
+    for k in cell.left.tolist():
+        mates = cell.mates(k)
+        use[mates] = True
+        use[k] |= len(mates) > 0
+    out = cell.held.select(["bucket", "i", "j", "block", "node", "root"]).filter(pa.array(use))
+    return out.append_column("own_band", pa.array(np.full(len(out), cell.own_band, np.int32)))
+
+
+def _cell(key: tuple, held: pa.Table) -> pa.Table:
+    """Verified links of a cell's likely nodes."""
+    cell = _Cell(key, held, held["own_band"][0].as_py())
+    lists = cell.held["shingles"].combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     shingles = lambda k: flat[ends[k] : ends[k + 1]]
-    comp = np.unique(root, return_inverse=True)[1]
-    i, j = key[1].as_py(), key[2].as_py()
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    node, size, comp = cell.node, cell.size, cell.comp
     links: list[tuple[int, int]] = []
-    for k in left.tolist():
-        mates = right[(comp[right] != comp[k]) & ((right > k) | (i != j))]
-        mates = mates[100 * np.minimum(size[mates], size[k]) >= PERCENT * np.maximum(size[mates], size[k])]
-        mates = mates[(bands[mates] == bands[k]).argmax(1) == own_band]
-        share = (rows[mates] == rows[k]).mean(1)
-        mates, share = mates[share >= MAYBE - 0.1], share[share >= MAYBE - 0.1]  # equal registers: near the estimate, and cheap
-        if not len(mates):
-            continue
-        near = reaches(np.broadcast_to(rows[k], (len(mates), REGISTERS)), rows[mates], np.full(len(mates), size[k], float), size[mates].astype(float), MAYBE)
-        for m in mates[near][np.argsort(-share[near], kind="stable")].tolist():
+    for k in cell.left.tolist():
+        for m in cell.mates(k).tolist():
             if comp[m] == comp[k]:
                 continue
             common = len(np.intersect1d(shingles(k), shingles(m), assume_unique=True))
@@ -263,47 +303,51 @@ def _cell(key: tuple, held: pa.Table) -> pa.Table:
     return pa.table({c: pa.array([x[side] for x in links], pa.int64()) for side, c in enumerate("ab")})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, small_bucket: int = SMALL_BUCKET, bucket_block: int = BUCKET_BLOCK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  A text of fewer than five words is one shingle; a text without
     words (null text too) has none and is linked with nothing.  component_id is the smallest doc_id reachable over links of
     similarity 0.75 and more (the row's own without links), kept whether it is the row's doc_id.  Exactly repeated rows share
     their answer, and all of them are kept or none; a null doc_id stands below no other id and its row is kept only if the
-    whole group has none (component_id is null then).  Other columns are not read.
+    whole group has none (component_id is null then).  Other columns are not read.  small_bucket and bucket_block shape the
+    work, not the rows.
     """
-    return _grouped(docs).drop("text_hash")
+    return _grouped(docs, small_bucket, bucket_block).drop("text_hash")
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    """``near_duplicates`` with the hash of each row's text."""
+def _grouped(docs: DataFrame, small_bucket: int = SMALL_BUCKET, bucket_block: int = BUCKET_BLOCK) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text.  What it writes on the way is deleted, but for the two tables that
+    the result reads."""
+    own, work = Tables(docs.sparkSession, "near"), Tables(docs.sparkSession, "near-work")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = kept(base.mapInArrow(_sketches, "doc_id long, text_hash long, n_shingles long, mark binary, registers binary").withColumn("row_id", F.monotonically_increasing_id()), "near-sketches")
+    rows = own.kept(base.mapInArrow(_sketches, "doc_id long, text_hash long, n_shingles long, mark binary, registers binary").withColumn("row_id", F.monotonically_increasing_id()), "sketches")
 
     # one node for each set: its row of the least number
     first = F.min(F.struct("row_id", "doc_id", "text_hash"))
-    marks = kept(rows.where("mark is not null").groupBy("mark").agg(first.alias("first"), F.min("doc_id").alias("least_doc")).select("mark", F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "least_doc"), "near-marks")
-    nodes = kept(rows.join(marks.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "n_shingles", "registers"), "near-nodes")
+    marks = work.kept(rows.where("mark is not null").groupBy("mark").agg(first.alias("first"), F.min("doc_id").alias("least_doc")).select("mark", F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "least_doc"), "marks")
+    nodes = work.kept(rows.join(marks.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "n_shingles", "registers"), "nodes")
 
     buckets = nodes.select("node", "registers").mapInArrow(_bands, "bucket long, node long")
     ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("size")).where("size > 1")
-    shared = kept(buckets.join(ends, "bucket"), "near-buckets")
+    shared = work.kept(buckets.join(ends, "bucket"), "buckets")
     crowd = shared.groupBy("node").agg(F.sum("size").alias("crowd"))
     hubs = shared.select("bucket", "node").join(crowd, "node").groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("crowd"), "node")).alias("hub"))
     stars = [x.where(f"node <> {end}").select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b")).distinct() for end, x in (("low", shared), ("hub", shared.join(hubs, "bucket")))]
-    likely = kept(_likely_pairs(reduce(DataFrame.union, stars).distinct(), nodes), "near-likely")
+    likely = work.kept(_likely_pairs(reduce(DataFrame.union, stars).distinct(), nodes), "likely")
 
-    sets = _sets(base, marks, shared.select("node").distinct())
-    labels = components(kept(_verified(likely, sets), "near-links"))
+    sets = work.kept(_sets(base, marks, shared.select("node").distinct()), "sets")
+    labels = components(work.kept(_verified(likely, sets), "links"), work)
 
-    members = kept(_split_buckets(shared, labels), "near-members")
-    pairs = _likely_pairs(_crossing_pairs(members).join(likely, ["a", "b"], "left_anti"), nodes)
-    more = kept(_verified(pairs, sets).union(_crossing_links(members, nodes, sets)), "near-links")
-    labels = components(more, labels)
+    members = work.kept(_split_buckets(shared, labels, work), "members")
+    pairs = _likely_pairs(_crossing_pairs(members, small_bucket).join(likely, ["a", "b"], "left_anti"), nodes)
+    more = work.kept(_verified(pairs, sets).union(_crossing_links(members, nodes, sets, work, small_bucket, bucket_block)), "links")
+    labels = components(more, work, labels)
 
     group = marks.select("mark", "node", "least_doc").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = kept(group.groupBy("root").agg(F.min("least_doc").alias("component_id")), "near-least")  # a table, so that the join below can split a large component
-    by_mark = group.join(least, "root").select("mark", "component_id")
+    least = work.kept(group.groupBy("root").agg(F.min("least_doc").alias("component_id")), "least")  # a table, so that the join below can split a large component
+    by_mark = own.kept(group.join(least, "root").select("mark", "component_id"), "answers")
+    work.drop()
     out = rows.select("doc_id", "text_hash", "n_shingles", "mark").join(by_mark, "mark", "left")
     component = F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     return out.select("doc_id", "text_hash", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -320,7 +364,7 @@ def _sets(base: DataFrame, marks: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))], names=["node", "shingles"])
 
     texts = base.join(own, F.col("doc_id").eqNullSafe(F.col("own_doc")) & (F.col("text_hash") == F.col("own_hash"))).select("node", "text")
-    return kept(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
+    return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:

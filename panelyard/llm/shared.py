@@ -17,25 +17,56 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where unset (tests), one of our own."""
+    """The folder that driver and executors share, with its scheme: ``spark.checkpoint.dir``.
+
+    Only where that is unset and everything runs on one machine (tests), a folder of our own; a cluster without one is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="panelyard-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="panelyard-")
+        sc.setCheckpointDir(named)
+    return _qualified(spark, named).rstrip("/")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Hadoop's settings give it."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    whole = jvm.org.apache.hadoop.fs.Path(path)
+    found = whole.getFileSystem(conf).makeQualified(whole).toString()
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/panelyard/{name}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Tables of one run, in a folder of their own within the shared folder."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, new_folder(spark, name), 0
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written once and read back: later reads survive lost executors and repeat no work."""
+        self.n += 1
+        path = f"{self.folder}/{self.n:02d}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes the tables; nothing may be left to read from them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: later reads survive lost executors and repeat no work."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table of its own in the shared folder."""
+    return Tables(df.sparkSession, name).kept(df, name)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:

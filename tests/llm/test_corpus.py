@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm import bpe, chat, decontaminate, licences, near_dup, quality, secrets, segments, token_files, topk, toxicity
 from panelyard.llm.queries import ORACLE, QUERIES
-from panelyard.llm.shared import new_folder
+from panelyard.llm.shared import Tables, new_folder
 from tests.parity import SF, duck_rows, spark_rows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -361,6 +361,33 @@ def test_near_duplicates(spark, docs):
     assert near_dup.near_duplicates(empty(df)).count() == 0
 
 
+def families(n, seed):
+    """Near texts of several families that are not near to each other, but share many bands."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(80)]
+
+    def changed(words, k):
+        return [w if i not in places else f"m{rng.randrange(10**6)}" for i, w in enumerate(words)] if (places := set(rng.sample(range(len(words)), k))) else words
+
+    parents = [changed(base, 3) for _ in range(6)]
+    return [" ".join(changed(rng.choice(parents), rng.choice([0, 1, 1, 2]))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("small_bucket, bucket_block", [(16, 256), (2, 9)])
+def test_near_duplicates_across_blocks_of_a_bucket(spark, small_bucket, bucket_block):
+    rows = list(enumerate(families(150, 11)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = near_dup.near_duplicates(df, small_bucket, bucket_block).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted(brute_groups(rows))
+
+
+def test_buckets_of_late_partitions(spark):
+    first = 100_000 << 33  # what monotonically_increasing_id gives in partition 100000
+    shared = spark.range(20_000).select(F.lit(7).cast("long").alias("bucket"), (F.col("id") + first).alias("node"), F.lit(20_000).cast("long").alias("size"))
+    labels = shared.select("node", (F.col("node") % 2 + first).alias("root"))
+    assert near_dup._split_buckets(shared, labels, Tables(spark, "test")).count() == 20_000
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
