@@ -181,8 +181,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     """From labelled rows whose crc32 of the id, mod 5, is not 0; one task fits the bounded sample."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").distinct()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    held = base.select("doc_id").distinct()  # ids alone; labels of other documents must not fill the sample
+    chosen = known.where(remainder(F.col("doc_id"), 5) != 0).join(held, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(2 * most)
     base = base.withColumns({"size": F.octet_length("text").cast("long"), "hash": F.xxhash64("text")})
-    chosen = known.where(remainder(F.col("doc_id"), 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(2 * most)
     numbers = base.select("doc_id", "size", "hash").join(F.broadcast(chosen), "doc_id")  # 2 * most rows of two numbers
     order = [F.xxhash64("doc_id"), "doc_id", "y", "hash"]
     first = numbers.orderBy(*order).limit(most)  # numbers alone, so that no task holds many texts
@@ -209,19 +210,27 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return Model(hashes[order][keep], own["weight"].to_numpy()[order][keep], float(rows.loc[rows["bias"], "weight"].iloc[0]))
 
 
+def located(own: Sentences, score: np.ndarray, p: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """Which sentences are offending: those that score ``least``, and the best of a text that reaches it by several together."""
+    best = np.zeros(len(score))
+    np.maximum.at(best, own.doc, p)
+    return (p >= least) | ((score[own.doc] >= least) & (p > 0) & (p == best[own.doc]))
+
+
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             own = sentences(texts)
             score, p = model.document_scores(own, len(texts))
-            n_bad = np.bincount(own.doc, p >= 0.5, len(texts)).astype(np.int64)
+            n_bad = np.bincount(own.doc, located(own, score, p), len(texts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(n_bad)], names=["doc_id", "score", "n_sentences"])
 
     return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted, n_sentences (those whose own score reaches 0.5).
+    """Per row: doc_id, held_out, score, predicted, n_sentences (those whose own score reaches 0.5; of a text that reaches
+    it by weaker ones together, its best, so a predicted row has one at least).
 
     Only the text is an input of the score.  Null and empty texts have no sentences and score 0; repeated rows score alike;
     without usable labels no word has a weight.  Every row gets its row; other columns are not read.
@@ -233,13 +242,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The sentences that score ``least`` or more: doc_id, start and stop (UTF-8 bytes), sentence, score."""
+    """The sentences that score ``least`` or more, and the best of texts that do so by several: doc_id, start and stop (UTF-8 bytes), sentence, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             own = sentences(texts)
-            p = model.sentence_scores(own)
-            at = np.flatnonzero(p >= least)
+            score, p = model.document_scores(own, len(texts))
+            at = np.flatnonzero(located(own, score, p, least))
             ids, start, stop = batch.column("doc_id").take(pa.array(own.doc[at])), own.start[at], own.stop[at]
             cut = [texts[d].as_py().encode()[a:b].decode() for d, a, b in zip(own.doc[at].tolist(), start.tolist(), stop.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(start), pa.array(stop), pa.array(cut, pa.string()), pa.array(p[at])], names=["doc_id", "start", "stop", "sentence", "score"])
