@@ -92,11 +92,12 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
 from p group by conv_id
 """
 
+#: Sums are doubles here, so scores agree with the operator's up to 2**53 and are clipped as there.
 OP7 = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256.0 * x::double)) as v from embeddings
-           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
-select q.vec_id as query_id, row_number() over (partition by q.vec_id order by list_inner_product(q.v, c.v) desc, c.vec_id)::int as rank, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
-from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+with w as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: 256.0 * x::double) as w from embeddings where vec_id is not null and embedding is not null),
+v as (select r, vec_id, list_transform(w, lambda x: floor(x)) as v from w where len(list_filter(w, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.r, q.vec_id as query_id, c.vec_id, greatest(least(list_inner_product(q.v, c.v), 9223372036854774784.0), -9223372036854774784.0)::bigint as score from v q join v c on q.vec_id % 50 = 0 and c.r <> q.r)
+select query_id, row_number() over (partition by r order by score desc, vec_id)::int as rank, vec_id, score from s
 qualify rank <= 5
 """
 
