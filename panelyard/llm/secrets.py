@@ -52,6 +52,11 @@ _PLAIN_WORDS = set(
     "none null nil true false undefined unknown todo tbd foo bar baz foobar qwerty asdfgh letmein welcome admin root user username value string insert replace redacted removed "
     "hidden masked empty fake demo env config process self this request response required optional access auth bearer the a an is not with for".split()
 )
+#: JSON web tokens are looked for in chains of three runs and more joined by dots, so that no place is gone over again and again.
+_JWT, _JWT_HEAD = 4, "eyJ"
+_CHAIN, _RUN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+"), re.compile(r"[A-Za-z0-9_-]++")
+#: Bits of the filter that keeps rows without a live value from moving; a fuller filter only moves more rows.
+MASK_BITS = 1 << 25
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 MASK = "[secret]"
 
@@ -69,6 +74,22 @@ def _key_body(text: str, at: int, before: int) -> tuple[int, int] | None:
     return (start, stop) if len(_NOT_KEY.sub("", text[start:stop])) >= _PEM_LEAST else None
 
 
+def _web_tokens(text: str) -> list[tuple[int, int]]:
+    """The matches of the jwt pattern, in one pass: of three runs joined by dots, from the first one's first ``eyJ`` on."""
+    out = []
+    if _JWT_HEAD not in text:
+        return out
+    for chain in _CHAIN.finditer(text):
+        runs = [m.span() for m in _RUN.finditer(text, *chain.span())]
+        k = 0
+        while k + 2 < len(runs):
+            at = text.find(_JWT_HEAD, runs[k][0], runs[k][1] - 1)  # a character must follow it
+            if at >= 0:
+                out.append((at, runs[k + 2][1]))
+            k += 3 if at >= 0 else 1
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, int, int, int]]:
     """Candidates by start, then kind: start, end, kind, and where the value stands (code points).  A private key is named by its
     BEGIN line, its value is the body; a line without a body is its own value."""
@@ -79,6 +100,9 @@ def find(text: str) -> list[tuple[int, int, int, int, int]]:
             nexts = [*(a for a, _ in heads[1:]), len(text)][: len(heads)]
             out += [(a, b, kind, *(_key_body(text, b, end) or (a, b))) for (a, b), end in zip(heads, nexts, strict=True)]
             continue
+        if kind == _JWT:
+            out += [(a, b, kind, a, b) for a, b in _web_tokens(text) if b - a >= least]
+            continue
         out += [(*m.span(), kind, *m.span(group)) for m in pattern.finditer(text) if len(m[group]) >= least]
     return sorted(out, key=lambda x: (x[0], x[2]))
 
@@ -185,33 +209,47 @@ def secrets(docs: DataFrame, copied_owners: int = COPIED_OWNERS, repository: Col
     """
     scanned = scan(docs, repository, owner)
     each = scanned.select("row_id", F.explode("found").alias("v")).select("row_id", "v.hash", "v.live")
-    judged = each.join(ownership(scanned, copied_owners), "hash")
+    judged = each.join(kept(ownership(scanned, copied_owners), "secrets-owners"), "hash")  # a table, so that the join can split a hash that many rows hold
     per = judged.groupBy("row_id").agg(F.count_if("copied").alias("n_copied"), F.count_if(~F.col("copied") & F.col("live")).alias("n_live"), F.max("n_owners").alias("max_owners"))
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_copied", "n_live", "max_owners")]
     return scanned.join(per, "row_id", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", *zero)
 
 
-def mask_live(docs: DataFrame, copied_owners: int = COPIED_OWNERS, mask: str = MASK) -> DataFrame:
+def mask_live(docs: DataFrame, copied_owners: int = COPIED_OWNERS, mask: str = MASK, bits: int = MASK_BITS) -> DataFrame:
     """``docs`` with the values of live-looking secrets replaced by ``mask``; rows and columns stay as they are.
 
-    Rows are told apart by doc_id and text, so only rows with a live value are joined; texts of all others are not moved.
+    Rows are told apart by doc_id and text (repeated rows are masked alike; null text has nothing to mask).  A bitmap of
+    ``bits`` bits over the hashes of rows with a live value, whose size is fixed, is sent to the tasks; rows outside it are
+    passed through where they are, the few others are joined with their places.
     """
     columns, scanned = docs.columns, scan(docs)
-    each = scanned.select("doc_id", "text_hash", F.explode("found").alias("v"))
-    live = each.join(ownership(scanned, copied_owners).where("not copied").select(F.col("hash").alias("own")), F.col("v.hash") == F.col("own")).where("v.live")
-    places = kept(live.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("v.start", "v.stop")).alias("places")).withColumnsRenamed({"doc_id": "mask_doc", "text_hash": "mask_hash"}), "secrets-live")
-    suspect = F.col("text").rlike("(?i)password|passwd|secret|token|api_?key") | F.col("text").rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |eyJ|gh[pousr]_")
-    suspect = F.coalesce(suspect, F.lit(False))
+    each = scanned.select("doc_id", "text_hash", F.explode("found").alias("v")).where("v.live")
+    single = kept(ownership(scanned, copied_owners).where("not copied").select(F.col("hash").alias("own")), "secrets-owners")
+    live = each.join(single, F.col("v.hash") == F.col("own"))
+    places = kept(live.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("v.start", "v.stop")).alias("places")).select(_slot(F.col("doc_id"), F.col("text_hash"), bits).alias("slot"), F.col("doc_id").alias("mask_doc"), F.col("text_hash").alias("mask_hash"), "places"), "secrets-live")
+    own = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")  # whatever its columns' names
+    rows = docs.select(own).select("row", F.col("row")["doc_id"].cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))).alias("_hash"))
+    rows = rows.withColumn("slot", _slot(F.col("_doc"), F.col("_hash"), bits))
+    marked = rows.join(F.broadcast(_bitmap(places)), F.expr("bitmap_bucket_number(slot)") == F.col("bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bitmap_bit_position(slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = marked.withColumn("maybe", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(slot) % 8 as int))")) > 0, F.lit(False)))
 
     @F.pandas_udf("string")
     def masked(text, places):
         return text.combine(places, lambda t, own: _mask(t, own, mask))
 
-    held = docs.where(suspect).select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))  # whatever its columns' names
-    own_hash = F.xxhash64(F.coalesce(F.col("row")["text"].cast("string"), F.lit("")))
-    found = held.join(places, F.col("row")["doc_id"].cast("long").eqNullSafe(F.col("mask_doc")) & (own_hash == F.col("mask_hash")), "left")
+    found = marked.where("maybe").select("row", "_doc", "_hash").join(places.drop("slot"), F.col("_doc").eqNullSafe(F.col("mask_doc")) & (F.col("_hash") == F.col("mask_hash")), "left")
     text = F.when(F.col("places").isNotNull(), masked(F.col("row")["text"], F.col("places"))).otherwise(F.col("row")["text"])
-    return docs.where(~suspect).unionByName(found.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns)))
+    return marked.where("not maybe").select("row.*").unionByName(found.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns)))
+
+
+def _slot(doc_id: Column, text_hash: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id, text_hash), F.lit(bits))
+
+
+def _bitmap(places: DataFrame) -> DataFrame:
+    """bucket, bitmap: the places' slots as bits; a row of 4 KB for every 32768 of them at most."""
+    return places.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
 
 
 def _mask(text: str, places, mask: str) -> str:
