@@ -2,7 +2,9 @@
 
 Pieces of a length bucket lie as rows of one matrix of token ids.  In every round each row merges its leftmost pair of
 minimum rank; pair ranks come from a hash table in two arrays; what follows the merged pair moves up by one, finished rows
-leave the matrix and the matrix narrows as its rows shorten.
+leave the matrix and the matrix narrows as its rows shorten.  A piece of more than _WIDE bytes is a matrix of one row, which
+merges all places of its minimum rank in one round, from the left as far as no merge makes a pair of lower rank, and is
+compacted when a quarter of it is gone: the same merges in the same order, in as many rounds as ranks, not as merges.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -121,8 +124,8 @@ class Merges:
     def _bucket(self, rows: np.ndarray, pieces: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         size = np.array([len(p) for p in pieces])
         width = int(size.max())
-        if width > _WIDE and len(pieces) > 1:
-            return [x for k in range(len(pieces)) for x in self._bucket(rows[k : k + 1], pieces[k : k + 1])]
+        if width > _WIDE:
+            return [(rows[k : k + 1], self._long(pieces[k])[None, :]) for k in range(len(pieces))]
         ids = np.full((len(pieces), width + 1), -1, np.int32)
         filled = np.arange(width)[None, :] < size[:, None]
         ids[:, :width][filled] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -143,16 +146,10 @@ class Merges:
                 line = np.arange(len(rows))
                 if (narrow := int(size.max()) + 1) < ids.shape[1]:
                     ids, ranks = ids[:, :narrow].copy(), ranks[:, :narrow].copy()
-            if len(rows) == 1:  # one row moves up in place
-                p = int(place[0])
-                ids[0, p] = best[0]
-                ids[0, p + 1 : -1] = ids[0, p + 2 :].copy()
-                ranks[0, p + 1 : -1] = ranks[0, p + 2 :].copy()
-            else:
-                ids[line, place] = best
-                beyond = np.arange(ids.shape[1] - 1)[None, :] > place[:, None]
-                ids[:, :-1] = np.where(beyond, ids[:, 1:], ids[:, :-1])
-                ranks[:, :-1] = np.where(beyond, ranks[:, 1:], ranks[:, :-1])
+            ids[line, place] = best
+            beyond = np.arange(ids.shape[1] - 1)[None, :] > place[:, None]
+            ids[:, :-1] = np.where(beyond, ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(beyond, ranks[:, 1:], ranks[:, :-1])
             ids[:, -1], ranks[:, -1] = -1, _NONE
             size = size - 1
             ranks[line, place] = self.pairs.look(ids[line, place], ids[line, place + 1])
@@ -160,6 +157,52 @@ class Merges:
             ranks[front, place[front] - 1] = self.pairs.look(ids[front, place[front] - 1], ids[front, place[front]])
         return out
 
+    def _long(self, piece: bytes) -> np.ndarray:
+        """The ids of one long piece.  A merged-away place stays, marked _NONE in rank and -1 in id, until the next compaction."""
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        n = len(ids)
+        ranks, after, before, gone = self._linked(ids)
+        while n > 1:
+            rank = ranks.min()
+            if rank == _NONE:
+                break
+            at = np.flatnonzero(ranks == rank)
+            overlaps = np.zeros(len(at), bool)
+            overlaps[1:] = at[1:] == after[at[:-1]]
+            if overlaps.any():  # of a run of overlapping places every other one, from its first
+                first = np.maximum.accumulate(np.where(overlaps, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
+            second = after[at]
+            third = after[second]
+            touching = np.zeros(len(at), bool)
+            touching[1:] = at[1:] == third[:-1]
+            left = np.where(touching, rank, np.where(before[at] >= 0, ids[np.maximum(before[at], 0)], -1)).astype(np.int32)
+            right = np.where(third < len(ids), ids[np.minimum(third, len(ids) - 1)], -1).astype(np.int32)
+            own = np.full(len(at), rank, np.int32)
+            sooner = np.minimum(self.pairs.look(left, own), self.pairs.look(own, right)) < rank
+            if sooner.any():  # that pair comes before the places that follow
+                stop = int(sooner.argmax()) + 1
+                at, second, third = at[:stop], second[:stop], third[:stop]
+            ids[at], ids[second], ranks[second] = rank, -1, _NONE
+            after[at] = third
+            inside = third < len(ids)
+            before[third[inside]] = at[inside]
+            for p in (at, before[at][before[at] >= 0]):
+                q = after[p]
+                ranks[p] = self.pairs.look(ids[p], np.where(q < len(ids), ids[np.minimum(q, len(ids) - 1)], -1).astype(np.int32))
+            n, gone = n - len(at), gone + len(at)
+            if 4 * gone > len(ids):
+                ids = ids[ids >= 0]
+                ranks, after, before, gone = self._linked(ids)
+        return ids[ids >= 0]
+
+    def _linked(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Ranks of each place with the next (_NONE at the end), the next and the last place of each, and no place gone."""
+        n = len(ids)
+        ranks = np.full(n, _NONE, np.int32)
+        ranks[:-1] = self.pairs.look(ids[:-1], ids[1:])
+        return ranks, np.arange(1, n + 1), np.arange(-1, n - 1), 0
+
 
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> Merges:
@@ -170,7 +213,7 @@ def load(path: str, pattern: str) -> Merges:
 
 @lru_cache(maxsize=2)
 def _coder(path: str, pattern: str) -> Coder:
-    return Coder(load(path, pattern).encode)
+    return Coder(load(path, pattern).encode, whole=pattern != public_tokenizers.PATTERN)
 
 
 def _encoder(path: str, pattern: str):
@@ -208,7 +251,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` (doc_id, text) as doc_id and ids (binary: little-endian unsigned 32-bit), one row per row.
 
     Null and empty texts have no ids; repeated rows repeat; other columns are not read.  path: a tokenizer's rank file on
-    every executor; pattern: what splits texts before the merges.
+    every executor; pattern: what splits texts before the merges (for another than public_tokenizers.PATTERN texts are not cut
+    into segments first).  A piece of any length is encoded exactly.
     """
     return _texts(docs).mapInArrow(_encoder(path, pattern), _IDS)
 

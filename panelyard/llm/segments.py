@@ -59,6 +59,16 @@ def segments(texts: pa.StringArray) -> Segments:
     return Segments(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, np.searchsorted(starts, begins))
 
 
+def uncut(texts: pa.StringArray) -> Segments:
+    """Each text as the one segment that it has (an empty one has none)."""
+    data, begins = raw(texts)
+    first = np.concatenate([[0], np.cumsum(np.diff(begins) > 0)])
+    ends = np.append(begins[:-1][np.diff(begins) > 0], len(data)).astype(np.int32)
+    column = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = column.dictionary_encode()
+    return Segments(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, first)
+
+
 def gather(values: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The value runs of ``ids`` one after the other, and where each ends; run k is ``values[ends[k]:ends[k + 1]]``."""
     size = (ends[1:] - ends[:-1])[ids]
@@ -72,11 +82,12 @@ class Coder:
     """Token ids of texts by way of their segments; spellings seen before are not encoded again.
 
     encode: from a list of spellings to their ids one after the other and the number of ids of each.  Spellings that a slice
-    holds twice or more are remembered, ``most`` of them; then the memory starts anew, which only costs time.
+    holds twice or more are remembered, ``most`` of them; then the memory starts anew, which only costs time.  whole: texts
+    are not cut, for a pattern or tokenizer that the cuts are not meant for.
     """
 
-    def __init__(self, encode, most: int = 200_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 200_000, whole: bool = False):
+        self.encode, self.most, self.whole = encode, most, whole
         self.forget()
 
     def forget(self) -> None:
@@ -85,7 +96,7 @@ class Coder:
 
     def code(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's ids begin (one more than texts)."""
-        found = segments(texts)
+        found = uncut(texts) if self.whole else segments(texts)
         spellings = found.spellings.to_pylist()
         slots = np.fromiter(map(self.known.get, spellings, repeat(-1)), np.int64, len(spellings))
         values, ends = self.values, self.ends
