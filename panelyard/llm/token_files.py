@@ -6,12 +6,14 @@ compressed bytes), for each document its id, frame, first token within the frame
 own length and crc32 and a mark.  Any zstandard decoder reads the ids in one go; a reader with the table decompresses only
 the frames of the documents it is asked for.
 
-Shards are ranges of doc_id, and a shard's file is written in that order under its number: a task that runs again writes
-the same file again (to a name of its own, then renamed), so lost executors and repeated tasks leave one whole file.
+Shards are ranges of doc_id (of a text's hash and of the row within equal ids), cut by Spark's range partitioning, and a
+shard's file is written in that order under its number: a task that runs again writes the same file again (to a name of its
+own, then renamed), so lost executors and repeated tasks leave one whole file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -24,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +36,8 @@ from panelyard.llm.shared import SLICE_BYTES, kept, new_folder, text_slices
 END_ID = 2
 #: Tokens at which a frame is closed; it ends with a document, so a longer document is a frame of its own.
 FRAME_TOKENS = 1 << 17
-#: Documents a shard holds, about.
-SHARD_ROWS = 8192
+#: Documents a shard holds, about; with more than MOST_SHARDS shards they grow instead.
+SHARD_ROWS, MOST_SHARDS = 8192, 20_000
 _SKIPPABLE, _MARK, _TAIL = 0x184D2A5E, b"PYTOKS01", struct.Struct("<QI8s")
 _FRAME = np.dtype([("offset", "<u8"), ("size", "<u4"), ("crc32", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("known", "<u4"), ("first", "<u8"), ("n_tokens", "<u8")])
@@ -76,7 +79,7 @@ class FileReader:
     """Reads documents by their place in the file, decompressing their frames only."""
 
     def __init__(self, source):
-        self.source = source
+        self.source, self.held = source, (-1, b"")
         size = source.size()
         length, crc, mark = _TAIL.unpack(source.read_at(_TAIL.size, size - _TAIL.size))
         if mark != _MARK:
@@ -95,28 +98,45 @@ class FileReader:
             raise ValueError(f"frame {k} is damaged")
         return zstandard.ZstdDecompressor().decompress(packed)
 
+    def places(self, doc_id: int) -> range:
+        """Where the documents of this id stand; they lie together, in the order of ids after those without one."""
+        n = int((~self.docs["known"].astype(bool)).sum())
+        ids = self.docs["doc_id"][n:]
+        return range(n + int(np.searchsorted(ids, doc_id, side="left")), n + int(np.searchsorted(ids, doc_id, side="right")))
+
     def read(self, places: Iterator[int] | None = None) -> Iterator[tuple[int, int | None, bytes]]:
         """(place, doc_id, ids) of the documents at these places, or of all; neighbours share a frame's decompression."""
-        held, data = -1, b""
         for place in range(len(self.docs)) if places is None else places:
             doc_id, frame, known, first, n = self.docs[place].tolist()
-            if n and frame != held:
-                held, data = frame, self.frame(frame)
-            yield place, doc_id if known else None, data[4 * first : 4 * (first + n)] if n else b""
+            if n and frame != self.held[0]:
+                self.held = frame, self.frame(frame)
+            yield place, doc_id if known else None, self.held[1][4 * first : 4 * (first + n)] if n else b""
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str) -> Coder:
-    """The tokenizers library's ids for segments.
+def _coder(path: str, plain_controls: bool = False) -> tuple[Coder, object, list[str]]:
+    """The tokenizers library's ids for segments; the tokenizer; the control strings that it takes for tokens within a text.
 
     Segments that begin with a space before a surely visible character are encoded as one text, which the pre-tokenizer cuts
-    before each of them; token lengths give the ids back to the segments.  Others are encoded each for itself.
+    before each of them; token lengths give the ids back to the segments.  Others are encoded each for itself.  A tokenizer
+    of another kind than byte-level BPE with its usual pattern gets whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = plain_controls
+    controls = [] if plain_controls else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    made = json.loads(tokenizer.to_str())
+    cut = made["pre_tokenizer"] or {}
+    whole = bool(made["normalizer"]) or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) != ("ByteLevel", False, True)
+    if whole:
+
+        def each(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            found = [x.ids for x in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in found)]), np.array([len(x) for x in found], np.int64)
+
+        return Coder(each, whole=True), tokenizer, []
     length = np.array([len(tokenizer.id_to_token(k) or "") for k in range(tokenizer.get_vocab_size())], np.int64)
 
     def encode(spellings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,56 +158,102 @@ def _coder(path: str) -> Coder:
         at = np.arange(len(flat)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
         return flat[at], sizes
 
-    return Coder(encode)
+    return Coder(encode), tokenizer, controls
 
 
 def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
-def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Encodes whole texts and writes them to ``folder``; returns the manifest: shard, file, n_docs, n_tokens.
+    """folder: with its scheme, as ``new_folder`` names it."""
+    if "://" not in folder:
+        raise ValueError(f"a folder needs a scheme: {folder}")
+    return fs.FileSystem.from_uri(folder)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: bytes, plain_controls: bool) -> Iterator[tuple[int | None, bytes]]:
+    """doc_id and ids, the end id included, of each row."""
+    for batch, texts in text_slices(batches, most=4 * SLICE_BYTES):
+        coder, tokenizer, controls = _coder(path, plain_controls)
+        odd = np.zeros(len(texts), bool)
+        for control in controls:
+            odd |= pc.match_substring(texts, control).to_numpy(zero_copy_only=False)
+        ids, at = coder.code(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        packed = ids.astype("<u4").tobytes()
+        for k, (doc_id, a, b) in enumerate(zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            own = np.array(tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes() if odd[k] else packed[4 * a : 4 * b]
+            yield doc_id, own + end
+    _coder(path, plain_controls)[0].forget()  # the worker may serve other stages next
+
+
+def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, most_shards: int = MOST_SHARDS, plain_controls: bool = False) -> DataFrame:
+    """Encodes whole texts and writes them to ``folder``; returns the manifest: shard, file, n_docs, n_tokens, first_id, last_id.
 
     Each document's ids are followed by ``end_id``.  Null and empty texts have the end id alone.  Documents are in ascending
-    doc_id order over all shards, null ids first, equal ids by their ids' bytes; repeated rows are written each.
+    doc_id order over all shards, null ids first, equal ids by a hash of their texts; repeated rows are written each, and the
+    rows of one id may fill several shards.  A vocabulary's control strings within a text are its tokens, as the library's
+    plain call has it; with ``plain_controls`` they are ordinary text.  An empty table writes no file.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = base.count()
-    n = max(1, -(-rows // shard_rows))
-    cuts = base.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = struct.pack("<I", end_id)
-        for batch, texts in text_slices(batches, most=4 * SLICE_BYTES):
-            ids, at = _coder(path).code(texts)
-            whole, doc_ids = ids.astype("<u4").tobytes(), batch.column("doc_id")
-            shard = np.searchsorted(bounds, pc.fill_null(doc_ids, -(2**63)).to_numpy(zero_copy_only=False), side="right")
-            packed = [whole[4 * a : 4 * b] + end for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc_ids, pa.array(packed, pa.binary())], names=["shard", "doc_id", "ids"])
-        _coder(path).forget()  # the worker may serve other stages next
+    n = min(most_shards, max(1, -(-base.count() // shard_rows)))
+    order = [F.asc_nulls_first("doc_id"), F.asc("text_hash"), F.asc("row_id")]
+    dealt = base.withColumns({"text_hash": F.xxhash64("text"), "row_id": F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = _filesystem(folder)
-        number = None
-        for batch in batches:
-            for shard, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
-                if number is None:
-                    store.create_dir(at, recursive=True)
-                    number, n_docs, n_tokens = shard, 0, 0
-                    name, own = f"shard-{shard:08d}.tok.zst", f"{at}/.{uuid.uuid4().hex}"
-                    out = store.open_output_stream(own, compression=None)
-                    writer = FileWriter(out)
-                writer.add(doc_id, ids)
-                n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4
-        if number is not None:
+        number, writer = TaskContext.get().partitionId(), None
+        for doc_id, ids in _encoded(batches, path, struct.pack("<I", end_id), plain_controls):
+            if writer is None:
+                store, at = _filesystem(folder)
+                store.create_dir(at, recursive=True)
+                name, own = f"shard-{number:08d}.tok.zst", f"{at}/.{uuid.uuid4().hex}"
+                out = store.open_output_stream(own, compression=None)
+                writer, n_docs, n_tokens, first = FileWriter(out), 0, 0, doc_id
+            writer.add(doc_id, ids)
+            n_docs, n_tokens, last = n_docs + 1, n_tokens + len(ids) // 4, doc_id
+        if writer is not None:
             writer.close()
             out.close()
             store.move(own, f"{at}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["shard", "file", "n_docs", "n_tokens"])
+            row = {"shard": number, "file": f"{folder}/{name}", "n_docs": n_docs, "n_tokens": n_tokens, "first_id": first, "last_id": last}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("file", pa.string()), *((c, pa.int64()) for c in ("n_docs", "n_tokens", "first_id", "last_id"))]))
+
+    return kept(dealt.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long, first_id long, last_id long"), "token-manifest")
+
+
+def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents of the ids in ``wanted`` (doc_id): doc_id, n_tokens, ids.  Only the frames that hold them are decompressed.
 
-    dealt = base.mapInArrow(encode, "shard int, doc_id long, ids binary").repartitionById(len(bounds) + 1, F.col("shard"))
-    return kept(dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids").mapInArrow(write, "shard int, file string, n_docs long, n_tokens long"), "token-manifest")
+    Ids are distinct and not null; one that no file holds gives no row, one that stands on several rows gives each of them.
+    The manifest (MOST_SHARDS rows at most) tells which files an id can stand in.
+    """
+    shards = [r for r in manifest.select("shard", "file", "first_id", "last_id").orderBy("shard").collect() if r.last_id is not None]
+    first, last = (np.array([least if r[c] is None else r[c] for r in shards], np.int64) for c, least in (("first_id", -(2**63)), ("last_id", 0)))
+    files = [r.file for r in shards]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            a, b = np.searchsorted(last, ids, side="left"), np.searchsorted(first, ids, side="right")  # shards a to b - 1
+            size = np.maximum(b - a, 0)
+            shard = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([pa.array([files[k] for k in shard.tolist()], pa.string()), pa.array(np.repeat(ids, size))], names=["file", "doc_id"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, source, current = None, None, None
+        for batch in batches:
+            rows = []
+            for file, doc_id in zip(batch.column("file").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+                if file != current:
+                    if source is not None:
+                        source.close()
+                    store, at = _filesystem(file)
+                    source = store.open_input_file(at)
+                    reader, current = FileReader(source), file
+                rows += [(doc_id, len(ids) // 4, ids) for _, _, ids in reader.read(iter(reader.places(doc_id)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_tokens", "ids"])
+        if source is not None:
+            source.close()
+
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    dealt = asked.mapInArrow(deal, "file string, doc_id long").repartition("file").sortWithinPartitions("file", "doc_id")
+    return dealt.mapInArrow(read, "doc_id long, n_tokens long, ids binary")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
