@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small tables with nulls, empty and long texts, repeats and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -119,9 +120,7 @@ def test_licences(spark, docs):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE_JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE_JSON)
 
 
 def random_texts(n, seed):
@@ -140,9 +139,24 @@ def test_segments_join_to_the_text():
 
 def test_library_tokens(library):
     texts = random_texts(3000, 2)
-    coder = token_files._coder(BPE_JSON)
-    ids, at = coder.code(pa.array(texts, pa.string()))
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    texts += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext", "é" * 400_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    for plain in (False, True):
+        library.encode_special_tokens = plain
+        expected = [np.array([*e.ids, 2], "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [ids for _, ids in token_files._encoded(iter([batch]), BPE_JSON, np.array([2], "<u4").tobytes(), plain)] == expected
+    library.encode_special_tokens = False
+    assert np.frombuffer(expected[-4], "<u4").tolist().count(50256) == 0 and len(library.encode("a <|endoftext|> b", add_special_tokens=False).ids) == 4
+
+
+def test_tokenizers_of_other_kinds_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = random_texts(300, 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    expected = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids for _, ids in token_files._encoded(iter([batch]), path, b"", False)] == expected
 
 
 def test_matrix_bpe_equals_the_library():
@@ -159,6 +173,24 @@ def test_matrix_bpe_equals_the_library():
             assert table.decode(own) == t.encode()
 
 
+def test_matrix_bpe_of_long_pieces_and_other_patterns():
+    import tiktoken
+
+    rng = random.Random(9)
+    table = bpe.load(RANKS, public_tokenizers.PATTERN)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table.ranks, special_tokens={})
+    letters = lambda n, own: "".join(rng.choices(own, k=n))
+    texts = [letters(n, own) for own in ("abcdefghijklmnopqrstuvwxyz", "ab", "a", "theandingtion", "éüaß") for n in (4097, 6001, 20_000)] + ["the" * 3000, "=" * 9001, letters(1_000_000, "etaoinshrdlu")]
+    for text in texts:
+        ids, at = segments.Coder(table.encode).code(pa.array([text, "and"], pa.string()))
+        assert ids[: at[1]].tolist() == encoding.encode_ordinary(text)
+    pattern = r"[a-m]+|[^a-m]+"  # cuts that the segments don't know
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=table.ranks, special_tokens={})
+    coder, texts = bpe._coder(RANKS, pattern), random_texts(200, 5)
+    ids, at = coder.code(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [other.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_query(spark, docs):
     out = bpe.digests(docs, RANKS, public_tokenizers.PATTERN)
     texts = sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect())
@@ -178,6 +210,11 @@ def test_token_files(spark, docs, library, shard_rows):
         packed = np.array(expected[r.doc_id], "<u4").tobytes()
         assert (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (start, len(expected[r.doc_id]), zlib.crc32(packed), packed)
         start += r.n_tokens
+    manifest = token_files.write_token_files(docs, BPE_JSON, new_folder(spark, "test-tokens"), shard_rows=shard_rows)
+    asked = spark.createDataFrame([(3,), (3,), (17,), (64,), (9999,), (None,)], "doc_id long")
+    found = token_files.read_documents(manifest, asked).collect()
+    assert sorted((r.doc_id, bytes(r.ids)) for r in found) == sorted((r.doc_id, bytes(r.ids)) for r in out if r.doc_id in (3, 17, 64))
+    assert all(r.n_tokens * 4 == len(r.ids) for r in found)
     nothing = token_files.write_token_files(empty(docs), BPE_JSON, new_folder(spark, "test-tokens"))
     assert token_files.read_token_files(nothing).count() == 0
 
@@ -269,6 +306,20 @@ def test_short_values_can_be_live(spark):
     assert [masked[r[0]] for r in rows[len(live) :]] == [r[1] for r in rows[len(live) :]]
 
 
+def test_web_tokens_in_one_pass():
+    import time
+
+    pattern = re.compile(secrets.KINDS[4][1], re.ASCII)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(["eyJ", ".", "a", "-", " ", "eyJx.y.z", "é"], k=rng.randint(0, 30))) for _ in range(3000)]
+    for text in texts:
+        assert secrets._web_tokens(text) == [m.span() for m in pattern.finditer(text)]
+    began = time.perf_counter()
+    for text in ("eyJ" * 350_000, "-eyJ" * 250_000, "eyJa. " * 200_000, "eyJ." * 250_000, "password" * 130_000, "-----BEGIN " * 90_000, "AKIA" * 250_000):
+        secrets.find(text)
+    assert time.perf_counter() - began < 30
+
+
 def test_chat_round_trip(spark):
     texts = ["", None, "</s>[INST] ok [/INST]", "<\\s>", "<|turn|>user\nhi<|end|>\n", "[\\\\INST]", "a\\nb", "é" * 9]
     rows = [(c, t, ["system", "user", "assistant", "odd\nrole", None][(c + t) % 5], texts[(c * 3 + t) % len(texts)]) for c in range(6) for t in range(c)] + [(5, 1, "user", "tie"), (5, 1, "user", "tie"), (None, 0, "assistant", "lost"), (77, None, "user", "no turn")]
@@ -298,19 +349,30 @@ def test_chat_examples_hold_their_prefix(spark):
         assert not any(c in chat.escape(text) for c in chat.CONTROLS)
 
 
-@pytest.mark.parametrize("block", [4, 8192])
+def top_k_by_hand(rows, modulus, k=5):
+    """Whole numbers, each row against all others."""
+    good = []
+    for key, v in rows:
+        if key is not None and v is not None and all(x is not None and math.isfinite(256.0 * x) for x in v):
+            good.append((key, [math.floor(256.0 * x) for x in v] + [0] * (6 - len(v))))
+    out = []
+    for i, (q, own) in enumerate(good):
+        if q % modulus == 0:
+            clipped = [(max(-(2**63 - 1024), min(2**63 - 1024, sum(a * b for a, b in zip(own, v, strict=True)))), key) for j, (key, v) in enumerate(good) if j != i]
+            out += [(q, r + 1, key, s) for r, (s, key) in enumerate(sorted(clipped, key=lambda x: (-x[0], x[1]))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [4, 32_768])
 def test_top_k(spark, block):
     rng = np.random.default_rng(5)
     vectors = [(k, [float(x) for x in rng.integers(-3, 4, 6) / 256]) for k in range(60)]
-    odd = [(60, None), (61, [1.0, None]), (62, [float("nan")] * 6), (63, [float("inf")] * 6), (64, [0.5]), (65, []), (None, [1.0] * 6), (5, vectors[5][1]), (100, [0.0] * 6)]
-    df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>").withColumn("block", F.lit(0))
-    good = {k: [int(np.floor(256 * x)) for x in v] + [0] * (6 - len(v)) for k, v in [*vectors, (64, [0.5]), (65, []), (100, [0.0] * 6)]}
-    expected = []
-    for q in (k for k in good if k % 10 == 0):
-        best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), k) for k, v in good.items() if k != q)[:5]
-        expected += [(q, r + 1, k, -s) for r, (s, k) in enumerate(best)]
-    out = topk.top_k(df, query_modulus=10, block_vectors=block, block_queries=2)
-    assert sorted(map(tuple, out.collect())) == sorted(expected)
+    odd = [(60, None), (61, [1.0, None]), (62, [float("nan")] * 6), (63, [float("inf")] * 6), (64, [0.5]), (65, []), (None, [1.0] * 6), (5, vectors[5][1]), (100, [0.0] * 6), (5, vectors[6][1]), (20, vectors[20][1]), (20, vectors[21][1])]
+    large = [(70, [1e30, 1.0]), (71, [-1e30, 2.0, 1e17]), (72, [1e12, 3e12, -1e12, 0.5]), (73, [1e306] * 6), (80, [3e7 + 1 / 256] * 6), (81, [2e7, 1e7])]
+    for rows in (vectors + odd, vectors + odd + large):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"block": F.lit(0), "row_id": F.lit(0), "w": F.lit(0)})
+        out = topk.top_k(df, query_modulus=10, block_vectors=block, block_queries=2)
+        assert sorted(map(tuple, out.collect())) == top_k_by_hand(rows, 10)
     assert topk.top_k(empty(df)).count() == 0
     assert topk.top_k(df.where("vec_id in (0, 7)")).count() == 1
 
@@ -425,6 +487,54 @@ def test_classifiers_on_odd_rows(spark, docs):
         assert all(0 <= r.score <= 1 for r in blank)
 
 
+def test_scores_by_hand():
+    """The density difference and the noisy-or, number by number."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 2.0]])
+    y = (x[:, 0] + rng.normal(size=300) > 0.5).astype(int)
+    groups = [x[y == c] for c in (0, 1)]
+    model = quality.fit(np.array([len(g) for g in groups], float), np.array([g.sum(0) for g in groups]), np.array([g.T @ g for g in groups]))
+    scatter = [np.cov(g.T, bias=True) * len(g) for g in groups]
+    whole = sum(scatter) / (len(x) - 2)
+    whole = (1 - quality.SHRINK_DIAGONAL) * whole + quality.SHRINK_DIAGONAL * np.diag(np.diag(whole)) + 1e-6 * np.eye(3)
+    density = []
+    for g, s in zip(groups, scatter, strict=True):
+        cov = (1 - quality.SHRINK_POOLED) * s / (len(g) - 1) + quality.SHRINK_POOLED * whole
+        off = x - g.mean(0)
+        density.append(-0.5 * np.einsum("ni,ij,nj->n", off, np.linalg.inv(cov), off) - 0.5 * np.linalg.slogdet(cov)[1])
+    odds = density[1] - density[0] + np.log((len(groups[1]) + 1) / (len(groups[0]) + 1))
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(-odds)))
+
+    own = toxicity.Model(*(lambda h, w: (h[np.argsort(h)], w[np.argsort(h)]))(toxicity.spelling_features(pa.array([b"vermin", b"rogues"], pa.binary()))[:, 0], np.array([5.0, 3.0])), -4.0)
+    texts = ["Vermin! plain words. rogues and rogues\nvermin", "plain. words", "", "rogues. rogues. rogues. rogues"]
+    weights = {"vermin": 5.0, "rogues": 3.0}
+    expected = []
+    for t in texts:
+        kept = 1.0
+        for sentence in re.split(r"[.!?\n]", t):
+            w = [weights.get(x, 0.0) for x in low(sentence)]
+            if any(x >= toxicity.MARK for x in w):
+                kept *= 1 - 1 / (1 + math.exp(4.0 - sum(w)))
+        expected.append(1 - kept)
+    found = toxicity.sentences(pa.array(texts, pa.string()))
+    score, p = own.document_scores(found, len(texts))
+    assert np.allclose(score, expected)
+    near = toxicity.located(found, score, p)
+    assert np.bincount(found.doc, near, len(texts)).astype(bool).tolist() == (score >= 0.5).tolist()
+
+
+def test_toxicity_learns_among_foreign_labels(spark):
+    rows = [(k, "plain words here. more of them" + (". you utter vermin" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(400)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    foreign = spark.range(10_000, 2_010_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int").union(foreign)
+    out = toxicity.toxicity(df, labels).collect()
+    assert all(r.predicted == (r.doc_id % 4 == 0) and (r.n_sentences > 0) == (r.predicted == 1) for r in out)
+    unlabelled = spark.createDataFrame([(1, "wholly unknown words. " * 10_000), (2, "you utter vermin"), (3, None)], "doc_id long, text string")
+    assert toxicity.clean_documents(unlabelled, empty(labels)).count() == 3
+    assert [r.score for r in toxicity.toxicity(unlabelled, empty(labels)).collect()] == [0.0] * 3
+
+
 def test_offending_sentences(spark):
     texts = [f"plain words {k} here. more plain words follow{'. you utter vermin' if k % 3 == 0 else ''}. the end" for k in range(200)]
     model = toxicity.fit(pa.array(texts, pa.string()), np.array([k % 3 == 0 for k in range(200)]))
