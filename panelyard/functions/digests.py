@@ -28,6 +28,8 @@ def record_digest(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else hashlib.sha256(canonical_json(json.loads(t)).encode()).hexdigest())
 
 
-def configuration_key(*fields: Column) -> Column:
-    """SHA-256 of fields joined by the unit separator; a null field differs from an empty one."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(f.cast("string"), F.lit("\x00")) for f in fields]), 256)
+def configuration_key(**fields: Column) -> Column:
+    """SHA-256 of the named fields as a JSON object with sorted keys; a null field stays as null, so it differs from an empty one
+    and from a text that looks like one."""
+    named = F.struct(*(c.cast("string").alias(n) for n, c in sorted(fields.items())))
+    return F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256)

@@ -93,6 +93,20 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+#: The shapes of names.
+NAMES = {"slug": r"[a-z0-9]+(-[a-z0-9]+)*", "id": r"[A-Za-z0-9][A-Za-z0-9._-]*", "version": r"v[0-9]+(\.[0-9]+)*", "bucket": r"[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]"}
+
+
+def valid_name(text: Column, kind: str) -> Column:
+    """Whether the whole text has the shape of NAMES; null has none."""
+    return F.coalesce(text.rlike(rf"\A(?:{NAMES[kind]})\z"), F.lit(False))
+
+
+def safe_path(text: Column) -> Column:
+    """Whether a path stays below its root: relative, without empty, ``.`` or ``..`` parts or backslashes."""
+    return F.coalesce((text != "") & ~text.rlike(r"\A/|//|/\z|(\A|/)\.{1,2}(/|\z)|[\\]"), F.lit(False))
+
+
 def wrapped(text: Column, width: int = 80) -> Column:
     """Lines of a fixed width, without a line feed at the end."""
     return F.regexp_replace(text, f"(.{{{width}}})(?=.)", "$1\n")

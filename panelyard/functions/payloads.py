@@ -58,6 +58,17 @@ def markdown_table(rows: Column, names: list[str]) -> Column:
     return F.concat_ws("\n", head, F.array_join(lines, "\n"))
 
 
+def category_label(value: Column) -> Column:
+    """A category's name for display: underscores as spaces, the first letter upper case."""
+    text = F.replace(value, F.lit("_"), F.lit(" "))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.char_length(text)))
+
+
+def run_label(name: Column, detail: Column) -> Column:
+    """``name (detail)``, or the name alone where there is no detail."""
+    return F.concat(name, F.coalesce(F.concat(F.lit(" ("), detail.cast("string"), F.lit(")")), F.lit("")))
+
+
 def request_id(number: Column) -> Column:
     return F.format_string("request_%06d", number)
 

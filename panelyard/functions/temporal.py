@@ -30,6 +30,11 @@ def cutoff_relation(date: Column, cutoff: Column, earlier: Column) -> Column:
     return F.when(earlier.isNull() | (main != "After"), main).when(first == "Before", "Mixed").when(first == "Unknown", "Unknown").otherwise(main)
 
 
+def epoch_or(seconds: Column, fallback: Column) -> Column:
+    """A time from seconds since 1970, or from the fallback's where they are unknown."""
+    return F.timestamp_seconds(F.coalesce(seconds, fallback))
+
+
 def iso_utc(ts: Column) -> Column:
     """UTC ISO text with Z (the session's time zone must be UTC)."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

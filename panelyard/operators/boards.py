@@ -28,6 +28,20 @@ def run_metrics(df: DataFrame, key: list[str], status: str, value: str, result_t
     return out.withColumns({"api_errors": F.col("attempted") - F.col("completed"), "valid_rate": F.try_divide("_valid", "completed"), "complete": F.col("attempted") == F.col("completed")}).drop("_valid")
 
 
+def coverage(df: DataFrame, expected: DataFrame, key: list[str], item: str, status: str) -> DataFrame:
+    """Runs against the items that were to be done: attempted, completed, api_errors, missing, unexpected, complete.
+
+    expected: the items (one row each) of every run; a run is complete if each of them stands there once, completed, and
+    nothing else does.
+    """
+    n = F.lit(expected.select(item).distinct().count())
+    known = df.join(expected.select(item).distinct().withColumn("_known", F.lit(True)), item, "left")
+    done = F.col(status) == "completed"
+    out = known.groupBy(*key).agg(F.count("*").alias("attempted"), F.count_if(done).alias("completed"), F.count_distinct(F.when(F.col("_known"), F.col(item))).alias("_seen"), F.count_if(F.col("_known").isNull()).alias("unexpected"))
+    full = (F.col("_seen") == n) & (F.col("attempted") == n) & (F.col("completed") == F.col("attempted"))
+    return out.select(*key, "attempted", "completed", (F.col("attempted") - F.col("completed")).alias("api_errors"), (n - F.col("_seen")).alias("missing"), "unexpected", full.alias("complete"))
+
+
 def leaderboard(df: DataFrame, score: str, names: list[str]) -> DataFrame:
     """Adds position: by score descending, nulls last, then names in binary order.  One row per entry of the board."""
     return df.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last(score), *names)))

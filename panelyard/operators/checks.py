@@ -27,10 +27,46 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
 
 def finite(value: str) -> Column:
     """The column as a double that is a finite number, else null; texts that aren't numbers are null too."""
-    x = F.expr(f"try_cast({value} as double)")
+    return finite_text(F.col(value))
+
+
+def finite_text(value: Column) -> Column:
+    """:func:`finite` of any column."""
+    x = value.try_cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def tri_state(value: Column, fail: list[str], known: list[str]) -> Column:
+    """exclude for a failing value, keep for a passing one; any other value, null too, is an error where passing values are named."""
+    bad = F.coalesce(value.isin(fail), F.lit(False))
+    if not known:
+        return F.when(bad, "exclude").otherwise("keep")
+    unknown = F.raise_error(F.concat(F.lit("unknown quality value: "), F.coalesce(value, F.lit("null")))).cast("string")
+    return F.when(bad, "exclude").when(F.coalesce(value.isin(known), F.lit(False)), "keep").otherwise(unknown)
+
+
+def oriented(score: Column, direction: int) -> Column:
+    """The score in the direction (1 or -1) in which larger means more effect."""
+    if direction not in (1, -1):
+        raise ValueError(f"not a direction: {direction}")
+    return score * F.lit(direction)
+
+
+def split_fields(df: DataFrame, key: list[str], private: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The public and the private part of a table, each under the key; the private part bears the public part's digest.
+
+    No private column is in the public part, so nothing of it can leak from there.
+    """
+    shown = [c for c in df.columns if c not in private]
+    digest = F.sha2(F.to_json(F.struct(*sorted(shown))), 256).alias("public_sha256")
+    return df.select(*shown), df.select(*key, digest, *(c for c in private if c not in key))
+
+
+def intersecting(left: Column, right: Column) -> Column:
+    """Whether two arrays share an element; nulls match nothing, and a null array nothing at all."""
+    return F.coalesce(F.arrays_overlap(F.array_compact(left), F.array_compact(right)), F.lit(False))
+
+
 def reasons(cascade: list[tuple[str, Column]]) -> Column:
     """The first reason whose condition holds, null if none does: an exclusion cascade."""
     out = None
@@ -98,6 +134,17 @@ def merge_chunks(chunks: list[DataFrame], key: str, expected: DataFrame) -> tupl
     return whole, sides.select(F.col(key), problem.alias("problem")).where("problem is not null")
 
 
+def chronology_bounds(df: DataFrame, bounds: DataFrame, by: list[str], at: str, first: str, last: str) -> DataFrame:
+    """Attempts that don't lie after their original's time and up to their final one's: the attempt's columns and rule.
+
+    bounds: one row for each key, with the original's time (``first``) and the final one's (``last``).  Rules: no_original,
+    before_original, after_final; unknown times break before_original.
+    """
+    both = df.join(bounds.select(*by, F.col(first).alias("_first"), F.col(last).alias("_last"), F.lit(True).alias("_there")), by, "left")
+    rule = F.when(F.col("_there").isNull(), "no_original").when(~F.coalesce(F.col(at) >= F.col("_first"), F.lit(False)), "before_original").when(F.col(at) > F.col("_last"), "after_final")
+    return both.withColumn("rule", rule).where("rule is not null").drop("_first", "_last", "_there")
+
+
 def chronology_breaches(df: DataFrame, by: list[str], at: str, order: str) -> DataFrame:
     """Rows whose time lies before that of the row in front, by ``order``: by, order, at, previous_at."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -74,6 +74,51 @@ def attempts(failed: DataFrame, key: list[str], order: list[str], fields: list[s
     return failed.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, *(f for f in fields if f not in order)))).alias("attempts"))
 
 
+def attach_attempts(recovered: DataFrame, failed: DataFrame, key: list[str], order: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Recovered rows with all their failed attempts (an empty array for none), and the failed attempts that belong to no row."""
+    held = attempts(failed, key, order, fields)
+    kind = held.schema["attempts"].dataType.simpleString()
+    out = recovered.join(held, key, "left").withColumn("attempts", F.coalesce("attempts", F.array().cast(kind)))
+    return out, failed.join(recovered.select(*key), key, "left_anti")
+
+
+def allele_scores(alleles: DataFrame, scores: DataFrame, routes: list[str], score: str, identity: str) -> DataFrame:
+    """Selected alleles with their public score, found by the first of several keys (such as a trimmed allele, then its text) that
+    has one: adds score, route and match (matched, ambiguous, missing).
+
+    A key that stands on several score rows with different values is ambiguous: an error for the caller, without a score.
+    Alleles bear a unique ``identity``; null keys match nothing.
+    """
+    found = None
+    for k, route in enumerate(routes):
+        of = scores.where(F.col(route).isNotNull()).groupBy(route).agg(F.min(score).alias("_score"), (F.count_distinct(score) > 1).alias("_many"))
+        hit = alleles.select(identity, route).join(of, route).select(identity, F.struct(F.lit(k).alias("k"), F.lit(route).alias("route"), "_score", "_many").alias("_hit"))
+        found = hit if found is None else found.unionByName(hit)
+    best = found.groupBy(identity).agg(F.min_by("_hit", F.col("_hit")["k"]).alias("_hit"))
+    h = F.col("_hit")
+    match = F.when(h.isNull(), "missing").when(h["_many"], "ambiguous").otherwise("matched")
+    return alleles.join(best, identity, "left").withColumns({score: F.when(match == "matched", h["_score"]), "route": h["route"], "match": match}).drop("_hit")
+
+
+def guarded_chain(df: DataFrame, steps: list[tuple[DataFrame, list[str], list[str], list[str]]]) -> DataFrame:
+    """A row through several tables, each by its key and only where all its guards (digests, lengths) are equal: adds the columns of
+    each step and problem, the first step that failed (missing_<n>, differs_<n>); null for a whole chain.
+
+    steps: table (one row per key), key, guards (columns of the row so far and of the table alike), columns to add.
+    """
+    problem = F.lit(None).cast("string")
+    for n, (right, key, guards, columns) in enumerate(steps):
+        named = right.select(*key, *(F.col(g).alias(f"_g_{g}") for g in guards), *(F.col(c).alias(f"_c_{c}") for c in columns), F.lit(True).alias("_there"))
+        same = F.lit(True)
+        for g in guards:
+            same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        df = df.join(named, key, "left")
+        before = F.col("problem") if n else problem
+        df = df.withColumn("problem", F.coalesce(before, F.when(F.col("_there").isNull(), f"missing_{n}").when(~same, f"differs_{n}")))
+        df = df.withColumns({c: F.when(F.col("problem").isNull(), F.col(f"_c_{c}")) for c in columns}).drop("_there", *(f"_g_{g}" for g in guards), *(f"_c_{c}" for c in columns))
+    return df
+
+
 def positional_zip(left: DataFrame, right: DataFrame, key: str, values: str) -> DataFrame:
     """Two arrays of a key side by side: key, position from 0, left_value, right_value; the shorter is filled with nulls."""
     both = left.select(key, F.col(values).alias("_a")).join(right.select(key, F.col(values).alias("_b")), key)

@@ -28,8 +28,10 @@ def score_bins(df: DataFrame, by: list[str], value: str, bins: int = BINS) -> Da
 
 
 def sampling_digest(seed: str, question: Column, bin_: Column, key: Column) -> Column:
-    """SHA-256 of the compact JSON array [seed, question, bin, key]; for keys of ASCII without quotes or backslashes."""
-    return F.sha2(F.concat(F.lit(f'["{seed}","'), question.cast("string"), F.lit('",'), bin_.cast("string"), F.lit(',"'), key.cast("string"), F.lit('"]')), 256)
+    """SHA-256 of the compact JSON array [seed, question, bin, key]; quotes, backslashes and control characters are escaped as JSON
+    has it, other characters stand as they are."""
+    quoted = lambda c: F.substring(F.to_json(F.array(c.cast("string"))), F.lit(2), F.char_length(F.to_json(F.array(c.cast("string")))) - 2)
+    return F.sha2(F.concat(F.lit("["), quoted(F.lit(seed)), F.lit(","), quoted(question), F.lit(","), bin_.cast("string"), F.lit(","), quoted(key), F.lit("]")), 256)
 
 
 def stratified_sample(df: DataFrame, by: list[str], key: str, value: str, seed: str, size: int = PANEL, bins: int = BINS) -> DataFrame:

@@ -46,14 +46,30 @@ def highest_ordinal(df: DataFrame, key: list[str], ordinal: str, domain: list[st
     return placed.withColumn("disposition", label).drop("_o")
 
 
-def preferred_latest(df: DataFrame, key: list[str], kind: str, preference: list[str], at: str) -> DataFrame:
-    """The newest row of the most preferred kind for each key: adds tied (rows that share its time; over 1 breaks the rule)."""
+def preferred_latest(df: DataFrame, key: list[str], kind: str, preference: list[str], at: str, strict: bool = False) -> DataFrame:
+    """The newest row of the most preferred kind for each key: adds tied (rows that share its time; over 1 breaks the rule).
+
+    Kinds outside ``preference`` rank last.  With ``strict`` a tie and an unknown kind are errors, raised when the rows are read.
+    """
     listed = F.array_position(F.array(*[F.lit(p) for p in preference]), F.col(kind))
-    placed = df.withColumn("_p", F.when(listed > 0, listed).otherwise(F.lit(len(preference) + 1)))
+    other = F.raise_error(F.concat(F.lit("unknown kind: "), F.coalesce(F.col(kind), F.lit("null")))).cast("long") if strict else F.lit(len(preference) + 1)
+    placed = df.withColumn("_p", F.when(listed > 0, listed).otherwise(other))
     best = Window.partitionBy(*key)
     near = placed.withColumn("_best", F.min("_p").over(best)).where("_p = _best")
     near = near.withColumn("_at", F.max(at).over(best)).where(F.col(at) == F.col("_at"))
-    return near.withColumn("tied", F.count("*").over(best)).drop("_p", "_best", "_at")
+    tied = near.withColumn("tied", F.count("*").over(best)).drop("_p", "_best", "_at")
+    return tied.withColumn("tied", F.when(F.col("tied") == 1, F.col("tied")).otherwise(F.raise_error(F.lit("equal times")).cast("long"))) if strict else tied
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place in a total order, from 1: ranges of the order are numbered in their tasks, and shifted by the counts of
+    the ranges before them (one row a range)."""
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    inside = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return inside.join(F.broadcast(shift), "_range").withColumn(name, F.col("_k") + F.col("_shift")).drop("_range", "_k", "_shift")
 
 
 def sequential_ids(df: DataFrame, by: list[str], order: list[Column], prefix: str, width: int, name: str) -> DataFrame:
@@ -82,6 +98,6 @@ def prefix_mismatches(expected: DataFrame, written: DataFrame, order: list[Colum
 
     Fewer written records are fine (work resumes after them), more are not.
     """
-    numbered = lambda df, by, name: df.select(F.row_number().over(Window.orderBy(*by)).alias("place"), F.col(key).alias(name))
-    both = numbered(written, written_order, "written").join(numbered(expected, order, "expected"), "place", "left")
+    placed = lambda df, by, name: numbered(df, by, "place").select("place", F.col(key).alias(name))
+    both = placed(written, written_order, "written").join(placed(expected, order, "expected"), "place", "left")
     return both.where(~F.col("written").eqNullSafe(F.col("expected"))).select("place", "expected", "written")

@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.operators import checks
+
 
 def average_rank(value: str, by: list[str]) -> Column:
     """Rank from 1 within ``by``; equal values share the mean of their ranks.  Nulls rank first, as one value."""
-    order, ties = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
+    order = Window.partitionBy(*by).orderBy(value)  # equal values are one range, so one sort serves both
+    return F.rank().over(order) + (F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
 def correlation(x: str, y: str) -> Column:
@@ -35,8 +37,8 @@ def scaled(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 
 def panel_correlations(df: DataFrame, by: list[str], prediction: str, reference: str) -> DataFrame:
-    """Per panel: n, spearman_rho (Pearson over average ranks), pearson_r.  Rows with a null on either side are left out."""
-    rows = df.select(*by, F.col(prediction).cast("double").alias("p"), F.col(reference).cast("double").alias("r")).dropna(subset=["p", "r"])
+    """Per panel: n, spearman_rho (Pearson over average ranks), pearson_r.  Rows without a finite number on either side are left out."""
+    rows = df.select(*by, checks.finite_text(F.col(prediction)).alias("p"), checks.finite_text(F.col(reference)).alias("r")).dropna(subset=["p", "r"])
     ranked = rows.withColumns({"rank_p": average_rank("p", by), "rank_r": average_rank("r", by)})
     return scaled(ranked, by, ["p", "r"]).groupBy(*by).agg(F.count("*").alias("n"), correlation("rank_p", "rank_r").alias("spearman_rho"), correlation("p", "r").alias("pearson_r"))
 
@@ -101,13 +103,14 @@ def t_interval(df: DataFrame, by: list[str], value: str, level: float = 0.95) ->
     """
 
     @F.pandas_udf("double")
-    def critical(freedom: pd.Series) -> pd.Series:
-        return freedom.map(lambda d: t_quantile(0.5 + level / 2, int(d)) if d >= 1 else None).astype(float)
+    def quantile(freedom: pd.Series) -> pd.Series:
+        return freedom.map(lambda d: t_quantile(0.5 + level / 2, int(d))).astype(float)
 
     g = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (F.min(value) == F.max(value)).alias("steady"))
     status = F.when(F.col("n") < 2, "insufficient").when(F.col("steady"), "constant_scores").otherwise("estimated")
-    half = F.when(status == "estimated", critical(F.col("n") - 1) * F.col("sd") / F.sqrt("n"))
-    return g.select(*by, "n", "mean", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"), status.alias("status"))
+    sizes = g.select("n").where("n > 1").distinct().withColumn("critical", quantile(F.col("n") - 1))  # once for each size
+    half = F.when(status == "estimated", F.col("critical") * F.col("sd") / F.sqrt("n"))
+    return g.join(sizes, "n", "left").select(*by, "n", "mean", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"), status.alias("status"))
 
 
 MOST_ALLOCATIONS = 200_000

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions import temporal
@@ -48,9 +48,23 @@ def proportional_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shares(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("share") + 0.000003, 4).alias("share"))
 
 
-@query("select o_orderkey as l_orderkey, '' as rule from orders where false")
+@query("""
+with o as (select distinct l_orderkey as k from lineitem join orders on o_orderkey = l_orderkey)
+select k as l_orderkey, rule from o join (values ('total_differs'), ('negative_share'), ('receipts_differ'), ('members_differ')) v(rule)
+on (rule = 'total_differs' and k % 10 in (3, 4)) or (rule = 'negative_share' and k % 10 = 4) or (rule = 'receipts_differ' and k % 10 = 5 and k in (select l_orderkey from lineitem group by 1 having count(*) > 1 and count(distinct l_linenumber) > 1)) or (rule = 'members_differ' and k % 10 = 6)
+""")
 def ledger_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.ledger_violations(_shares(spark, sf_dir), ["l_orderkey"], "share", "o_totalprice")
+    """Right shares break no rule; in some orders a share is too large or negative, receipts differ, or a member is missing."""
+    shares, k = _shares(spark, sf_dir), F.col("l_orderkey") % 10
+    least, most = (f("l_linenumber").over(Window.partitionBy("l_orderkey")) for f in (F.min, F.max))
+    marked = shares.withColumns({"_least": least, "_most": most})
+    first = F.col("l_linenumber") == F.col("_least")
+    share = F.when((k == 3) & first, F.col("share") + 1).when((k == 4) & first, -F.col("o_totalprice")).otherwise(F.col("share"))
+    receipt = F.when((k == 5) & first & (F.col("_least") < F.col("_most")), F.col("o_totalprice") - 1).otherwise(F.col("o_totalprice"))
+    # which of several equal receipts is compared with the sum is not the point here: the sum of such orders stays right
+    wrong = marked.withColumns({"share": share, "o_totalprice": receipt})
+    members = shares.select("l_orderkey", "l_linenumber").union(shares.where("l_orderkey % 10 = 6").groupBy("l_orderkey").agg(F.lit(99).alias("l_linenumber")))
+    return usage.ledger_violations(wrong, ["l_orderkey"], "share", "o_totalprice", members, "l_linenumber")
 
 
 @query("""
@@ -180,14 +194,15 @@ def containment_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with o as (select o_orderkey, o_custkey % 4 as k, datediff('day', date '1970-01-01', o_orderdate::date) as a, datediff('day', date '1970-01-01', o_orderdate::date) + o_orderkey % 60 as b from orders),
-f as (select o_custkey % 4 as k, 'f' || o_orderkey as feature, datediff('day', date '1970-01-01', o_orderdate::date) as c, datediff('day', date '1970-01-01', o_orderdate::date) + 20 as d from orders where o_orderkey % 500 = 0)
+f as (select k, 'q' || q as feature, min(a) as c, max(a) as d from (select *, year(o_orderdate) * 4 + quarter(o_orderdate) as q from (select o_custkey % 4 as k, datediff('day', date '1970-01-01', o_orderdate::date) as a, o_orderdate from orders)) group by k, q)
 select o_orderkey, string_agg(feature, ',' order by feature) as features from o join f using (k) where a <= d and c <= b group by 1
 """)
 def feature_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.unix_date(F.to_date("o_orderdate")).cast("long")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("k"), day.alias("a"), (day + F.col("o_orderkey") % 60).alias("b"))
-    features = orders.where("o_orderkey % 500 = 0").select("k", F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("feature"), F.col("a").alias("c"), (F.col("a") + 20).alias("d"))
-    pairs = joins.overlap_join(orders, features, ["k"], ("a", "b"), ("c", "d"), 30)
+    quarter = (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("string")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("k"), day.alias("a"), (day + F.col("o_orderkey") % 60).alias("b"), quarter.alias("q"))
+    features = orders.groupBy("k", F.concat(F.lit("q"), "q").alias("feature")).agg(F.min("a").alias("c"), F.max("a").alias("d"))
+    pairs = joins.overlap_join(orders.drop("q"), features, ["k"], ("a", "b"), ("c", "d"), 90)
     return pairs.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("features"))
 
 

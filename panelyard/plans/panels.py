@@ -90,10 +90,23 @@ def bin_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.bin_allocation(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal")
 
 
-@query("select c_custkey, 0 as bin, '' as rule, '' as detail from customer where false")
+@query(f"""
+with {_BINNED},
+c as (select c_mktsegment, bin, count(*) as n_rows from b group by 1, 2),
+g as (select c_mktsegment, unnest(range(0, 5)) as bin from (select distinct c_mktsegment from c)),
+f as (select c_mktsegment, bin::int as bin, coalesce(n_rows, 0)::bigint as n_rows from g left join c using (c_mktsegment, bin)),
+t as (select c_mktsegment, bin, unnest(range(1, least(n_rows, 50) + 1)) as r from f),
+s as (select *, row_number() over (partition by c_mktsegment order by r, bin) as slot from t),
+al as (select f.c_mktsegment, f.bin, n_rows, count(slot)::bigint as n from f left join s on s.c_mktsegment = f.c_mktsegment and s.bin = f.bin and slot <= 50 group by 1, 2, 3),
+w as (select c_mktsegment, bin, n_rows, case when c_mktsegment = 'BUILDING' and bin = 1 then n_rows + 1 when c_mktsegment = 'MACHINERY' and bin = 2 then n - 3 else n end as n from al),
+m as (select *, sum(n) over (partition by c_mktsegment) as total, sum(n_rows) over (partition by c_mktsegment) as rows_, max(n) over (partition by c_mktsegment) as most from w)
+select c_mktsegment, rule, 'bin ' || bin as detail from m join (values ('allocation_exceeds_rows'), ('total_differs'), ('uneven')) v(rule)
+on (rule = 'allocation_exceeds_rows' and n > n_rows) or (rule = 'total_differs' and total <> least(rows_, 50)) or (rule = 'uneven' and n < n_rows and n < most - 1)
+""")
 def allocation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sampling.allocation_violations(bin_allocation(spark, sf_dir), ["c_mktsegment"])
-    return found.select(F.lit(None).cast("long").alias("c_custkey"), F.lit(0).alias("bin"), "rule", "detail")
+    """The right allocation breaks no rule; in one segment a bin has too many rows, in another too few."""
+    wrong = F.when((F.col("c_mktsegment") == "BUILDING") & (F.col("bin") == 1), F.col("n_rows") + 1).when((F.col("c_mktsegment") == "MACHINERY") & (F.col("bin") == 2), F.col("n_allocated") - 3).otherwise(F.col("n_allocated"))
+    return sampling.allocation_violations(bin_allocation(spark, sf_dir).withColumn("n_allocated", wrong), ["c_mktsegment"])
 
 
 @query("select o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as o_orderkey, max(o_orderdate) as o_orderdate from orders where o_orderstatus = 'F' group by o_custkey")
@@ -138,11 +151,21 @@ def t_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("s_nationkey", "n", *(F.round(c, 7).alias(c) for c in ("mean", "ci_low", "ci_high")), "status")
 
 
-@query()
+@query("""
+with s as (select s_nationkey as g, s_suppkey % 2 = 0 as first, s_acctbal as v, row_number() over (partition by s_nationkey order by s_suppkey) as i from supplier),
+z as (select g, count(*) filter (first) as n1, count(*) filter (not first) as n2, avg(v) filter (first) - avg(v) filter (not first) as d, list(v order by i) as vs, sum(v) as total from s group by g),
+c as (select g, round(product((n1 + n2 - least(n1, n2) + k) / k)) as ways from (select g, n1, n2, unnest(range(1, least(n1, n2) + 1)) as k from z) group by g),
+f as (select z.*, case when n1 >= 2 and n2 >= 2 then ways else 0 end::bigint as n_allocations from z left join c using (g)),
+m as (select g, n1, n2, d, total, vs, mask from (select *, unnest(range(0, 1 << (n1 + n2))) as mask from f where n_allocations between 1 and 200000 and n1 + n2 <= 18) where bit_count(mask) = n1),
+x as (select g, n1, n2, d, total, list_sum(list_transform(range(0, n1 + n2), lambda k: if((mask >> k) & 1 = 1, vs[k + 1], 0.0))) as part from m),
+p as (select g, count(*) filter (part / n1 - (total - part) / n2 >= d - 1e-12 * greatest(1, abs(d))) / count(*) as p from x group by g)
+select g as s_nationkey, n1 as n_first, n2 as n_second, round(d, 7) as difference, n_allocations, round(p, 7) as p_value from f left join p using (g)
+""")
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances of suppliers with even against odd keys, nation by nation."""
     rows = table(spark, sf_dir, "supplier").withColumn("side", F.when(F.col("s_suppkey") % 2 == 0, "before").otherwise("after"))
-    return stats.permutation_test(rows, ["s_nationkey"], "side", "s_acctbal", "before", "after")
+    out = stats.permutation_test(rows, ["s_nationkey"], "side", "s_acctbal", "before", "after")
+    return out.withColumns({c: F.round(c, 7) for c in ("difference", "p_value")})
 
 
 @query("""

@@ -213,7 +213,10 @@ def final_line_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", parsing.last_choice(text).alias("answer"))
 
 
-@query()
+@query("""
+with e as (select event_id, round(value, 3) as v, case when event_id % 7 = 0 then 'duplicate id' when event_id % 5 = 0 then 'not finite: NaN' when event_id % 3 = 0 then 'missing: b' end as parse_error from events)
+select event_id, parse_error is null as valid, case when parse_error is null then v else 0.0 end as value, parse_error from e
+""")
 def final_line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict final objects built from events: some with a duplicate id, a missing id, or a constant that isn't finite."""
     value = F.round("value", 3).cast("string")
@@ -235,12 +238,12 @@ def result_type_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select o_custkey, sha256(o_custkey || chr(31) || string_agg(distinct o_orderstatus, ',' order by o_orderstatus) || chr(31) || case when min(o_orderpriority) = max(o_orderpriority) then min(o_orderpriority) else 'multiple' end) as configuration_key,
+select o_custkey, sha256('{"profile":"' || string_agg(distinct o_orderstatus, ',' order by o_orderstatus) || '","provider":"' || case when min(o_orderpriority) = max(o_orderpriority) then min(o_orderpriority) else 'multiple' end || '","run":"' || o_custkey || '"}') as configuration_key,
        string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as profile, case when min(o_orderpriority) = max(o_orderpriority) then min(o_orderpriority) else 'multiple' end as provider from orders group by o_custkey
 """)
 def config_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("profile"), boards.collapse("o_orderpriority").alias("provider"))
-    return runs.select("o_custkey", digests.configuration_key(F.col("o_custkey"), F.col("profile"), F.col("provider")).alias("configuration_key"), "profile", "provider")
+    return runs.select("o_custkey", digests.configuration_key(run=F.col("o_custkey"), profile=F.col("profile"), provider=F.col("provider")).alias("configuration_key"), "profile", "provider")
 
 
 @query("""select event_id, sha256('{"id":' || event_id || ',"k":' || (props->>'$.k') || ',"type":"' || event_type || '"}') as digest from events""")

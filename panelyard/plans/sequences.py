@@ -46,7 +46,18 @@ def sequence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _variants(spark, sf_dir).select("doc_id", sequence.reverse_complement(s).alias("reverse_complement"), sequence.variant_shape(ref, alt).alias("shape"), sequence.allele_type(ref, alt).alias("allele_type"), sequence.allele_key(F.lit("chr1"), pos, ref, alt).alias("allele_key"), sequence.edited(s, pos, ref, alt).alias("mutant"), parsing.wrapped(s, 20).alias("wrapped"))
 
 
-@query()
+@query("""
+with """ + _VARIANTS.split("h as")[0].strip().rstrip(",") + """,
+w as (select *, case when ref <> alt and len(ref) > 0 and pos - 1 + len(ref) <= len(s) then substr(s, 1, pos - 1) || alt || substr(s, pos + len(ref)) end as mutant from v),
+t as (select *, len(list_filter(range(1, least(len(s), len(mutant)) + 1), lambda k: substr(s, (len(s) - k + 1)::int) = substr(mutant, (len(mutant) - k + 1)::int))) as tail from w),
+c as (select *, substr(s, 1, len(s) - tail) as old, substr(mutant, 1, len(mutant) - tail) as new from t),
+h as (select *, len(list_filter(range(1, least(len(old), len(new)) + 1), lambda k: old[1:k] = new[1:k])) as head from c),
+r as (select *, substr(old, head + 1) as a, substr(new, head + 1) as b from h)
+select doc_id, case when mutant is null then null when a <> '' and b <> '' then head + 1 when head > 0 then head else 1 end::bigint as norm_pos,
+       case when mutant is null then null when a <> '' and b <> '' then a when head > 0 then s[head] || a else a || substr(s, len(a)::int + 1, 1) end as norm_ref,
+       case when mutant is null then null when a <> '' and b <> '' then b when head > 0 then s[head] || b else b || substr(s, len(a)::int + 1, 1) end as norm_alt,
+       case when mutant is not null then true end as mutant_unchanged, true as idempotent from r
+""")
 def allele_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left-most forms; the edit they make is the edit that was given, and normalising again changes nothing."""
     n = sequence.normalised("s", "pos", "ref", "alt")
@@ -114,9 +125,9 @@ def line_offset_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("page_id", (F.col("k") + 1).cast("long").alias("line"), F.coalesce(F.get("l", F.col("k") + 1), F.lit("")).alias("next_line"))
 
 
-@query(r"select doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') as slug, (len(text) - len(replace(text, 'the ', ''))) = 4 as once from documents")
+@query(r"select doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')) as slug_md5, (len(text) - len(replace(text, 'the ', ''))) = 4 as once from documents")
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", parsing.slug(F.substring("text", 1, 60)).alias("slug"), parsing.occurs_once(F.col("text"), "the ").alias("once"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(parsing.slug(F.col("text"))).alias("slug_md5"), parsing.occurs_once(F.col("text"), "the ").alias("once"))
 
 
 @query(r"select doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')) as slug_sha256, (len(text) - len(replace(text, 'the ', ''))) = 4 as once from documents")

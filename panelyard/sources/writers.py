@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions.digests import canonical
+from panelyard.sources.folders import opened
+
+SUFFIXES = {"gzip": ".gz", "zstd": ".zst"}
 
 
 def canonical_lines(df: DataFrame, key: str) -> DataFrame:
@@ -19,43 +24,153 @@ def canonical_lines(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), canonical(F.to_json(F.struct(*df.columns))).alias("line"))
 
 
-def write_jsonl(df: DataFrame, key: str, folder: str, partition_rows: int = 1_000_000) -> DataFrame:
-    """Writes gzip JSON lines in key order; returns path, records, content_sha256, content_bytes, artifact_sha256, artifact_bytes.
+class _Artifact:
+    """A packed file that is written line by line: what it holds and what it became are digested on the way."""
+
+    def __init__(self, folder: str, codec: str):
+        self.folder, self.suffix = folder, SUFFIXES[codec]
+        self.store, self.at = opened(folder)
+        self.store.create_dir(self.at, recursive=True)
+        self.own = f"{self.at}/.{uuid.uuid4().hex}"
+        self.out, self.n = self.store.open_output_stream(self.own, compression=None), 0
+        self.content, self.artifact = hashlib.sha256(), hashlib.sha256()
+        self.content_bytes = self.artifact_bytes = 0
+        self.pack = zlib.compressobj(6, zlib.DEFLATED, 16 + zlib.MAX_WBITS) if codec == "gzip" else zstandard.ZstdCompressor(level=9).compressobj()
+
+    def add(self, lines: list[str]) -> None:
+        content = "".join(line + "\n" for line in lines).encode()
+        self.content.update(content)
+        self.content_bytes, self.n = self.content_bytes + len(content), self.n + len(lines)
+        self._put(self.pack.compress(content))
+
+    def _put(self, packed: bytes) -> None:
+        self.artifact.update(packed)
+        self.artifact_bytes += len(packed)
+        self.out.write(packed)
+
+    def close(self) -> dict[str, object]:
+        """The descriptor.  The file gets a name made from its content, so a repeated task leaves the same file."""
+        self._put(self.pack.flush())
+        self.out.close()
+        name = f"{self.content.hexdigest()}.jsonl{self.suffix}"
+        self.store.move(self.own, f"{self.at}/{name}")
+        return {"path": f"{self.folder}/{name}", "records": self.n, "content_sha256": self.content.hexdigest(), "content_bytes": self.content_bytes, "artifact_sha256": self.artifact.hexdigest(), "artifact_bytes": self.artifact_bytes}
+
 
-    Rows are range-partitioned by key; a part's file is the same whenever it is written (no time stamp in it), under a name
-    made from its content, so a repeated task writes the same file once more.
+def write_jsonl(df: DataFrame, key: str, folder: str, partition_rows: int = 1_000_000, codec: str = "gzip") -> DataFrame:
+    """Writes packed JSON lines in key order; returns path, records, content_sha256, content_bytes, artifact_sha256, artifact_bytes.
+
+    Rows are range-partitioned by key; a part's file is the same whenever it is written (no time stamp in it).  codec: gzip or
+    zstd.  Lines go into the packer batch by batch, so a task holds a batch, whatever the part's size.
     """
     n = max(1, -(-df.count() // partition_rows))
     ordered = canonical_lines(df, key).repartitionByRange(n, "key").sortWithinPartitions("key", "line").select("line")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = [line for b in batches for line in b.column("line").to_pylist()]
-        if not lines:
-            return
-        content = "".join(line + "\n" for line in lines).encode()
-        packed = gzip.compress(content, mtime=0)
-        digest = hashlib.sha256(content).hexdigest()
-        store, at = fs.FileSystem.from_uri(folder)
-        store.create_dir(at, recursive=True)
-        with store.open_output_stream(f"{at}/{digest}.jsonl.gz", compression=None) as out:
-            out.write(packed)
-        yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{digest}.jsonl.gz", "records": len(lines), "content_sha256": digest, "content_bytes": len(content), "artifact_sha256": hashlib.sha256(packed).hexdigest(), "artifact_bytes": len(packed)}])
+        out = None
+        for batch in batches:
+            if batch.num_rows:
+                out = out or _Artifact(folder, codec)
+                out.add(batch.column("line").to_pylist())
+        if out:
+            yield pa.RecordBatch.from_pylist([out.close()])
 
     return ordered.mapInArrow(write, "path string, records long, content_sha256 string, content_bytes long, artifact_sha256 string, artifact_bytes long")
 
 
 def set_digest(df: DataFrame, key: str) -> DataFrame:
-    """Identity of a set of records: SHA-256 over its records' digests in key order (one row).
+    """Identity of a set of records: SHA-256 over its records' digests in key order (one row: set_sha256, records).
 
-    Only 64 characters of each record are gathered, by an ordered aggregate.
+    Such a digest has one order, so the records' digests, 64 characters each, run through one task, which holds a batch of
+    them; :func:`tree_digest` is for sets that are too large for that.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, n = hashlib.sha256(), 0
+        for batch in batches:
+            for d in filter(None, batch.column("d").to_pylist()):
+                whole.update(b"\n" * (n > 0) + d.encode())
+                n += 1
+        yield pa.RecordBatch.from_pylist([{"set_sha256": whole.hexdigest(), "records": n}])
+
     each = canonical_lines(df, key).select("key", F.sha2("line", 256).alias("d"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "d"))), lambda x: x["d"]), "\n"), 256).alias("set_sha256"), F.count("*").alias("records"))
+    mark = df.sparkSession.range(1).select(F.lit(None).cast(each.schema["key"].dataType).alias("key"), F.lit(None).cast("string").alias("d"))  # so that no records give a row too
+    return each.unionByName(mark).orderBy("key", "d").coalesce(1).mapInArrow(run, "set_sha256 string, records long")
+
+
+def tree_digest(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
+    """Identity of a set of records (one row): SHA-256 over the digests of ``parts`` parts, each over its records' digests in order.
+
+    A record's part is a hash of its key, so the identity depends on the records alone, and a task gathers the digests of one
+    part; raise ``parts`` with the table.
+    """
+    each = canonical_lines(df, key).select(F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(parts)).alias("part"), F.sha2("line", 256).alias("d"))
+    whole = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    per = each.groupBy("part").agg(whole("d").alias("d"), F.count("*").alias("n"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: F.concat(x["part"].cast("string"), F.lit(":"), x["d"]))
+    return per.agg(F.sha2(F.array_join(named, "\n"), 256).alias("set_sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"))
 
 
-def write_split(df: DataFrame, by: str, folder: str) -> None:
-    """One folder for each value of a column, so that readers of one value open its files only."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(folder)
+def write_files(df: DataFrame, folder: str, replace: bool = False) -> DataFrame:
+    """One file for each row of (name, content); returns name, bytes, sha256.
+
+    A file appears whole or not at all (written beside its place, then moved).  One that is there already is an error, or is
+    replaced in one step.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
+                    raise ValueError(f"not a plain file name: {name!r}")
+                store, at = opened(folder)
+                store.create_dir(at, recursive=True)
+                packed = content.encode()
+                there = store.get_file_info(f"{at}/{name}").is_file
+                if there and not replace:
+                    with store.open_input_stream(f"{at}/{name}", compression=None) as old:
+                        if old.read() != packed:
+                            raise FileExistsError(f"{folder}/{name}")
+                own = f"{at}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(own, compression=None) as out:
+                    out.write(packed)
+                store.move(own, f"{at}/{name}")
+                rows.append({"name": name, "bytes": len(packed), "sha256": hashlib.sha256(packed).hexdigest()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())]))
+
+    return df.select(F.col("name").cast("string").alias("name"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content")).mapInArrow(write, "name string, bytes long, sha256 string")
+
+
+def promoted(descriptors: DataFrame, path: str, source: str, target: str) -> DataFrame:
+    """Descriptors of a version tree as those of the tree it is promoted to: paths below ``source`` are below ``target``.
+
+    A path outside ``source`` is an error, as it would point back into the old tree.
+    """
+    below = F.startswith(F.col(path), F.lit(source.rstrip("/") + "/"))
+    moved = F.concat(F.lit(target.rstrip("/")), F.substring(F.col(path), F.lit(len(source.rstrip("/")) + 1), F.char_length(path)))
+    return descriptors.withColumn(path, F.when(below, moved).otherwise(F.raise_error(F.concat(F.lit("outside the version: "), F.coalesce(F.col(path), F.lit("null")))).cast("string")))
+
+
+def version_tree(files: DataFrame, version: str) -> DataFrame:
+    """The files (family, name, sha256, records) of a version by their place in its tree, and the version's own row: path, sha256,
+    records.  Its digest is made from its files' digests and paths in order; rows are files, so one task can gather them."""
+    placed = files.select(F.concat_ws("/", F.lit(version), F.col("family"), F.col("name")).alias("path"), "sha256", "records")
+    lines = F.array_sort(F.collect_list(F.concat_ws(" ", "sha256", "path")))
+    root = placed.agg(F.concat_ws("/", F.lit(version), F.lit("version.json")).alias("path"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))
+    return placed.unionByName(root)
+
+
+def write_split(df: DataFrame, by: str, folder: str, run: str | None = None, tasks: int = 1) -> None:
+    """One folder for each value of a column, so that readers of one value open its files only.
+
+    ``run`` names an identity column: each part becomes a run of its own (run-value), its origin stays in source_<run>.
+    ``tasks`` deals a value's rows over that many tasks, for values that hold a large share of all rows.
+    """
+    if run:
+        df = df.withColumns({f"source_{run}": F.col(run), run: F.concat_ws("-", F.col(run).cast("string"), F.col(by).cast("string"))})
+    dealt = df.repartition(by, F.pmod(F.xxhash64(*df.columns), F.lit(tasks))) if tasks > 1 else df.repartition(by)
+    dealt.write.mode("overwrite").partitionBy(by).parquet(folder)
 
 
 def write_csv(df: DataFrame, order: list[str], folder: str) -> None:
