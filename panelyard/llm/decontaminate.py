@@ -150,18 +150,23 @@ class ShardSuffixes:
         return self.place[self.order[np.repeat(lo, many) + within]]
 
 
-def _hits(found: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-    """Which words are hit, and the pairs (document, item) as document * items + item."""
+def _hits(found: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which words are hit; the pairs (document, item) as document * items + item; each document's longest match, and its start."""
     shard = ShardSuffixes(tests.numbered(found), found.first, tests)
     edge, pairs, doc_of = np.zeros(len(found.ids) + 1, np.int64), [], found.doc_of()
+    longest, start = np.zeros(len(found.first) - 1, np.int64), np.zeros(len(found.first) - 1, np.int64)
     for depth, alive, lo, hi in shard.search(tests):
+        if depth >= _SEED:  # matches only get longer, so the last depth that a document is met at stands
+            every = np.sort(shard.places(lo, hi))
+            docs, first = np.unique(doc_of[every], return_index=True)
+            longest[docs], start[docs] = depth, every[first] - found.first[docs]
         here = tests.window[alive] == depth
         if here.any():
             at = shard.places(lo[here], hi[here])
             np.add.at(edge, at, 1)
             np.add.at(edge, at + depth, -1)
             pairs.append(np.unique(doc_of[at] * len(tests.names) + np.repeat(tests.item[alive[here]], (hi - lo)[here])))
-    return np.cumsum(edge[:-1]) > 0, np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    return np.cumsum(edge[:-1]) > 0, np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64), longest, start
 
 
 def _digest(names: list[str]) -> str:
@@ -172,7 +177,7 @@ def _scan(tests: TestSuffixes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             found = words(texts)
-            hit, pairs = _hits(found, tests)
+            hit, pairs, longest, start = _hits(found, tests)
             n = len(texts)
             total = np.concatenate([[0], np.cumsum(hit)])
             n_hit = total[found.first[1:]] - total[found.first[:-1]]
@@ -180,8 +185,8 @@ def _scan(tests: TestSuffixes):
             for pair in pairs.tolist():
                 names[pair // len(tests.names)].append(tests.names[pair % len(tests.names)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(found.first)), pa.array(n_hit.astype(np.int64)), pa.array([len(set(x)) for x in names], pa.int64()), pa.array(list(map(_digest, names))), pa.array(n_hit > 0)],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                [batch.column("doc_id"), pa.array(np.diff(found.first)), pa.array(n_hit.astype(np.int64)), pa.array([len(set(x)) for x in names], pa.int64()), pa.array(list(map(_digest, names))), pa.array(n_hit > 0), pa.array(longest), pa.array(start, mask=longest == 0)],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_start"],
             )
 
     return run
@@ -193,7 +198,7 @@ def _scan_spans(tests: TestSuffixes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             found = words(texts)
-            hit, pairs = _hits(found, tests)
+            hit, pairs, longest, start = _hits(found, tests)
             names: list[list[str]] = [[] for _ in range(len(texts))]
             for pair in pairs.tolist():
                 names[pair // len(tests.names)].append(tests.names[pair % len(tests.names)])
@@ -202,8 +207,8 @@ def _scan_spans(tests: TestSuffixes):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
                 spans.append([{"a": int(x), "b": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id"), batch.column("doc_id"), pa.array(np.diff(found.first)), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(set(x)) for x in names], pa.list_(pa.string()))],
-                names=["row_id", "doc_id", "n_words", "spans", "names"],
+                [batch.column("row_id"), batch.column("doc_id"), pa.array(np.diff(found.first)), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(set(x)) for x in names], pa.list_(pa.string())), pa.array(longest), pa.array(start, mask=longest == 0)],
+                names=["row_id", "doc_id", "n_words", "spans", "names", "longest_match", "longest_start"],
             )
 
     return run
@@ -227,30 +232,32 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, longest_start.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  A window is ``window`` consecutive words of an
     item, a shorter item (not an empty one) is one window.  Words inside an occurrence are hit, once however many windows
     cover them.  Null or empty text has no words; null item ids are empty strings; repeated items count once by id; an
     empty benchmark hits nothing; every row of ``docs`` gets its row, repeated ones too.  Other columns are not read.
+    longest_match is the length in words of the longest stretch that stands in an item word for word (three at least, else 0),
+    longest_start the word where the first of that length begins (null without one).
     """
-    base, schema = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    base, schema = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_start long"
     blocks = list(_blocks(benchmark, block_bytes)) if _one_block(benchmark, block_bytes) else None
     if blocks is not None:
         return base.mapInArrow(_scan(TestSuffixes(blocks[0] if blocks else [], window)), schema)
     rows = kept(base.withColumn("row_id", F.monotonically_increasing_id()), "decontaminate-rows")
     parts = None
     for block in _blocks(benchmark, block_bytes):
-        part = rows.mapInArrow(_scan_spans(TestSuffixes(block, window)), "row_id long, doc_id long, n_words long, spans array<struct<a:long,b:long>>, names array<string>")
+        part = rows.mapInArrow(_scan_spans(TestSuffixes(block, window)), "row_id long, doc_id long, n_words long, spans array<struct<a:long,b:long>>, names array<string>, longest_match long, longest_start long")
         parts = part if parts is None else parts.unionByName(part)
-    joined = parts.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    joined = parts.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), F.max("longest_match").alias("longest_match"), F.max_by("longest_start", F.struct("longest_match", -F.col("longest_start"))).alias("longest_start"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")),
         lambda s: s["n"],
     )
-    return joined.select("doc_id", "n_words", covered.alias("n_hit"), F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
+    return joined.select("doc_id", "n_words", covered.alias("n_hit"), F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (covered > 0).alias("contaminated"), "longest_match", "longest_start")
 
 
 def _one_block(benchmark: DataFrame, block_bytes: int) -> bool:
@@ -267,7 +274,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         def keep(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
             for batch, texts in text_slices(batches):
                 found = words(texts)
-                hit, _ = _hits(found, tests)
+                hit, *_ = _hits(found, tests)
                 total = np.concatenate([[0], np.cumsum(hit)])
                 yield batch.filter(pa.array(total[found.first[1:]] == total[found.first[:-1]]))
 
