@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from panelyard.llm.shared import text_slices
 from panelyard.llm.words import words
 
-#: Fixed values: (label, template, first and past-the-last word of the key phrase, base).  A base template is its key phrase.
+#: Fixed values: (label, template, first and past-the-last word of the key phrase, base).  A base template is its key phrase;
+#: others are sentences of the licences' own texts and notices, whose key phrase must stand there word for word.
 TEMPLATES: list[tuple[str, str, int, int, bool]] = [
     ("cc-by", "cc by", 0, 2, True),
     ("gpl", "general public license", 0, 3, True),
@@ -34,7 +35,19 @@ TEMPLATES: list[tuple[str, str, int, int, bool]] = [
     ("gpl-3.0", "licensed under the gnu general public license version 3", 3, 9, False),
     ("lgpl", "gnu lesser general public license", 1, 5, False),
     ("mit", "released under the mit license", 3, 5, False),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 0, 7, False),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", 0, 7, False),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 10, 20, False),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", 17, 24, False),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", 10, 20, False),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", 24, 37, False),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", 24, 37, False),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", 18, 23, False),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", 1, 17, False),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", 14, 20, False),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", 2, 11, False),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications", 31, 43, False),
+    ("bsl-1.0", "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy of the software", 0, 6, False),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", 9, 17, False),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", 6, 11, False),
 ]
 LabelTemplates = list[tuple[str, str, int, int, bool]]
