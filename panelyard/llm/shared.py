@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,39 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from panelyard.sources.folders import delete_folder, new_folder
+
 #: Bytes of text that one numpy step works on; bounds a worker's memory whatever Spark's batch size.
 SLICE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, with its scheme: ``spark.checkpoint.dir``.
-
-    Only where that is unset and everything runs on one machine (tests), a folder of our own; a cluster without one is an error.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc._jsc.sc().getCheckpointDir().get()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="panelyard-")
-        sc.setCheckpointDir(named)
-    return _qualified(spark, named).rstrip("/")
-
-
-def _qualified(spark: SparkSession, path: str) -> str:
-    """A path with the scheme that Hadoop's settings give it."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    whole = jvm.org.apache.hadoop.fs.Path(path)
-    found = whole.getFileSystem(conf).makeQualified(whole).toString()
-    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/panelyard/{name}-{uuid.uuid4().hex}"
-
-
 class Tables:
     """Tables of one run, in a folder of their own within the shared folder."""
 
@@ -60,8 +31,7 @@ class Tables:
 
     def drop(self) -> None:
         """Deletes the tables; nothing may be left to read from them."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete_folder(self.spark, self.folder)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -12,10 +12,17 @@ sizes as (select distinct k from windows),
 places as (select doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') as s from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes where len(w) >= k)),
 found as (select doc_id, item_id, i, k from places join windows using (k, s)),
 hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from found) group by doc_id),
+b3 as (select b, j, array_to_string(w[j : j + 2], ' ') as s from (select row_number() over () as b, w, unnest(range(1, len(w) - 1)) as j from b where len(w) > 2)),
+d3 as (select doc_id, i, array_to_string(w[i : i + 2], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) > 2)),
+m as (select doc_id, b, i - j as diagonal, i from d3 join b3 using (s)),
+r as (select *, i - row_number() over (partition by doc_id, b, diagonal order by i) as run from m),
+runs as (select doc_id, count(*) + 2 as n, min(i) - 1 as start from r group by doc_id, b, diagonal, run),
+best as (select doc_id, max(n) as n, arg_min(start, (-n, start)) as start from runs group by doc_id),
 names as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id::varchar as item_id from found) group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join hits using (doc_id) left join names using (doc_id)
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+       coalesce(best.n, 0)::bigint as longest_match, best.start::bigint as longest_start
+from d left join hits using (doc_id) left join names using (doc_id) left join best using (doc_id)
 """
 
 def _op1() -> str:

@@ -25,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.segments import Coder
-from panelyard.llm.shared import SLICE_BYTES, kept, new_folder, text_slices
+from panelyard.llm.shared import SLICE_BYTES, kept, text_slices
+from panelyard.sources.folders import new_folder, opened
 
 END_ID = 2
 #: Tokens at which a frame is closed; it ends with a document, so a longer document is a frame of its own.
@@ -161,13 +161,6 @@ def _coder(path: str, plain_controls: bool = False) -> tuple[Coder, object, list
     return Coder(encode), tokenizer, controls
 
 
-def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    """folder: with its scheme, as ``new_folder`` names it."""
-    if "://" not in folder:
-        raise ValueError(f"a folder needs a scheme: {folder}")
-    return fs.FileSystem.from_uri(folder)
-
-
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: bytes, plain_controls: bool) -> Iterator[tuple[int | None, bytes]]:
     """doc_id and ids, the end id included, of each row."""
     for batch, texts in text_slices(batches, most=4 * SLICE_BYTES):
@@ -200,7 +193,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
         number, writer = TaskContext.get().partitionId(), None
         for doc_id, ids in _encoded(batches, path, struct.pack("<I", end_id), plain_controls):
             if writer is None:
-                store, at = _filesystem(folder)
+                store, at = opened(folder)
                 store.create_dir(at, recursive=True)
                 name, own = f"shard-{number:08d}.tok.zst", f"{at}/.{uuid.uuid4().hex}"
                 out = store.open_output_stream(own, compression=None)
@@ -243,7 +236,7 @@ def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                 if file != current:
                     if source is not None:
                         source.close()
-                    store, at = _filesystem(file)
+                    store, at = opened(file)
                     source = store.open_input_file(at)
                     reader, current = FileReader(source), file
                 rows += [(doc_id, len(ids) // 4, ids) for _, _, ids in reader.read(iter(reader.places(doc_id)))]
@@ -265,7 +258,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                store, at = _filesystem(file)
+                store, at = opened(file)
                 with store.open_input_file(at) as source:
                     rows, held = [], 0
                     for _, doc_id, ids in FileReader(source).read():

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from panelyard.llm import bpe, chat, decontaminate, licences, near_dup, quality, secrets, segments, token_files, topk, toxicity
 from panelyard.llm.queries import ORACLE, QUERIES
-from panelyard.llm.shared import Tables, new_folder
+from panelyard.llm.shared import Tables
+from panelyard.sources.folders import new_folder
 from tests.parity import SF, duck_rows, spark_rows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -83,7 +84,20 @@ def test_decontaminate(spark, docs, benchmark, block_bytes):
                     items |= found
         expected.append((r.doc_id, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
     out = decontaminate.contamination(docs, benchmark, 4, block_bytes)
-    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, expected))
+    assert sorted(map(repr, map(tuple, out.drop("longest_match", "longest_start").collect()))) == sorted(map(repr, expected))
+    items, longest = [low(r.text) for r in benchmark.collect()], []
+    for r in docs.collect():
+        w, best = low(r.text), (0, None)
+        for i in range(len(w)):
+            for own in items:
+                for j in range(len(own)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(own) and w[i + n] == own[j + n]:
+                        n += 1
+                    if n >= 3 and n > best[0]:
+                        best = (n, i)
+        longest.append((r.doc_id, len(w), *best))
+    assert sorted(map(repr, map(tuple, out.select("doc_id", "n_words", "longest_match", "longest_start").collect()))) == sorted(map(repr, longest))
     clean = decontaminate.clean_documents(docs, benchmark, 4, block_bytes)
     assert clean.columns == docs.columns
     assert clean.count() == sum(not e[-1] for e in expected)
@@ -114,6 +128,9 @@ def test_licences(spark, docs):
     assert out[1001, 5].labels == "mit" and out[1001, 5].score == 1
     assert "apache-2.0" in out[1003, 8].labels
     assert licences.licences(empty(docs)).count() == 0
+    whole = spark.createDataFrame([(k, t.upper() + ".") for k, (_, t, *_) in enumerate(licences.TEMPLATES)], "doc_id long, text string")
+    for r in licences.licences(whole).collect():
+        assert licences.TEMPLATES[r.doc_id][0] in r.labels.split(",") and r.score == 1
 
 
 @pytest.fixture(scope="module")
