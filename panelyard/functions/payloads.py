@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelyard.functions.digests import canonical_json
+
 
 def _text(payload: Column, path: str) -> Column:
     """The value at a path as text; null where absent, blank, or the payload isn't JSON."""
@@ -37,6 +43,43 @@ def response_error(payload: Column) -> Column:
     return F.when(told.isNotNull(), told).when(_text(body, "$.choices[0]").isNull(), "no_choices").when(_text(body, "$.choices[0].finish_reason").isNull(), "no_finish_reason")
 
 
+def script_payloads(html: Column) -> Column:
+    """The bodies of a page's JSON scripts (type application/json or ld+json), in order."""
+    return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*type=[\"']application/(?:ld\+)?json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+
+
+def _nested(value: object, keys: frozenset[str]) -> Iterator[dict]:
+    stack = [value]
+    while stack:  # depth first, in the order of the text
+        found = stack.pop()
+        if isinstance(found, dict):
+            if keys <= found.keys():
+                yield found
+            stack += list(found.values())[::-1]
+        elif isinstance(found, list):
+            stack += found[::-1]
+
+
+def nested_objects(texts: Column, keys: list[str]) -> Column:
+    """All objects, however deep, that have these keys, in an array of JSON texts: an array of canonical JSON texts in their order.
+
+    A text that isn't JSON holds none; null gives an empty array.
+    """
+    wanted = frozenset(keys)
+
+    def of(text: str) -> list[str]:
+        try:
+            return [canonical_json(x) for x in _nested(json.loads(text), wanted)]
+        except (ValueError, RecursionError):
+            return []
+
+    @F.pandas_udf("array<string>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda ts: [x for t in (ts if ts is not None else []) if t is not None for x in of(t)])
+
+    return run(texts)
+
+
 def percent(value: Column, digits: int = 1) -> Column:
     """Such as 12.5%; a hyphen for null."""
     return F.coalesce(F.concat(F.format_number(value * 100, digits), F.lit("%")), F.lit("-"))

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.operators import checks
+from panelyard.functions import parsing
+from panelyard.operators import checks, stats
 
 
 def rendered(template: str, values: dict[str, Column]) -> Column:
@@ -99,6 +100,37 @@ def provenance_violations(plans: DataFrame, selected: DataFrame, seed: str, algo
     return checks.violations(both, F.col("task"), rules)
 
 
+def scored(answers: DataFrame) -> DataFrame:
+    """Scores of answers by their question's type: id, metric, parsed, value, correct, spearman_rho, pearson_r, valid, parse_error.
+
+    answers: id (unique), task_type (multiple_choice or ranking), status, content, choice_ids and answer_choice_id, or
+    reference_scores (map of candidate to score).  An answer that is not completed has its metric and nulls.  A choice that is
+    none of the question's is no answer (value 0); a ranking must score exactly the candidates, else it is not valid (value 0).
+    """
+    done, choice = F.col("status") == "completed", F.col("task_type") == "multiple_choice"
+    told = parsing.last_choice(F.col("content"))
+    rows = answers.withColumns({"_choice": F.when(done & choice & F.array_contains("choice_ids", told), told), "_p": F.when(done & ~choice, parsing.last_scores("content"))})
+    error = parsing.answer_error(F.col("_p.scores"), F.col("_p.error"), F.map_keys("reference_scores"))
+    rows = rows.withColumn("_error", F.when(done, F.when(choice, F.when(F.col("_choice").isNull(), "no valid final choice")).otherwise(error)))
+    pairs = rows.where(done & ~choice & F.col("_error").isNull()).select("id", F.explode("reference_scores").alias("_c", "_r"), F.col("_p.scores").alias("_s"))
+    panels = stats.panel_correlations(pairs.select("id", F.element_at("_s", F.col("_c")).alias("_q"), "_r"), ["id"], "_q", "_r").drop("n")
+    out = rows.join(panels, "id", "left")
+    ranked = done & ~choice
+    value = F.when(done & choice, F.coalesce(F.col("_choice") == F.col("answer_choice_id"), F.lit(False)).cast("double")).when(ranked, F.coalesce("spearman_rho", F.lit(0.0)))
+    parsed = F.when(choice, F.col("_choice")).when(F.col("_error").isNull(), F.to_json("_p.scores"))
+    return out.select(
+        "id",
+        F.when(choice, "exact_match").otherwise("rank_correlation").alias("metric"),
+        F.when(done, parsed).alias("parsed"),
+        value.alias("value"),
+        F.when(done & choice, value == 1.0).alias("correct"),
+        "spearman_rho",
+        "pearson_r",
+        F.when(ranked, F.col("_error").isNull()).alias("valid"),
+        F.col("_error").alias("parse_error"),
+    )
+
+
 #: What a request's parameters may not set.
 RESERVED = ("messages", "model", "n", "stream")
 

@@ -402,3 +402,26 @@ def resumed_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
         run = stream.writeStream.foreachBatch(lambda batch, epoch: append_new(batch, epoch, target, ["event_id"])).option("checkpointLocation", f"{target}-log-{k}").trigger(availableNow=True).start()
         run.awaitTermination()
     return spark.read.parquet(target).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("""
+with m as (select p_brand as model, min(p_partkey) as k from part group by p_brand), f as (select *, k % 8 as m from m)
+select 'row' as kind, model as key, 'Family ' || (k % 3) as detail from f
+union all select rule, model, '' from f join (values ('version', 1), ('fields', 1), ('fields', 2), ('release_date', 2), ('release_date', 3), ('cutoff_pair', 5), ('fields', 5), ('cutoff', 6), ('cutoff_url', 7)) v(rule, place) on place = m
+""")
+def model_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue document for each brand, of either version; some lack a field or have a date that does not exist."""
+    k, m = F.col("k"), F.col("k") % 8
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("model")).agg(F.min("p_partkey").alias("k"))
+    fields = {
+        "family": F.concat(F.lit("Family "), (k % 3).cast("string"), F.when(m == 4, " ").otherwise("")),
+        "release_date": F.when(m == 3, "2024-02-30").when(m != 2, "2024-02-29"),
+        "knowledge_cutoff": F.when(m == 6, "2023-13").when(m != 4, "2023-10"),
+        "knowledge_cutoff_url": F.when(m == 7, "http://x").when(~m.isin(4, 5), "https://x"),
+    }
+    entry = F.map_filter(F.create_map(*[x for n, c in fields.items() for x in (F.lit(n), c)]), lambda n, v: v.isNotNull())
+    text = F.to_json(F.struct(F.when(m == 1, "2.0").when(m == 4, "1.0").otherwise("1.1").alias("schema_version"), F.create_map("model", entry).alias("models")))
+    path = new_folder(spark, "models")
+    writers.write_files(brands.select(F.format_string("m-%d.json", "k").alias("name"), text.alias("content")), path).count()
+    rows, broken = readers.model_catalogue(readers.read_json_documents(spark, path, "schema_version string, models map<string, map<string, string>>"))
+    return rows.select(F.lit("row").alias("kind"), F.col("model").alias("key"), F.col("family").alias("detail")).unionByName(broken.select(F.col("rule").alias("kind"), "key", F.lit("").alias("detail")))

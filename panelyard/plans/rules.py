@@ -229,3 +229,40 @@ def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in a total order over the whole table, numbered range by range."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     return selection.numbered(orders, [F.asc("o_orderdate"), F.asc("o_orderkey")], "place").select("place", "o_orderkey")
+
+
+@query("""
+with e as (select event_id as id, event_id % 2 = 0 as choice, event_type <> 'error' as done, event_id % 5 as a, event_id % 7 as b, event_id % 3 as c from events),
+v as (select id, unnest([a, b, c]) as p, unnest([1, 2, 3]) as r from e where not choice and done and b <> 6),
+x as (select *, rank() over (partition by id order by p) + (count(*) over (partition by id, p) - 1) / 2.0 as rp from v),
+k as (select id, case when min(p) = max(p) then 0.0 else corr(rp, r) end as rho, case when min(p) = max(p) then 0.0 else corr(p, r) end as r from x group by id)
+select e.id, if(choice, 'exact_match', 'rank_correlation') as metric, case when done and choice and a < 4 then 'C' || (a % 2) end as choice, case when not done then null when choice then if(a < 4 and a % 2 = 0, 1.0, 0.0) else coalesce(round(rho, 6), 0.0) end as value,
+       case when done and choice then a < 4 and a % 2 = 0 end as correct, round(rho, 6) as spearman_rho, round(r, 6) as pearson_r, case when done and not choice then b <> 6 end as valid,
+       case when done and choice and a = 4 then 'no valid final choice' when done and not choice and b = 6 then 'missing: z' end as parse_error from e left join k using (id)
+""")
+def scored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to questions of both kinds, scored by their kind; failed requests have no score."""
+    k = F.col("event_id")
+    number = lambda n: (k % n).cast("string")
+    choice = F.concat(F.lit("so\nFINAL: C"), F.when(k % 5 < 4, k % 5 % 2).otherwise(9).cast("string"))
+    ranking = F.concat(F.lit('so\nFINAL: {"x": '), number(5), F.lit(', "y": '), number(7), F.when(k % 7 == 6, "}").otherwise(F.concat(F.lit(', "z": '), number(3), F.lit("}"))))
+    rows = table(spark, sf_dir, "events").select(
+        k.alias("id"), F.when(k % 2 == 0, "multiple_choice").otherwise("ranking").alias("task_type"), F.when(F.col("event_type") == "error", "error").otherwise("completed").alias("status"),
+        F.when(k % 2 == 0, choice).otherwise(ranking).alias("content"), F.array(F.lit("C0"), F.lit("C1")).alias("choice_ids"), F.lit("C0").alias("answer_choice_id"),
+        F.create_map(F.lit("x"), F.lit(1.0), F.lit("y"), F.lit(2.0), F.lit("z"), F.lit(3.0)).alias("reference_scores"),
+    )
+    out = questions.scored(rows)
+    return out.select("id", "metric", F.when(F.col("metric") == "exact_match", F.col("parsed")).alias("choice"), F.round("value", 6).alias("value"), "correct", F.round("spearman_rho", 6).alias("spearman_rho"), F.round("pearson_r", 6).alias("pearson_r"), "valid", "parse_error")
+
+
+@query("""
+select event_id, event_id % 4 as n_found, case when event_id % 4 > 0 then '{"id":' || event_id || ',"k":0}' end as first from events
+""")
+def embedded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose scripts hold JSON: the objects that have an id and a k, at any depth, beside broken and foreign scripts."""
+    k = F.col("event_id")
+    item = F.concat(F.lit('{"k": 0, "id": '), k.cast("string"), F.lit("}"))
+    nested = F.when(k % 4 == 0, '{"id": 1}').when(k % 4 == 1, F.concat(F.lit('{"a": [['), item, F.lit("]]}"))).when(k % 4 == 2, F.concat(F.lit('{"a": '), item, F.lit(', "b": {"c": '), item, F.lit("}}"))).otherwise(F.concat(F.lit("["), F.concat_ws(", ", item, item, item), F.lit("]")))
+    page = F.concat(F.lit('<script>{"id": 1, "k": 2}</script><script type="application/json">{broken</script><p><script id="x" type="application/json">'), nested, F.lit("</script>"))
+    found = payloads.nested_objects(payloads.script_payloads(page), ["id", "k"])
+    return table(spark, sf_dir, "events").select("event_id", found.alias("f")).select("event_id", F.size("f").cast("long").alias("n_found"), F.get("f", F.lit(0)).alias("first"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from panelyard.functions import sequence
+from panelyard.functions import sequence, temporal
 from panelyard.functions.digests import canonical_json
 from panelyard.operators import checks
 from panelyard.sources.folders import opened
@@ -188,6 +188,31 @@ def catalogue_decisions(catalogue: DataFrame, chosen: DataFrame, entries: str =
     return out.select("urn", "title", "genes", F.when(reason == "reviewed", "selected").otherwise("excluded").alias("decision"), reason.alias("reason"))
 
 
+def model_catalogue(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Models of catalogue documents (schema_version, models: map of model to a map of fields), and their violations:
+    model, family, release_date, knowledge_cutoff, knowledge_cutoff_url; rule, key.
+
+    Version 1.0 has family and release_date, 1.1 the cutoff and its address too.  Rules: version, fields (exactly the version's),
+    family (not blank), release_date (a day that exists), cutoff_pair (both or neither), cutoff (a day or month), cutoff_url
+    (https).
+    """
+    base, more = ["family", "release_date"], ["knowledge_cutoff", "knowledge_cutoff_url"]
+    each = documents.select("schema_version", F.explode("models").alias("model", "f"))
+    rows = each.select("schema_version", "model", F.array_sort(F.map_keys("f")).alias("_keys"), *(F.element_at("f", c).alias(c) for c in base + more))
+    fields = F.when(F.col("schema_version") == "1.0", F.array(*map(F.lit, sorted(base)))).when(F.col("schema_version") == "1.1", F.array(*map(F.lit, sorted(base + more))))
+    cutoff, url = F.col("knowledge_cutoff"), F.col("knowledge_cutoff_url")
+    rules = {
+        "version": F.col("schema_version").isin("1.0", "1.1"),
+        "fields": F.col("_keys") == fields,
+        "family": F.trim("family") != "",
+        "release_date": temporal.valid_date(F.col("release_date")),
+        "cutoff_pair": cutoff.isNull() == url.isNull(),
+        "cutoff": cutoff.isNull() | temporal.valid_date(cutoff) | temporal.valid_month(cutoff),
+        "cutoff_url": url.isNull() | F.startswith(url, F.lit("https://")),
+    }
+    return rows.select("model", F.trim("family").alias("family"), "release_date", *more), checks.violations(rows, F.col("model"), rules)
+
+
 def exon_rows(table: DataFrame, flank: int) -> tuple[DataFrame, DataFrame]:
     """Exons of a metadata table read as text, and its violations: exon_id, strand, start, stop, length, sequence, upstream; rule, key.
 
