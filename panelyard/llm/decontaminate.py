@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import kept, text_slices
+from panelyard.llm.shared import Tables, text_slices
 from panelyard.llm.words import Words, words
 
 WINDOW = 10
@@ -245,10 +245,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     blocks = list(_blocks(benchmark, block_bytes)) if _one_block(benchmark, block_bytes) else None
     if blocks is not None:
         return base.mapInArrow(_scan(TestSuffixes(blocks[0] if blocks else [], window)), schema)
-    rows = kept(base.withColumn("row_id", F.monotonically_increasing_id()), "decontaminate-rows")
-    parts = None
+    tables, parts = Tables(base.sparkSession, "decontaminate"), None
+    rows = tables.kept(base.withColumn("row_id", F.monotonically_increasing_id()), "rows")
     for block in _blocks(benchmark, block_bytes):
         part = rows.mapInArrow(_scan_spans(TestSuffixes(block, window)), "row_id long, doc_id long, n_words long, spans array<struct<a:long,b:long>>, names array<string>, longest_match long, longest_start long")
+        part = tables.kept(part, "pass")  # so that no plan holds more than one block
         parts = part if parts is None else parts.unionByName(part)
     joined = parts.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), F.max("longest_match").alias("longest_match"), F.max_by("longest_start", F.struct("longest_match", -F.col("longest_start"))).alias("longest_start"))
     covered = F.aggregate(
@@ -267,8 +268,8 @@ def _one_block(benchmark: DataFrame, block_bytes: int) -> bool:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark; all columns stay, whatever their names."""
-    columns = docs.columns
-    for k, block in enumerate(_blocks(benchmark, block_bytes)):
+    columns, tables, single = docs.columns, Tables(docs.sparkSession, "decontaminate"), _one_block(benchmark, block_bytes)
+    for block in _blocks(benchmark, block_bytes):
         tests = TestSuffixes(block, window)
 
         def keep(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
@@ -279,6 +280,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 yield batch.filter(pa.array(total[found.first[1:]] == total[found.first[:-1]]))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if not single:
+            docs = tables.kept(docs, "pass")
     return docs.select(*columns)
 
 
