@@ -34,6 +34,16 @@ def eligible_panels(df: DataFrame, task: str, panel: str, category: str, least_v
     return df.groupBy(task, category, panel).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_variants).drop("_n")
 
 
+def stratum_means(df: DataFrame, by: list[str], score: str, valid: str) -> DataFrame:
+    """Per stratum: n_panels, n_invalid and mean_score, in which an answer that is not valid counts with 0; null without a panel.
+
+    df: one row for each eligible panel; a null ``valid`` is not valid, a null score of a valid one spoils the mean.
+    """
+    ok = F.coalesce(F.col(valid), F.lit(False))
+    value = F.when(ok, F.col(score)).otherwise(F.lit(0.0))
+    return df.groupBy(*by).agg(F.count("*").alias("n_panels"), F.count_if(~ok).alias("n_invalid"), F.when(F.bool_and(value.isNotNull()), F.avg(value)).alias("mean_score"))
+
+
 def composition(df: DataFrame, by: str, category: str, domain: list[str]) -> DataFrame:
     """by, category, n and proportion for every category of the domain; values outside it count as Unknown if that is in it."""
     known = F.when(F.col(category).isin(domain), F.col(category)).otherwise("Unknown")
