@@ -227,20 +227,34 @@ def mask_live(docs: DataFrame, copied_owners: int = COPIED_OWNERS, mask: str = M
     single = kept(ownership(scanned, copied_owners).where("not copied").select(F.col("hash").alias("own")), "secrets-owners")
     live = each.join(single, F.col("v.hash") == F.col("own"))
     places = kept(live.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("v.start", "v.stop")).alias("places")).select(_slot(F.col("doc_id"), F.col("text_hash"), bits).alias("slot"), F.col("doc_id").alias("mask_doc"), F.col("text_hash").alias("mask_hash"), "places"), "secrets-live")
-    own = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")  # whatever its columns' names
-    rows = docs.select(own).select("row", F.col("row")["doc_id"].cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))).alias("_hash"))
-    rows = rows.withColumn("slot", _slot(F.col("_doc"), F.col("_hash"), bits))
-    marked = rows.join(F.broadcast(_bitmap(places)), F.expr("bitmap_bucket_number(slot)") == F.col("bucket"), "left")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bitmap_bit_position(slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    marked = marked.withColumn("maybe", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(slot) % 8 as int))")) > 0, F.lit(False)))
-
-    @F.pandas_udf("string")
-    def masked(text, places):
-        return text.combine(places, lambda t, own: _mask(t, own, mask))
-
-    found = marked.where("maybe").select("row", "_doc", "_hash").join(places.drop("slot"), F.col("_doc").eqNullSafe(F.col("mask_doc")) & (F.col("_hash") == F.col("mask_hash")), "left")
-    text = F.when(F.col("places").isNotNull(), masked(F.col("row")["text"], F.col("places"))).otherwise(F.col("row")["text"])
-    return marked.where("not maybe").select("row.*").unionByName(found.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns)))
+    slot, bucket, held, maybe, own_hash, own_places, mask_doc, mask_hash = (_free(columns, n) for n in ("slot", "bucket", "held", "maybe", "hash", "places", "mask_doc", "mask_hash"))
+    text_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    rows = docs.withColumns({own_hash: text_hash, slot: _slot(docs["doc_id"].cast("long"), text_hash, bits)})
+    bitmap = F.broadcast(_bitmap(places)).withColumnsRenamed({"bucket": bucket, "bitmap": held})
+    marked = rows.join(bitmap, F.expr(f"bitmap_bucket_number({slot})") == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.expr(f"substring({held}, cast(bitmap_bit_position({slot}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = marked.withColumn(maybe, F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position({slot}) % 8 as int))")) > 0, F.lit(False)))
+    passed = marked.where(f"not {maybe}").select(*(F.col(f"`{c}`") for c in columns))
+    few = marked.where(maybe).select(*(F.col(f"`{c}`") for c in columns), own_hash)
+    whose = places.select(F.col("mask_doc").alias(mask_doc), F.col("mask_hash").alias(mask_hash), F.col("places").alias(own_places))
+    found = few.join(whose, F.col("doc_id").cast("long").eqNullSafe(F.col(mask_doc)) & (F.col(own_hash) == F.col(mask_hash)), "left").select(*(F.col(f"`{c}`") for c in columns), own_places)
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = columns.index("text")
+        for whole in batches:
+            for batch, _ in text_slices(iter([whole])):
+                texts = [_mask(t, p, mask) for t, p in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
+                arrays = batch.columns[: len(columns)]
+                yield pa.RecordBatch.from_arrays([*arrays[:at], pa.array(texts, batch.column(at).type), *arrays[at + 1 :]], names=columns)
+
+    return passed.unionByName(found.mapInArrow(masked, docs.schema))
+
+
+def _free(columns: list[str], name: str) -> str:
+    """A column's name that the table does not have."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
 
 
 def _slot(doc_id: Column, text_hash: Column, bits: int) -> Column:
