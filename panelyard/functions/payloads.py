@@ -80,13 +80,42 @@ def nested_objects(texts: Column, keys: list[str]) -> Column:
     return run(texts)
 
 
-def percent(value: Column, digits: int = 1) -> Column:
-    """Such as 12.5%; a hyphen for null."""
-    return F.coalesce(F.concat(F.format_number(value * 100, digits), F.lit("%")), F.lit("-"))
+#: Fixed value: what stands for an unknown number or date.
+UNKNOWN = "—"
+
+
+def _fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, halves of its decimal digits rounded up, without separators of thousands."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double")))
+
+
+def percent(value: Column) -> Column:
+    """Such as 12.5%."""
+    return F.coalesce(F.concat(_fixed(value * 100, 1), F.lit("%")), F.lit(UNKNOWN))
 
 
 def dollars(value: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("$"), F.format_number(value, 2)), F.lit("-"))
+    """Such as $1,234.50; amounts between 0 and a cent with up to four decimals."""
+    small = F.regexp_replace(_fixed(value, 4), "0{1,2}$", "")
+    shown = F.when((value > 0) & (value < 0.01), F.concat(F.lit("$"), small)).when(value < 0, F.concat(F.lit("-$"), F.format_number(-value, 2))).otherwise(F.concat(F.lit("$"), F.format_number(value, 2)))
+    return F.coalesce(shown, F.lit(UNKNOWN))
+
+
+def display_date(text: Column) -> Column:
+    """The day that a text begins with."""
+    day = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1)
+    return F.coalesce(F.when(day != "", day), F.lit(UNKNOWN))
+
+
+def display_correlation(value: Column) -> Column:
+    """Three decimals of a finite number."""
+    return F.coalesce(F.when(~F.isnan(value) & (F.abs(value) < float("inf")), _fixed(value, 3)), F.lit(UNKNOWN))
+
+
+def display_cutoff(text: Column) -> Column:
+    """A day as it is, a month by its name, ``Not disclosed`` for null."""
+    month = F.date_format(F.try_to_timestamp(F.concat(text, F.lit("-01")), F.lit("yyyy-MM-dd")), "MMMM yyyy")
+    return F.when(text.isNull(), "Not disclosed").when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).when(text.rlike(r"^\d{4}-\d{2}$"), F.coalesce(month, F.lit(UNKNOWN))).otherwise(UNKNOWN)
 
 
 def display_score(value: Column) -> Column:
@@ -102,14 +131,15 @@ def markdown_table(rows: Column, names: list[str]) -> Column:
 
 
 def category_label(value: Column) -> Column:
-    """A category's name for display: underscores as spaces, the first letter upper case."""
-    text = F.replace(value, F.lit("_"), F.lit(" "))
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.char_length(text)))
+    """A category's name for display: without ``_variant`` at its end, underscores as spaces, 3 and 5 prime as signs."""
+    text = F.replace(F.regexp_replace(value, "_variant$", ""), F.lit("_"), F.lit(" "))
+    return F.replace(F.replace(text, F.lit("3 prime"), F.lit("3′")), F.lit("5 prime"), F.lit("5′"))
 
 
-def run_label(name: Column, detail: Column) -> Column:
-    """``name (detail)``, or the name alone where there is no detail."""
-    return F.concat(name, F.coalesce(F.concat(F.lit(" ("), detail.cast("string"), F.lit(")")), F.lit("")))
+def run_label(model: Column, effort: Column) -> Column:
+    """The last part of a model's name, and its effort in brackets where it has one (not null nor empty)."""
+    name = F.element_at(F.split(model, "/"), -1)
+    return F.concat(name, F.coalesce(F.when(effort != "", F.concat(F.lit(" ("), effort, F.lit(")"))), F.lit("")))
 
 
 def request_id(number: Column) -> Column:

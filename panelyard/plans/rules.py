@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelyard.functions import parsing, payloads, sequence, temporal
 from panelyard.operators import boards, checks, joins, questions, sampling, selection, usage
 from panelyard.plans.registry import query, table
+from panelyard.streaming import tables
 
 
 @query("""
@@ -194,14 +195,15 @@ def exact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select p_partkey, upper(p_type[1]) || replace(p_type[2:], '_', ' ') as label, p_brand || ' (' || p_size || ')' as run_label,
+select p_partkey, case p_partkey % 3 when 0 then '3′ UTR' when 1 then 'splice region' else 'a variant of ' || p_brand end as label, p_brand || if(p_size % 2 = 0, ' (' || p_size || ')', '') as run_label,
        case when p_size % 3 = 0 then strftime(to_timestamp(p_partkey * 1000)::timestamp, '%Y-%m-%dT%H:%M:%SZ') else '1970-01-01T00:00:00Z' end as finished from part
 """)
 def labels_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category labels, run labels, and times of which some are missing."""
     epoch = F.when(F.col("p_size") % 3 == 0, F.col("p_partkey") * 1000)
-    label = payloads.category_label(F.col("p_type"))
-    return table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), payloads.run_label(F.col("p_brand"), F.col("p_size")).alias("run_label"), temporal.iso_utc(temporal.epoch_or(epoch, F.lit(0).cast("long"))).alias("finished"))
+    label = payloads.category_label(F.when(F.col("p_partkey") % 3 == 0, "3_prime_UTR_variant").when(F.col("p_partkey") % 3 == 1, "splice_region_variant").otherwise(F.concat(F.lit("a_variant_of_"), "p_brand")))
+    effort = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).when(F.col("p_size") % 3 == 0, "")
+    return table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), payloads.run_label(F.concat(F.lit("org/"), "p_brand"), effort).alias("run_label"), temporal.iso_utc(temporal.epoch_or(epoch, F.lit(0).cast("long"))).alias("finished"))
 
 
 @query("""
@@ -266,3 +268,31 @@ def embedded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(F.lit('<script>{"id": 1, "k": 2}</script><script type="application/json">{broken</script><p><script id="x" type="application/json">'), nested, F.lit("</script>"))
     found = payloads.nested_objects(payloads.script_payloads(page), ["id", "k"])
     return table(spark, sf_dir, "events").select("event_id", found.alias("f")).select("event_id", F.size("f").cast("long").alias("n_found"), F.get("f", F.lit(0)).alias("first"))
+
+
+@query("""
+with e as (select event_id as k, case when event_id % 7 = 0 then null else value end as v, strftime(ts, '%Y-%m-%d') as d from events)
+select k as event_id, coalesce(printf('%.1f', v * 100) || '%', '—') as percent, case when v is null then '—' when k % 5 = 0 then '$0.0025' when k % 5 = 1 then '$0.00' else '$1,2' || (10 + k % 80) || '.00' end as cost,
+       case when k % 3 = 0 then '—' else d end as day, case when k % 4 = 0 then '—' else printf('%.3f', k % 997 / 1000) end as correlation, case k % 4 when 0 then 'Not disclosed' when 1 then d when 2 then strftime(d::date, '%B %Y') else '—' end as cutoff from e
+""")
+def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentages, costs, dates, correlations and cutoffs as they are shown, unknown ones among them."""
+    k = F.col("event_id")
+    v, d = F.when(k % 7 != 0, F.col("value")), F.date_format("ts", "yyyy-MM-dd")
+    cost = F.when(v.isNotNull(), F.when(k % 5 == 0, 0.0025).when(k % 5 == 1, 0.0).otherwise((1210 + k % 80).cast("double")))
+    cutoff = F.when(k % 4 == 1, d).when(k % 4 == 2, F.substring(d, 1, 7)).when(k % 4 == 3, "soon")
+    return table(spark, sf_dir, "events").select(
+        "event_id", payloads.percent(v).alias("percent"), payloads.dollars(cost).alias("cost"), payloads.display_date(F.when(k % 3 != 0, F.concat(d, F.lit("T10")))).alias("day"),
+        payloads.display_correlation(F.when(k % 4 == 0, float("nan")).otherwise(k % 997 / 1000)).alias("correlation"), payloads.display_cutoff(cutoff).alias("cutoff"),
+    )
+
+
+@query("""
+with l as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as before from events)
+select user_id, event_id, before as previous, event_type as state from l where (before is null and event_type <> 'view') or (before = 'view' and event_type not in ('click', 'error')) or (before = 'click' and event_type not in ('purchase', 'view')) or (before in ('purchase', 'error')) or (before = 'signup')
+""")
+def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of users' events that may not follow the one before."""
+    allowed = {None: ["view"], "view": ["click", "error"], "click": ["purchase", "view"]}
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("state"))
+    return tables.illegal_transitions(log, ["user_id"], ["ts", "event_id"], "state", allowed).select("user_id", "event_id", "previous", "state")

@@ -7,6 +7,7 @@ import hashlib
 import json
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -64,7 +65,7 @@ def read_vcf(spark: SparkSession, path: str, filters: list[str]) -> tuple[DataFr
     fields = F.expr("str_to_map(info, ';', '=')")
     good = rows.where("n >= 8").select("chrom", F.expr("try_cast(pos as bigint)").alias("pos"), "id", "ref", "alt", "filter", fields.alias("info"))
     key = F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt")
-    twice = checks.duplicated_keys(good.select(key.alias("key")), ["key"]).select(F.lit("unique_key").alias("rule"), "key")
+    twice = checks.duplicated_keys(good.where("pos is not null").select(key.alias("key")), ["key"]).select(F.lit("unique_key").alias("rule"), "key")
     return good, broken.union(twice)
 
 
@@ -188,6 +189,38 @@ def catalogue_decisions(catalogue: DataFrame, chosen: DataFrame, entries: str =
     return out.select("urn", "title", "genes", F.when(reason == "reviewed", "selected").otherwise("excluded").alias("decision"), reason.alias("reason"))
 
 
+def read_mapping(text: str) -> dict[str, object]:
+    """A configuration's mapping, from JSON (or YAML, where the yaml package is there): a key that stands twice at any depth, a
+    constant that is not finite, or anything but a mapping is an error."""
+
+    def unique(pairs: list[tuple[str, object]]) -> dict[str, object]:
+        twice = [k for k, n in Counter(k for k, _ in pairs).items() if n > 1]
+        if twice:
+            raise ValueError(f"a key stands twice: {twice[0]!r}")
+        return dict(pairs)
+
+    try:
+        found = json.loads(text, object_pairs_hook=unique)
+    except json.JSONDecodeError:
+        found = _yaml(text, unique)
+    if not isinstance(found, dict):
+        raise ValueError("not a mapping")
+    return json.loads(canonical_json(found))
+
+
+def _yaml(text: str, unique) -> object:
+    try:
+        import yaml
+    except ImportError:
+        raise ValueError("not JSON, and there is no yaml package") from None
+
+    class Loader(yaml.SafeLoader):
+        pass
+
+    Loader.add_constructor("tag:yaml.org,2002:map", lambda loader, node: unique([(loader.construct_object(k, True), loader.construct_object(v, True)) for k, v in node.value]))
+    return yaml.load(text, Loader=Loader)
+
+
 def model_catalogue(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Models of catalogue documents (schema_version, models: map of model to a map of fields), and their violations:
     model, family, release_date, knowledge_cutoff, knowledge_cutoff_url; rule, key.

@@ -14,6 +14,19 @@ def latest_state(log: DataFrame, key: list[str], at: str) -> DataFrame:
     return log.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def illegal_transitions(log: DataFrame, key: list[str], order: list[str], state: str, allowed: dict[str | None, list[str]]) -> DataFrame:
+    """Rows of a state log whose state may not follow the one before (adds previous; null before a key's first row).
+
+    allowed: for a state, or None for the first row, the states that may come next; a state that is not listed is final.
+    """
+    previous = F.lag(state).over(Window.partitionBy(*key).orderBy(*order))
+    marked = log.withColumn("previous", previous)
+    fits = F.lit(False)
+    for before, after in allowed.items():
+        fits = fits | (F.col("previous").eqNullSafe(F.lit(before)) & F.coalesce(F.col(state).isin(after), F.lit(False)))
+    return marked.where(~fits)
+
+
 def resumable(run: Callable[[DataFrame], DataFrame], requests: DataFrame, cache: DataFrame, digest: str) -> DataFrame:
     """Answers of all requests: cached ones as they are, ``run`` is given each other distinct request once.
 

@@ -172,6 +172,13 @@ def test_fasta_over_several_splits(spark, tmp_path):
     assert found == {k: s.upper() for k, s in genome.items() if s}
 
 
+def test_mappings_reject_repeated_keys():
+    assert readers.read_mapping('{"b": {"x": 1}, "a": [1, null]}') == {"a": [1, None], "b": {"x": 1}}
+    for text in ('{"a": 1, "a": 2}', '{"a": {"b": 1, "b": 1}}', "[1]", '{"a": NaN}', ""):
+        with pytest.raises(ValueError):
+            readers.read_mapping(text)
+
+
 def test_exact_sums(spark):
     rows = [(0.1,)] * 10 + [(1e9,), (-1e9,), (0.7,)]
     df = spark.createDataFrame(rows, "x double").repartition(5)
