@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.sources.folders import new_folder
+
 
 def best_per_group(df: DataFrame, by: list[str], order: list[Column], rank: str | None = None) -> DataFrame:
     """The first row of each group in ``order`` (which must be total); with ``rank``, all rows and their places."""
@@ -64,7 +66,9 @@ def preferred_latest(df: DataFrame, key: list[str], kind: str, preference: list[
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds each row's place in a total order, from 1: ranges of the order are numbered in their tasks, and shifted by the counts of
     the ranges before them (one row a range)."""
-    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    folder = new_folder(df.sparkSession, "numbered")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    dealt = df.sparkSession.read.parquet(folder)  # ranges are cut by a sample, so they must be cut once
     inside = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

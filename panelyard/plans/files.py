@@ -49,7 +49,7 @@ def packed_artifact_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptors as written break no rule; with three fields changed each file breaks those three."""
     customers, out = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), []
     for codec in ("gzip", "zstd"):
-        manifest = writers.write_jsonl(customers, "c_custkey", new_folder(spark, f"artifacts-{codec}"), 1_000_000, codec).persist()
+        manifest = writers.write_jsonl(customers, "c_custkey", new_folder(spark, f"artifacts-{codec}"), 1_000_000, codec)
         wrong = manifest.withColumns({"records": F.col("records") + 1, "content_sha256": F.sha2("content_sha256", 256), "artifact_bytes": F.col("artifact_bytes") - 1})
         broken = readers.verify_packed(manifest).union(readers.verify_packed(wrong))
         sized = broken.join(manifest.select(F.col("path").alias("key"), "records"), "key")

@@ -61,7 +61,8 @@ def write_jsonl(df: DataFrame, key: str, folder: str, partition_rows: int = 1_00
     """Writes packed JSON lines in key order; returns path, records, content_sha256, content_bytes, artifact_sha256, artifact_bytes.
 
     Rows are range-partitioned by key; a part's file is the same whenever it is written (no time stamp in it).  codec: gzip or
-    zstd.  Lines go into the packer batch by batch, so a task holds a batch, whatever the part's size.
+    zstd.  Lines go into the packer batch by batch, so a task holds a batch, whatever the part's size.  The rows returned are
+    a table beside the files (``_manifest``), so reading them writes nothing anew.
     """
     n = max(1, -(-df.count() // partition_rows))
     ordered = canonical_lines(df, key).repartitionByRange(n, "key").sortWithinPartitions("key", "line").select("line")
@@ -75,7 +76,10 @@ def write_jsonl(df: DataFrame, key: str, folder: str, partition_rows: int = 1_00
         if out:
             yield pa.RecordBatch.from_pylist([out.close()])
 
-    return ordered.mapInArrow(write, "path string, records long, content_sha256 string, content_bytes long, artifact_sha256 string, artifact_bytes long")
+    written = ordered.mapInArrow(write, "path string, records long, content_sha256 string, content_bytes long, artifact_sha256 string, artifact_bytes long")
+    manifest = f"{folder}/_manifest-{uuid.uuid4().hex}"
+    written.write.parquet(manifest)
+    return df.sparkSession.read.schema(written.schema).parquet(manifest)
 
 
 def set_digest(df: DataFrame, key: str) -> DataFrame:
