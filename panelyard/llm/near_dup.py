@@ -40,6 +40,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 PERCENT, MAYBE = 75, 0.58
 #: Buckets of up to SMALL_BUCKET nodes pair them by a join; larger ones meet in blocks of about BUCKET_BLOCK nodes.
 SMALL_BUCKET, BUCKET_BLOCK = 16, 256
+#: Shingles of a block, about, so that long texts make smaller blocks: 64 MB of sets.
+BLOCK_SHINGLES = 8_000_000
 _MIX = np.random.default_rng(20_240_117)
 _MULTIPLY = (_MIX.integers(0, 2**32, (REGISTERS, 2), np.uint64) | 1).astype(np.uint32)
 
@@ -228,11 +230,14 @@ def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, table
     Blocks 0 to strays - 1 hold the nodes outside the bucket's most common component, the blocks after them hold that one's.
     Every block meets every block of strays.
     """
-    large = members.where(F.col("size") > small_bucket)
-    shares = large.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    most = tables.kept(shares.groupBy("bucket").agg(F.max_by("root", F.struct("n", F.col("root"))).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n")), "most")
-    blocks = lambda n: F.ceil(n / bucket_block).cast("int")
-    strays, common, number = blocks(F.col("n") - F.col("n_most")), blocks(F.col("n_most")), F.xxhash64("node")
+    large = members.where(F.col("size") > small_bucket).join(nodes.select("node", "n_shingles"), "node")
+    shares = large.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    first = F.max(F.struct("n", "root", "s"))  # the most nodes, then the greater root
+    most = shares.groupBy("bucket").agg(first.alias("first"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / bucket_block, s / BLOCK_SHINGLES)).cast("int")
+    strays = blocks(F.col("n") - F.col("first.n"), F.col("s") - F.col("first.s"))
+    most = tables.kept(most.select("bucket", F.col("first.root").alias("most"), strays.alias("strays"), blocks(F.col("first.n"), F.col("first.s")).alias("common")), "most")
+    strays, common, number = F.col("strays"), F.col("common"), F.xxhash64("node")
     block = F.when(F.col("root") == F.col("most"), strays + F.pmod(number, common)).otherwise(F.pmod(number, strays)).cast("int")
     met = F.sequence(F.lit(0), F.when(F.col("root") == F.col("most"), strays - 1).otherwise(strays + common - 1))
     dealt = large.join(most, "bucket").select("bucket", "node", "root", block.alias("block"), F.explode(met).alias("other"))
