@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import bpe, chat, decontaminate, licences, near_dup, quality, secrets, sql, token_files, topk, toxicity
+from panelyard.llm import bpe, chat, collocations, decontaminate, licences, merkle, near_dup, quality, secrets, simhash, sql, token_files, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_token_files": op2_token_files,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_dup": op10_near_dup,
+    "op11_simhash": op11_simhash,
+    "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -74,4 +89,6 @@ ORACLE: dict[str, str] = {
     "op7_top_k": sql.OP7,
     "op9_decontaminate": sql.OP9,
     "op10_near_dup": sql.OP10,
+    "op12_merkle": sql.OP12,
+    "op13_collocations": sql.OP13,
 }

@@ -122,3 +122,59 @@ least as (select a, min(b) as m from reach group by a)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id, doc_id = least(doc_id, coalesce(m, doc_id)) as kept
 from d left join n using (doc_id) left join least on a = doc_id
 """
+
+
+def _op12(levels: int = 12) -> str:
+    """Both trees level by level, each up to 3**levels nodes: a run's digests as a list, their node, and every leaf's way up."""
+    crc, table = 4294967295, []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ 0xEDB88320 * (b & 1)
+        table.append(b)
+    value = lambda x: f"coalesce(strlen({x}::varchar)::varchar || ':' || {x}::varchar, '-')"
+    leaf = lambda text: "sha256(concat(" + ", ".join(value(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    parts = [
+        rf"""crc as (select {table} as t),
+d as (select coalesce('=' || source, '') as tree, doc_id, {leaf("text")} as leaf, {leaf("replace(text, chr(10), '')")} as other,
+      xor({crc}, list_reduce(list_prepend({crc}::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]::bigint))) as crc from documents, crc),
+a0 as (select tree, doc_id, leaf, if(crc % 2 = 0, other, leaf) as f, '' as proof, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as p from d),
+s0 as (select tree, p, leaf as h, count(*) over (partition by tree) as c from a0)"""
+    ]
+
+    def rise(nodes: str, ways: str) -> tuple[str, str]:
+        for k in range(levels):
+            parts.append(rf"""{nodes}r{k} as (select tree, p // 3 as p, list(h order by p) as hs, c from {nodes}{k} group by tree, p // 3, c),
+{nodes}{k + 1} as (select tree, p, if(c = 1, hs[1], sha256(array_to_string(hs, ''))) as h, (c + 2) // 3 as c from {nodes}r{k}),
+{ways}{k + 1} as (
+    select w.* replace (w.p // 3 as p, if(c = 1, f, sha256(array_to_string(hs[1 : w.p % 3], '') || f || array_to_string(hs[w.p % 3 + 2 :], ''))) as f,
+           proof || if(c = 1, '', array_to_string(hs[1 : w.p % 3], '') || array_to_string(hs[w.p % 3 + 2 :], '')) as proof)
+    from {ways}{k} w join {nodes}r{k} r on w.tree = r.tree and w.p // 3 = r.p)""")
+        return f"{nodes}{levels}", f"{ways}{levels}"
+
+    subroots, ways = rise("s", "a")
+    parts.append(rf"""n as (select tree as name, h, row_number() over (order by tree) - 1 as p from {subroots}),
+t0 as (select '' as tree, p, h, count(*) over () as c from n),
+b0 as (select '' as tree, doc_id, leaf, f, proof, n.p, n.h as subroot from {ways} w join n on w.tree = n.name)""")
+    roots, ways = rise("t", "b")
+    return "with " + ",\n".join(parts) + f"\nselect doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, f as folded_root, f = h as verified from {ways} w, {roots} r"
+
+
+OP12 = _op12()
+
+OP13 = rf"""
+with d as (select coalesce(lang, 'und') as lang, {_LOW} as t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as s from d),
+w as (select lang, regexp_extract_all(s, '[^\x20\x09]+') as w from p),
+n as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (select unnest(range(1, 6)) as k))),
+f as (select lang, k, phrase, count(*) as a from g group by lang, k, phrase having count(*) >= 100),
+c as (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k > 1),
+cuts as (select c.*, j, array_to_string(w[1 : j], ' ') as x, array_to_string(w[j + 1 :], ' ') as y from (select c.*, unnest(range(1, k)) as j from c) c),
+s as (select cuts.lang, cuts.phrase, cuts.a, j, l.a as l, r.a as r, n, (1000::hugeint * cuts.a * n // (l.a::hugeint * r.a))::bigint as score
+      from cuts join n using (lang) join f l on l.lang = cuts.lang and l.phrase = x join f r on r.lang = cuts.lang and r.phrase = y),
+best as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inside as (select distinct lang, a, unnest([array_to_string(w[1 : k - 1], ' '), array_to_string(w[2 :], ' ')]) as phrase from c where k > 2)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from best anti join inside using (lang, a, phrase)
+qualify rank <= 2000
+"""

@@ -23,6 +23,9 @@ def _table(is_word) -> np.ndarray:
 LETTERS = _table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 #: ``[^\x20\x09-\x0D]+`` after lower-casing A-Z.
 BLANKS = _table(lambda b: b != 32 and not 9 <= b <= 13)
+#: Bytes that end a clause, ``[.,;:!?\x0A-\x0D]``, and ``[^\x20\x09]+`` between them after lower-casing A-Z.
+CLAUSE_ENDS = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
+CLAUSES = _table(lambda b: b not in b" \t" and not CLAUSE_ENDS[b])
 
 
 @dataclass
