@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.operators import scans
+
 
 def violations(df: DataFrame, key: Column, rules: dict[str, Column]) -> DataFrame:
     """rule and key for each rule that a row breaks; a rule is the condition that must hold, null counts as broken."""
@@ -147,8 +149,7 @@ def chronology_bounds(df: DataFrame, bounds: DataFrame, by: list[str], at: str,
 
 def chronology_breaches(df: DataFrame, by: list[str], at: str, order: str) -> DataFrame:
     """Rows whose time lies before that of the row in front, by ``order``: by, order, at, previous_at."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("previous_at", F.lag(at).over(w)).where(F.col("previous_at") > F.col(at)).select(*by, order, at, "previous_at")
+    return scans.scanned(df, by, [order], lags={"previous_at": F.col(at)}).where(F.col("previous_at") > F.col(at)).select(*by, order, at, "previous_at")
 
 
 def leaks(text: Column, forbidden: list[str], pattern: str | None = None) -> Column:

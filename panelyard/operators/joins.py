@@ -5,33 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.operators import scans
 
-def _bins(start: Column, stop: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor(stop / width).cast("long")))
 
+#: A level of the interval index has bins of 4**level positions.
+_STEP = 2
 
-def containment_join(points: DataFrame, windows: DataFrame, key: list[str], at: str, length: str | None, start: str, stop: str, width: int) -> DataFrame:
+
+def _indexed(spans: DataFrame, start: str, stop: str) -> DataFrame:
+    """Spans (inclusive ends) under the bins of the lowest level that is as wide as they are: one or two rows each, of any length.
+    Empty and null spans go."""
+    size = F.col(stop).cast("long") - F.col(start).cast("long") + 1
+    bits = F.char_length(F.bin(size - 1))  # 2**bits >= size
+    level = F.when(size == 1, 0).otherwise(F.ceil(bits / _STEP)).cast("int")
+    low, high = F.expr(f"shiftright(cast({start} as bigint), {_STEP} * _level)"), F.expr(f"shiftright(cast({stop} as bigint), {_STEP} * _level)")
+    return spans.where(F.col(start) <= F.col(stop)).withColumn("_level", level).withColumn("_bin", F.explode(F.array_distinct(F.array(low, high))))
+
+
+def containment_join(points: DataFrame, windows: DataFrame, key: list[str], at: str, length: str | None, start: str, stop: str) -> DataFrame:
     """Points (``at``, or spans of ``length`` from there) that lie wholly within a window of the same key, both ends inclusive.
 
-    Windows are listed under the bins of ``width`` that they touch and a point has one bin, so the join is an equality on key
-    and bin and each pair is found once.  Choose ``width`` about a window's length.
+    The join is an equality on key, level and bin of an index over the windows: a window stands in one or two bins whatever its
+    length, a point probes one bin of each level that windows have (31 at most), so each pair is found once.
     """
     end = F.col(at) + (F.col(length) - 1 if length else F.lit(0))
-    listed = windows.withColumn("_bin", _bins(F.col(start), F.col(stop), width))
-    return points.withColumn("_bin", F.floor(F.col(at) / width).cast("long")).withColumn("_end", end).join(listed, [*key, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col("_end") <= F.col(stop))).drop("_bin", "_end")
+    listed = _indexed(windows, start, stop)
+    levels = sorted(r[0] for r in listed.select("_level").distinct().collect())
+    probes = F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))
+    probing = points.withColumn("_end", end).withColumn("_level", probes).withColumn("_bin", F.expr(f"shiftright(cast({at} as bigint), {_STEP} * _level)"))
+    return probing.join(listed, [*key, "_level", "_bin"]).where((F.col(at) >= F.col(start)) & (F.col("_end") <= F.col(stop))).drop("_level", "_bin", "_end")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:
-    """Pairs of spans (inclusive ends) that share a point.  A pair is taken in the first bin that both touch, so once only."""
+def overlap_join(left: DataFrame, right: DataFrame, key: list[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
+    """Pairs of spans (inclusive ends) that share a point: the right one holds the left one's start, or begins within the left one
+    after that.  Either is a containment of points, so a span of any length is one or two rows."""
     (a, b), (c, d) = left_span, right_span
-    l_bins, r_bins = left.withColumn("_bin", _bins(F.col(a), F.col(b), width)), right.withColumn("_bin", _bins(F.col(c), F.col(d), width))
-    first = F.floor(F.greatest(a, c) / width).cast("long")
-    return l_bins.join(r_bins, [*key, "_bin"]).where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("_bin") == first)).drop("_bin")
+    whole = left.where(F.col(a) <= F.col(b)), right.where(F.col(c) <= F.col(d))
+    starts_inside = containment_join(whole[0], whole[1], key, a, None, c, d)
+    begins_later = containment_join(whole[1], whole[0], key, c, None, a, b).where(F.col(c) > F.col(a))
+    return starts_inside.unionByName(begins_later)
+
+
+def overlapping_intervals(intervals: DataFrame, key: list[str], start: str, stop: str) -> DataFrame:
+    """Intervals (inclusive ends) that an earlier one of the same key reaches into, with the greatest stop before them as reached.
+
+    A sweep along the starts that carries the greatest stop, so overlaps are found that no point falls into.
+    """
+    swept = scans.scanned(intervals, key, [start, stop], before={"reached": F.col(stop)})
+    return swept.where(F.col("reached") >= F.col(start))
 
 
-def at_most_one_interval(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, stop: str, name: str, width: int, identity: list[str], other: str = "other") -> DataFrame:
-    """Each point with its interval's name, or ``other``; n_matches over 1 breaks the rule that intervals are disjoint."""
-    found = containment_join(points.select(*key, *identity, at), intervals, key, at, None, start, stop, width).groupBy(*key, *identity).agg(F.min(name).alias("_name"), F.count("*").alias("_n"))
+def at_most_one_interval(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, stop: str, name: str, identity: list[str], other: str = "other") -> DataFrame:
+    """Each point with its interval's name, or ``other``; n_matches over 1 breaks the rule that intervals are disjoint
+    (:func:`overlapping_intervals` finds those that hold no point)."""
+    found = containment_join(points.select(*key, *identity, at), intervals, key, at, None, start, stop).groupBy(*key, *identity).agg(F.min(name).alias("_name"), F.count("*").alias("_n"))
     out = points.join(found, [*key, *identity], "left")
     return out.withColumns({name: F.coalesce("_name", F.lit(other)), "n_matches": F.coalesce("_n", F.lit(0))}).drop("_name", "_n")
 

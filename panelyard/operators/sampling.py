@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators.stats import type7
+from panelyard.operators.scans import quantiles
 
 BINS, PANEL = 5, 50
 
 
 def robust_spread(df: DataFrame, by: list[str], value: str, least: int = PANEL) -> DataFrame:
     """Per group: n, p01, p05, p95, p99, spread (p95 - p05), status (insufficient, collapsed, eligible).  Nulls are left out."""
-    g = df.groupBy(*by).agg(F.count(value).alias("n"), type7(value, 0.01, 0.05, 0.95, 0.99).alias("q"))
+    g = quantiles(df, by, value, [0.01, 0.05, 0.95, 0.99])
     q = [F.col("q")[k] for k in range(4)]
     status = F.when(F.col("n") < least, "insufficient").when(q[0] >= q[3], "collapsed").otherwise("eligible")
     return g.select(*by, "n", *(c.alias(a) for c, a in zip(q, ("p01", "p05", "p95", "p99"), strict=True)), (q[2] - q[1]).alias("spread"), status.alias("status"))
@@ -21,7 +21,7 @@ def robust_spread(df: DataFrame, by: list[str], value: str, least: int = PANEL)
 def score_bins(df: DataFrame, by: list[str], value: str, bins: int = BINS) -> DataFrame:
     """Adds ``bin``: the number of cutpoints at or below the value.  Cutpoints lie evenly between the group's P01 and P99, so a
     value on a cutpoint goes right and tails stay in the outer bins.  Groups whose anchors collapse get null bins."""
-    anchors = df.groupBy(*by).agg(type7(value, 0.01, 0.99).alias("q")).select(*by, F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
+    anchors = quantiles(df, by, value, [0.01, 0.99]).select(*by, F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
     cuts = [(1 - k / bins) * F.col("_lo") + (k / bins) * F.col("_hi") for k in range(1, bins)]
     place = sum(((F.col(value) >= c).cast("int") for c in cuts), F.lit(0))
     return df.join(anchors, by).withColumn("bin", F.when(F.col("_lo") < F.col("_hi"), place)).drop("_lo", "_hi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.operators import scans
 from panelyard.sources.folders import new_folder
 
 
@@ -81,10 +82,9 @@ def sequential_ids(df: DataFrame, by: list[str], order: list[Column], prefix: st
     return df.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("string"), width, "0")))
 
 
-def not_increasing(df: DataFrame, by: list[str], order: list[Column], key: str) -> DataFrame:
-    """Rows whose key is not above the one before: by, key and previous."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("previous", F.lag(key).over(w)).where(F.col("previous") >= F.col(key))
+def not_increasing(df: DataFrame, by: list[str], order: list[str], key: str) -> DataFrame:
+    """Rows whose key is not above the one before, with it as previous."""
+    return scans.scanned(df, by, order, lags={"previous": F.col(key)}).where(F.col("previous") >= F.col(key))
 
 
 def slice_rows(df: DataFrame, order: list[Column], offset: int, most: int) -> DataFrame:

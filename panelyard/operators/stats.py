@@ -7,40 +7,84 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelyard.operators import checks
+from panelyard.operators import checks, exact, scans
+from panelyard.sources.folders import as_table
 
 
 def average_rank(value: str, by: list[str]) -> Column:
-    """Rank from 1 within ``by``; equal values share the mean of their ranks.  Nulls rank first, as one value."""
+    """Rank from 1 within ``by``; equal values share the mean of their ranks.  Nulls rank first, as one value.
+
+    One window a group; :func:`scans.average_ranks` is for groups of any size.
+    """
     order = Window.partitionBy(*by).orderBy(value)  # equal values are one range, so one sort serves both
     return F.rank().over(order) + (F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
-def correlation(x: str, y: str) -> Column:
-    """Pearson's r as an aggregate: 0 where either side is constant or has one row, clamped to [-1, 1].
+def pearson(x: np.ndarray, y: np.ndarray) -> float:
+    """Pearson's r with exact sums: 0 where either side is constant or zero, within [-1, 1].  Values are scaled by their largest
+    magnitude first, so products stay finite."""
 
-    Values are divided by the larger magnitude first by :func:`scaled`, so products stay finite.
-    """
-    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.when(constant, F.lit(0.0)).otherwise(F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(0.0)))
+    def centred(v: np.ndarray) -> np.ndarray:
+        most = np.abs(v).max()
+        v = v / most if most else v
+        return v - math.fsum(v) / len(v)
 
+    a, b = centred(x), centred(y)
+    across = math.fsum(a * a), math.fsum(b * b)
+    return max(-1.0, min(1.0, math.fsum(a * b) / math.sqrt(across[0] * across[1]))) if all(across) else 0.0
 
-def scaled(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """The columns divided by their panel's largest magnitude (0 stays 0)."""
-    w = Window.partitionBy(*by)
-    return df.withColumns({c: F.coalesce(F.try_divide(F.col(c), F.max(F.abs(c)).over(w)), F.lit(0.0)) for c in columns})
 
+def _mean_ranks(v: np.ndarray) -> np.ndarray:
+    _, place, n = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[place]
 
-def panel_correlations(df: DataFrame, by: list[str], prediction: str, reference: str) -> DataFrame:
-    """Per panel: n, spearman_rho (Pearson over average ranks), pearson_r.  Rows without a finite number on either side are left out."""
+
+def panel_correlations(df: DataFrame, by: list[str], prediction: str, reference: str, group_rows: int = scans.GROUP_ROWS) -> DataFrame:
+    """Per panel: n, spearman_rho (Pearson over average ranks), pearson_r, with sums that are rounded once.
+
+    Rows without a finite number on either side are left out.  Panels are counted first: up to ``group_rows`` rows a panel is one
+    group in a task, larger ones go by :func:`spread_correlations`, which gives the same numbers.
+    """
     rows = df.select(*by, checks.finite_text(F.col(prediction)).alias("p"), checks.finite_text(F.col(reference)).alias("r")).dropna(subset=["p", "r"])
-    ranked = rows.withColumns({"rank_p": average_rank("p", by), "rank_r": average_rank("r", by)})
-    return scaled(ranked, by, ["p", "r"]).groupBy(*by).agg(F.count("*").alias("n"), correlation("rank_p", "rank_r").alias("spearman_rho"), correlation("p", "r").alias("pearson_r"))
+    if (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > group_rows:
+        return spread_correlations(rows, by)
+    fields = [rows.schema[c] for c in by]
+
+    def run(key: tuple, panel: pa.Table) -> pa.Table:
+        p, r = (panel[c].to_numpy() for c in ("p", "r"))
+        keys = {f.name: pa.array([k.as_py()], panel.schema.field(f.name).type) for f, k in zip(fields, key, strict=True)}
+        return pa.table(keys | {"n": pa.array([len(p)]), "spearman_rho": [pearson(_mean_ranks(p), _mean_ranks(r))], "pearson_r": [pearson(p, r)]})
+
+    more = [T.StructField("n", T.LongType()), T.StructField("spearman_rho", T.DoubleType()), T.StructField("pearson_r", T.DoubleType())]
+    return rows.groupBy(*by).applyInArrow(run, T.StructType(fields + more))
+
+
+def spread_correlations(rows: DataFrame, by: list[str]) -> DataFrame:
+    """n, spearman_rho and pearson_r of p and r for each ``by``, with no panel in one task: ranks by ranges, exact sums map side
+    first, and a panel's means and scales joined back."""
+    ranked = as_table(scans.average_ranks(scans.average_ranks(rows, by, "p", "rank_p"), by, "r", "rank_r"), "ranked")
+    columns = ["p", "r", "rank_p", "rank_r"]
+    most = ranked.groupBy(*by).agg(F.count("*").alias("n"), *(F.max(F.abs(c)).cast("double").alias(f"_{c}") for c in columns))
+    scaled = exact.joined(ranked, by, most).select(*by, "n", *(F.when(F.col(f"_{c}") > 0, F.col(c) / F.col(f"_{c}")).otherwise(F.lit(0.0)).alias(c) for c in columns))
+    means = exact.exact_sums(scaled, by, {f"_{c}": F.col(c) for c in columns})
+    centred = exact.joined(scaled, by, means).select(*by, "n", *((F.col(c) - F.col(f"_{c}") / F.col("n")).alias(c) for c in columns))
+    product = lambda a, b: F.col(a) * F.col(b)
+    sums = exact.exact_sums(centred, by, {f"{a}_{b}": product(a, b) for x, y in (("p", "r"), ("rank_p", "rank_r")) for a, b in ((x, x), (y, y), (x, y))})
+
+    def r(x: str, y: str) -> Column:
+        across = F.col(f"{x}_{x}") * F.col(f"{y}_{y}")
+        constant = (F.col(f"{x}_{x}") == 0) | (F.col(f"{y}_{y}") == 0)
+        return F.when(constant, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col(f"{x}_{y}"), F.sqrt(across)))))
+
+    counted = exact.joined(most.select(*by, "n"), by, sums)
+    return counted.select(*by, "n", r("rank_p", "rank_r").alias("spearman_rho"), r("p", "r").alias("pearson_r"))
 
 
 def type7(value: str, *points: float) -> Column:

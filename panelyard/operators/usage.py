@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.operators import exact, scans
+
 
 def complete_sum(value: Column) -> Column:
     """Sum that is null if any input is null, or there are none."""
@@ -12,9 +14,9 @@ def complete_sum(value: Column) -> Column:
 
 
 def exact_sum(value: Column, digits: int = 18) -> Column:
-    """Sum of doubles of at most ``digits`` decimal places, rounded once: added as decimals, so the order of rows does not matter.
+    """Sum of amounts of at most ``digits`` decimal places, rounded once: added as decimals, so the order of rows does not matter.
 
-    Exact while the sum stays below 10 ** (38 - digits); null for no rows.
+    For money and the like, below 10 ** (38 - digits); null for no rows.  :func:`exact.exact_sums` takes doubles of any size.
     """
     return F.sum(value.cast(f"decimal(38, {digits})")).cast("double")
 
@@ -26,42 +28,58 @@ def total_tokens(total: Column, prompt: Column, completion: Column) -> Column:
 
 
 def execution_metrics(df: DataFrame, by: list[str], tokens: Column, cost: Column, truncated: Column) -> DataFrame:
-    """Per group: attempts, known, total_tokens and total_cost (spoilt by unknowns), known_tokens, max_tokens (spoilt too), truncated."""
-    return df.groupBy(*by).agg(
+    """Per group: attempts, known, total_tokens and total_cost (spoilt by unknowns), known_tokens, max_tokens (spoilt too), truncated.
+
+    The cost is the exact sum, rounded once.
+    """
+    counted = df.groupBy(*by).agg(
         F.count("*").alias("attempts"),
         F.count(tokens).alias("known"),
         complete_sum(tokens).alias("total_tokens"),
-        complete_sum(cost).alias("total_cost"),
         F.coalesce(F.sum(tokens), F.lit(0)).alias("known_tokens"),
         F.when(F.bool_and(tokens.isNotNull()), F.max(tokens)).alias("max_tokens"),
         F.count_if(truncated).alias("truncated"),
     )
+    return exact.joined(counted, by, exact.exact_sums(df, by, {"total_cost": cost}, spoilt=True))
 
 
 def allocate(items: DataFrame, batch: list[str], order: list[str], weight: str, cost: str) -> DataFrame:
     """Splits a batch's cost (the same on all its rows) over its items: adds share.
 
     By weight if every item's is positive, else equally; the last item in ``order`` (a total order) takes what the others
-    leave, so shares add up to the cost.
+    leave, their shares added exactly, so shares add up to the cost within its last place.  Batches are summed map side first
+    and their totals joined back, so one batch may hold most rows.
     """
-    every, run = Window.partitionBy(*batch), Window.partitionBy(*batch).orderBy(*order)
-    positive = F.min(F.coalesce(F.col(weight).cast("double"), F.lit(0.0))).over(every) > 0
-    w = F.when(positive, F.col(weight).cast("double")).otherwise(F.lit(1.0))
-    part = items.withColumns({"_w": w, "_last": F.row_number().over(run) == F.count("*").over(every)})
-    part = part.withColumn("_share", F.col(cost) * F.col("_w") / F.sum("_w").over(every))
-    before = F.coalesce(F.sum("_share").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return part.withColumn("share", F.when(F.col("_last"), F.col(cost) - before).otherwise(F.col("_share"))).drop("_w", "_last", "_share")
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    about = items.groupBy(*batch).agg(F.min(w).alias("_least"), F.count("*").cast("double").alias("_n"), F.max(F.struct(*order)).alias("_last"))
+    about = exact.joined(about, batch, exact.exact_sums(items, batch, {"_weights": w}))
+    part = exact.joined(items, batch, about)
+    positive = F.col("_least") > 0
+    own = F.col(cost) * F.when(positive, w).otherwise(F.lit(1.0)) / F.when(positive, F.col("_weights")).otherwise(F.col("_n"))
+    part = part.withColumns({"_share": own, "_end": F.struct(*order).eqNullSafe(F.col("_last"))})
+    others = exact.exact_sums(part.where("not _end"), batch, {"_others": F.col("_share")})
+    left = F.col(cost) - F.coalesce(F.col("_others"), F.lit(0.0))
+    whole = exact.joined(part, batch, others).withColumn("share", F.when(F.col("_end"), left).otherwise(F.col("_share")))
+    return whole.drop("_least", "_n", "_last", "_weights", "_share", "_end", "_others")
+
+
+def ulp(value: Column) -> Column:
+    """One unit in the last place of a double."""
+    size = F.greatest(F.abs(value), F.lit(2.0**-1022))
+    step = F.pow(F.lit(2.0), F.floor(F.log2(size)))
+    step = F.when(step > size, step / 2).when(step * 2 <= size, step * 2).otherwise(step)  # the logarithm may be off by one
+    return step * F.lit(2.0**-52)
 
 
 def ledger_violations(shares: DataFrame, batch: list[str], share: str, cost: str, members: DataFrame | None = None, item: str | None = None) -> DataFrame:
     """Batches whose ledger is wrong: rule (receipts_differ, negative_share, total_differs, members_differ) and batch.
 
-    The total may differ by one unit in the last place of the larger sum for each share, as Spark adds them one by one in no
-    fixed order; :func:`exact_sum` has no such error.
+    The shares' exact sum may differ from the receipt by one unit in the last place of the larger, however many they are.
     """
-    g = shares.groupBy(*batch).agg(F.min(cost).alias("_lo"), F.max(cost).alias("_hi"), F.min(share).alias("_least"), F.sum(share).alias("_sum"), F.count("*").alias("_n"))
-    ulp = F.greatest(F.abs("_sum"), F.abs("_hi")) * F.lit(2.0**-52)
-    rules = {"receipts_differ": F.col("_lo") != F.col("_hi"), "negative_share": F.col("_least") < -ulp, "total_differs": F.abs(F.col("_sum") - F.col("_hi")) > ulp * F.greatest(F.lit(1), F.col("_n"))}
+    g = shares.groupBy(*batch).agg(F.min(cost).alias("_lo"), F.max(cost).alias("_hi"), F.min(share).alias("_least"))
+    g = exact.joined(g, batch, exact.exact_sums(shares, batch, {"_sum": F.col(share)}))
+    near = F.greatest(ulp(F.col("_sum")), ulp(F.col("_hi")))
+    rules = {"receipts_differ": F.col("_lo") != F.col("_hi"), "negative_share": F.col("_least") < -near, "total_differs": F.abs(F.col("_sum") - F.col("_hi")) > near}
     out = g.select(*batch, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))).alias("rule"))
     if members is not None and item is not None:
         keys = [*batch, item]
@@ -72,8 +90,7 @@ def ledger_violations(shares: DataFrame, batch: list[str], share: str, cost: str
 
 def budget_reserved(df: DataFrame, by: list[str], order: list[str], cost: str, budget: float) -> DataFrame:
     """Running cost within ``by``; adds spent (this row included) and within_budget."""
-    spent = F.sum(cost).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("spent", spent).withColumn("within_budget", F.col("spent") <= budget)
+    return scans.scanned(df, by, order, sums={"spent": F.col(cost)}).withColumn("within_budget", F.col("spent") <= budget)
 
 
 def attempt_totals(items: DataFrame, batch: str, tokens: str, receipt: str, partitioned: str) -> DataFrame:

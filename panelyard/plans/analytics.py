@@ -189,7 +189,7 @@ select event_id, window_id from e join w using (user_id) where s between a and b
 def containment_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", _seconds("ts").alias("s"), "event_type")
     windows = events.where("event_type = 'purchase'").select(F.col("event_id").alias("window_id"), "user_id", (F.col("s") - 21_600).alias("a"), (F.col("s") + 21_600).alias("b"))
-    return joins.containment_join(events.drop("event_type"), windows, ["user_id"], "s", None, "a", "b", 43_200).select("event_id", "window_id")
+    return joins.containment_join(events.drop("event_type"), windows, ["user_id"], "s", None, "a", "b").select("event_id", "window_id")
 
 
 @query("""
@@ -202,7 +202,7 @@ def feature_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("string")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("k"), day.alias("a"), (day + F.col("o_orderkey") % 60).alias("b"), quarter.alias("q"))
     features = orders.groupBy("k", F.concat(F.lit("q"), "q").alias("feature")).agg(F.min("a").alias("c"), F.max("a").alias("d"))
-    pairs = joins.overlap_join(orders.drop("q"), features, ["k"], ("a", "b"), ("c", "d"), 90)
+    pairs = joins.overlap_join(orders.drop("q"), features, ["k"], ("a", "b"), ("c", "d"))
     return pairs.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("features"))
 
 
@@ -212,7 +212,7 @@ select c_custkey, coalesce(element, 'other') as element, (element is not null)::
 """)
 def element_of_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     intervals = spark.createDataFrame([("AUTOMOBILE", 0.0, 1999.99, "low"), ("AUTOMOBILE", 4000.0, 6999.99, "high"), ("BUILDING", -500.0, 500.0, "mid")], "c_mktsegment string, a double, b double, element string")
-    out = joins.at_most_one_interval(table(spark, sf_dir, "customer"), intervals, ["c_mktsegment"], "c_acctbal", "a", "b", "element", 1000, ["c_custkey"])
+    out = joins.at_most_one_interval(table(spark, sf_dir, "customer"), intervals, ["c_mktsegment"], "c_acctbal", "a", "b", "element", ["c_custkey"])
     return out.select("c_custkey", "element", F.col("n_matches").cast("long").alias("n_matches"))
 
 
@@ -286,5 +286,5 @@ def feature_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("string")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("k"), day.alias("a"), (day + F.col("o_orderkey") % 60).alias("b"), month.alias("m"))
     features = orders.groupBy("k", F.concat(F.lit("m"), "m").alias("feature")).agg(F.min("a").alias("c"), F.max("a").alias("d"))
-    pairs = joins.overlap_join(orders.drop("m"), features, ["k"], ("a", "b"), ("c", "d"), 30)
+    pairs = joins.overlap_join(orders.drop("m"), features, ["k"], ("a", "b"), ("c", "d"))
     return pairs.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("features"))

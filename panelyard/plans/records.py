@@ -110,7 +110,7 @@ with w as (select l_orderkey, l_partkey, l_linenumber, l_quantity, lag(l_linenum
 select l_orderkey, l_linenumber, previous from w where previous >= l_linenumber
 """)
 def not_increasing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.asc(c) for c in ("l_shipdate", "l_partkey", "l_linenumber", "l_quantity")]
+    order = ["l_shipdate", "l_partkey", "l_linenumber", "l_quantity"]
     return selection.not_increasing(table(spark, sf_dir, "lineitem"), ["l_orderkey"], order, "l_linenumber").select("l_orderkey", "l_linenumber", "previous")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions import parsing, payloads, sequence, temporal
-from panelyard.operators import boards, checks, joins, questions, sampling, selection, usage
+from panelyard.operators import boards, checks, joins, questions, sampling, selection, stats, usage
 from panelyard.plans.registry import query, table
 from panelyard.streaming import tables
 
@@ -50,7 +50,7 @@ select rule, task as key from c join (values ('convention', 'AUTOMOBILE'), ('anc
 def sampling_provenance_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provenance of the balance samples of each segment: right for one, and wrong in its seed, anchors, allocation or members for others."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("task"), "c_custkey", F.col("c_acctbal").alias("score"))
-    q = sampling.type7("score", 0.01, 0.99)
+    q = stats.type7("score", 0.01, 0.99)
     anchors = customers.groupBy("task").agg(q.alias("anchors"))
     cuts = F.array(*[(1 - k / 5) * F.col("anchors")[0] + (k / 5) * F.col("anchors")[1] for k in range(1, 5)])
     chosen = sampling.stratified_sample(customers, ["task"], "c_custkey", "score", "seed-1", 12)

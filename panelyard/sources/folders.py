@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +43,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/panelyard/{name}-{uuid.uuid4().hex}"
 
 
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later reads repeat no work and survive lost executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     whole, store = hadoop_path(spark, folder)
     store.delete(whole, True)

@@ -149,10 +149,10 @@ def test_reconcile(spark):
 def test_interval_joins(spark):
     points = spark.createDataFrame([("c", p, n) for p in range(1, 30) for n in (1, 4)], "k string, p long, n long")
     windows = spark.createDataFrame([("c", 5, 12, "w"), ("c", 10, 28, "x")], "k string, a long, b long, name string")
-    out = sorted((r.p, r.n, r.name) for r in joins.containment_join(points, windows, ["k"], "p", "n", "a", "b", 7).collect())
+    out = sorted((r.p, r.n, r.name) for r in joins.containment_join(points, windows, ["k"], "p", "n", "a", "b").collect())
     assert out == sorted((p, n, w) for p in range(1, 30) for n in (1, 4) for w, a, b in (("w", 5, 12), ("x", 10, 28)) if p >= a and p + n - 1 <= b)
     spans = points.select("k", F.col("p").alias("s"), (F.col("p") + F.col("n")).alias("e"))
-    out = sorted((r.s, r.e, r.name) for r in joins.overlap_join(spans, windows, ["k"], ("s", "e"), ("a", "b"), 6).collect())
+    out = sorted((r.s, r.e, r.name) for r in joins.overlap_join(spans, windows, ["k"], ("s", "e"), ("a", "b")).collect())
     assert out == sorted((p, p + n, w) for p in range(1, 30) for n in (1, 4) for w, a, b in (("w", 5, 12), ("x", 10, 28)) if p <= b and a <= p + n)
 
 
