@@ -115,7 +115,7 @@ def display_correlation(value: Column) -> Column:
 def display_cutoff(text: Column) -> Column:
     """A day as it is, a month by its name, ``Not disclosed`` for null."""
     month = F.date_format(F.try_to_timestamp(F.concat(text, F.lit("-01")), F.lit("yyyy-MM-dd")), "MMMM yyyy")
-    return F.when(text.isNull(), "Not disclosed").when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).when(text.rlike(r"^\d{4}-\d{2}$"), F.coalesce(month, F.lit(UNKNOWN))).otherwise(UNKNOWN)
+    return F.when(text.isNull(), "Not disclosed").when(text.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), text).when(text.rlike(r"\A\d{4}-\d{2}\z"), F.coalesce(month, F.lit(UNKNOWN))).otherwise(UNKNOWN)
 
 
 def display_score(value: Column) -> Column:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 def valid_date(text: Column) -> Column:
     """Whether a text is a day YYYY-MM-DD that exists."""
-    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    return F.coalesce(text.rlike(r"\A\d{4}-\d{2}-\d{2}\z") & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
 
 
 def valid_month(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), F.lit(False))
+    return F.coalesce(text.rlike(r"\A\d{4}-(0[1-9]|1[0-2])\z"), F.lit(False))
 
 
 def date_relation(date: Column, cutoff: Column) -> Column:

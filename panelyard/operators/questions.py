@@ -145,9 +145,9 @@ def parameter_violations(df: DataFrame, key: Column, parameters: str) -> DataFra
     kinds = F.from_json(p, "map<string, string>")
     there = lambda name: F.array_contains(F.map_keys(kinds), F.lit(name))
     told = lambda name: F.coalesce(F.regexp_extract(p, rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}}\s]+)', 1), F.lit(""))
-    whole = lambda name: told(name).rlike("^-?(0|[1-9][0-9]*)$")
-    positive = lambda name: ~there(name) | told(name).rlike("^[1-9][0-9]*$")
-    number = told("temperature").rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$") & checks.finite_text(told("temperature")).isNotNull()
+    whole = lambda name: told(name).rlike(r"\A-?(0|[1-9][0-9]*)\z")
+    positive = lambda name: ~there(name) | told(name).rlike(r"\A[1-9][0-9]*\z")
+    number = told("temperature").rlike(r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z") & checks.finite_text(told("temperature")).isNotNull()
     rules = {
         "object": kinds.isNotNull() & F.startswith(F.ltrim(p), F.lit("{")),
         "reserved": ~checks.intersecting(F.map_keys(kinds), F.array(*[F.lit(r) for r in RESERVED])) | kinds.isNull(),

@@ -60,7 +60,7 @@ def read_vcf(spark: SparkSession, path: str, filters: list[str]) -> tuple[DataFr
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     p = F.split("value", "\t")
     rows = lines.select("value", F.size(p).alias("n"), *(F.get(p, F.lit(k)).alias(c) for k, c in enumerate(("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"))))
-    rules = {"eight_columns": F.col("n") >= 8, "filter_domain": F.col("filter").isin(filters), "position": F.col("pos").rlike("^[1-9][0-9]*$")}
+    rules = {"eight_columns": F.col("n") >= 8, "filter_domain": F.col("filter").isin(filters), "position": F.col("pos").rlike(r"\A[1-9][0-9]*\z")}
     broken = checks.violations(rows, F.col("value"), rules)
     fields = F.expr("str_to_map(info, ';', '=')")
     good = rows.where("n >= 8").select("chrom", F.expr("try_cast(pos as bigint)").alias("pos"), "id", "ref", "alt", "filter", fields.alias("info"))
