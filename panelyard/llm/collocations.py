@@ -25,11 +25,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.shared import Tables, raw, text_slices
 from panelyard.llm.words import CLAUSE_ENDS, CLAUSES, words
+from panelyard.operators.scans import scanned
 
 LONGEST = 5
 LEAST = 100
@@ -321,6 +322,6 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, filter_b
     covered = walked.where(size >= 3).select("lang", F.explode(parts).alias("key"), "a").distinct()
     kept = candidates.join(covered, ["lang", "key", "a"], "left_anti")
     scored = kept.select("lang", "key", "a", "left", "right").mapInArrow(_scored, "lang string, phrase string, a long, l long, r long, n long, score long")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= best)
+    ordered = scored.withColumns({"_score": -F.col("score"), "_a": -F.col("a")})
+    ranked = scanned(ordered, ["lang"], ["_score", "_a", "phrase"], sums={"rank": F.lit(1).cast("long")}).where(F.col("rank") <= best)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
