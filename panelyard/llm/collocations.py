@@ -37,6 +37,8 @@ LEAST = 100
 BEST = 2000
 #: Bytes of text in a shard, entries in a block, entries of a prefix range (about), and ranges at most.
 SHARD_BYTES, BLOCK_ENTRIES, RANGE_ENTRIES, MOST_RANGES = 8 << 20, 4096, 250_000, 20_000
+#: First phrases that are looked at for each border.
+SAMPLED = 16
 #: Bits of the filter that a pass hands to the next; 8 MB.
 FILTER_BITS = 1 << 26
 #: Between the words of a phrase's key, below every byte of a word, so that keys sort in trie order.
@@ -192,7 +194,7 @@ def _counted(docs: DataFrame, low: int, high: int, singles: Filter | None, pairs
     ranges = min(MOST_RANGES, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // RANGE_ENTRIES))
     cuts: list[tuple[bytes, bytes]] = []
     if ranges > 1:
-        sample = blocks.select("lang", "first").orderBy(F.xxhash64("lang", "first", "last", "keys")).limit(64 * ranges).collect()
+        sample = blocks.select("lang", "first", F.xxhash64("lang", "first", "last", "keys").alias("h")).orderBy("h").limit(SAMPLED * ranges).select("lang", "first").collect()
         firsts = sorted({(r.lang.encode(), r.first.encode()) for r in sample})
         cuts = [firsts[len(firsts) * k // ranges] for k in range(1, ranges)] if len(firsts) >= ranges else firsts
 
