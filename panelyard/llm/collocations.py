@@ -49,8 +49,9 @@ WALK_ROWS = 250_000
 _BLOCKS = "lang string, first string, last string, n long, keys binary, counts binary"
 
 
-def _escaped(word: bytes) -> bytes:
-    return word.replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x01") if b"\x00" in word or b"\x01" in word else word
+def _escaped(words_: pa.BinaryArray) -> pa.BinaryArray:
+    """Without GAP within words, in the same order."""
+    return pa.array([w.replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x01") for w in words_.to_pylist()], pa.binary())
 
 
 def _phrase(key: str) -> str:
@@ -86,7 +87,12 @@ class Level:
     """One level of a shard's trie: nodes in trie order, with their languages, keys and counts; node: of each token, or -1."""
 
     def __init__(self, key: np.ndarray, at: np.ndarray, n_tokens: int, n_words: int, spelled: pa.BinaryArray, above: Level | None = None):
-        found, own, self.counts = np.unique(key, return_inverse=True, return_counts=True)
+        if above is None:  # keys are languages times words: few enough to count them in place
+            n = np.bincount(key, minlength=1)
+            found = np.flatnonzero(n)
+            self.counts, own = n[found], (np.cumsum(n > 0) - 1)[key]
+        else:
+            found, own, self.counts = np.unique(key, return_inverse=True, return_counts=True)
         parent, word = found // max(n_words, 1), found % max(n_words, 1)
         self.node = np.full(n_tokens, -1, np.int64)
         self.node[at] = own
@@ -99,12 +105,13 @@ class Level:
             a, z = np.searchsorted(self.lang, [code, code + 1])
             for k in range(a, z, BLOCK_ENTRIES):
                 b = min(k + BLOCK_ENTRIES, z)
-                yield block(langs[code], self.keys.slice(k, b - k).to_pylist(), self.counts[k:b])
+                yield block(langs[code], self.keys.slice(k, b - k), self.counts[k:b])
 
 
-def block(lang: str, keys: list[bytes], counts: np.ndarray) -> tuple:
+def block(lang: str, keys: pa.BinaryArray, counts: np.ndarray) -> tuple:
     pack = zstandard.ZstdCompressor(level=3)
-    return lang, keys[0].decode(), keys[-1].decode(), len(keys), pack.compress(b"\n".join(keys)), pack.compress(np.asarray(counts, "<i8").tobytes())  # no word holds a line feed
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(keys)], keys), b"\n")[0].as_py()  # no word holds a line feed
+    return lang, keys[0].as_py().decode(), keys[-1].as_py().decode(), len(keys), pack.compress(joined), pack.compress(np.asarray(counts, "<i8").tobytes())
 
 
 def opened_block(keys: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -140,15 +147,16 @@ def trie(texts: pa.StringArray, langs: list[str], low: int, high: int, pairs: Fi
     clause = np.cumsum(CLAUSE_ENDS[data], dtype=np.int32)[found.starts]
     joined = np.zeros(n_tokens, bool)  # with the next one
     joined[:-1] = (doc[1:] == doc[:-1]) & (clause[1:] == clause[:-1])
+    escape = bool((data < 2).any())
     del data, clause, doc
-    spelled = pa.array([_escaped(s) for s in found.spellings.to_pylist()], pa.binary())
+    spelled = _escaped(found.spellings) if escape else found.spellings
     order = pc.sort_indices(spelled).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     spelled, word, n_words = spelled.take(pa.array(order)), rank[found.ids], len(order)
     if low == 1:
         for k, n in enumerate(np.bincount(lang, minlength=len(names)).tolist()):
-            yield block(names[k], [b""], np.array([n]))
+            yield block(names[k], pa.array([b""], pa.binary()), np.array([n]))
     level = Level(lang * n_words + word, np.arange(n_tokens), n_tokens, n_words, spelled)
     if low == 1:
         yield from level.blocks(names)
@@ -214,7 +222,7 @@ def _counted(docs: DataFrame, low: int, high: int, singles: Filter | None, pairs
                     b, e = at[k - a], at[k - a + 1]
                     if b < e:
                         where.append(k)
-                        rows.append(block(lang, names[b:e], numbers[b:e]))
+                        rows.append(block(lang, pa.array(names[b:e], pa.binary()), numbers[b:e]))
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), *_tabled(rows).columns], names=["range", "lang", "first", "last", "n", "keys", "counts"])
 
     def run(keys: bytes, counts: bytes) -> Iterator[tuple[bytes, int]]:
