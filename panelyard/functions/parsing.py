@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: File names without folders.
+PLAIN_FILE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 #: Fixed value: a whole line with a final id; only line feeds end lines.
 FINAL_CHOICE = r"(?md)^FINAL:[ \t]*([A-Za-z0-9_.-]+)[ \t]*\r?$"
 

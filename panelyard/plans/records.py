@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelyard.functions import digests, parsing
 from panelyard.operators import boards, checks, joins, selection
 from panelyard.plans.registry import query, table
+from panelyard.sources import writers
 
 
 @query("""
@@ -246,7 +247,12 @@ def config_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("o_custkey", digests.configuration_key(run=F.col("o_custkey"), profile=F.col("profile"), provider=F.col("provider")).alias("configuration_key"), "profile", "provider")
 
 
-@query("""select event_id, sha256('{"id":' || event_id || ',"k":' || (props->>'$.k') || ',"type":"' || event_type || '"}') as digest from events""")
+@query("""
+select event_id, sha256('{"id":' || event_id || ',"k":' || (props->>'$.k') || ',"seen":{"by":' || case when event_id % 4 = 1 then 'null' else '"u' || (event_id % 9) || '"' end || ',"share":' || case event_id % 3 when 0 then 'null' when 1 then '0.5' else '-2.0' end || '},"type":"' || event_type || '"}') as digest from events
+""")
 def canonical_record_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("event_id").alias("id"))).alias("record"))
-    return events.select("event_id", digests.record_digest("record").alias("digest"))
+    """Records with null fields at two depths."""
+    k = F.col("event_id")
+    seen = F.struct(F.when(k % 3 == 1, F.lit(0.5)).when(k % 3 == 2, F.lit(-2.0)).alias("share"), F.when(k % 4 != 1, F.concat(F.lit("u"), (k % 9).cast("string"))).alias("by"))
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.get_json_object("props", "$.k").cast("long").alias("k"), k.alias("id"), seen.alias("seen"))
+    return writers.canonical_lines(events, "id").select(F.col("key").alias("event_id"), F.sha2("line", 256).alias("digest"))

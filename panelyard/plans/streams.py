@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions import payloads, sequence
-from panelyard.operators import strata
+from panelyard.operators import scans, strata
 from panelyard.plans.registry import query, table
 from panelyard.sources.folders import new_folder
 from panelyard.streaming import messages, tables
@@ -19,15 +19,20 @@ def _streamed(spark: SparkSession, df: DataFrame, name: str, files: int = 3) ->
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source), f"{source}-out"
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of the conversations, numbered in order from 1: a turn that stands on several rows has a number for each."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return scans.scanned(turns, ["conv_id"], ["turn", "role", "text"], sums={"seq": F.lit(1).cast("long")})
+
+
 @query("""
-with c as (select conv_id, turn, text from conversations)
-select conv_id::varchar as message_id, sha256(coalesce(string_agg(text, '' order by turn), '')) as content_sha256, 'stop' as finish_reason, if(conv_id % 9 = 4, 'error', 'completed') as status from c group by conv_id
+with c as (select conv_id, turn, role, text from conversations)
+select conv_id::varchar as message_id, sha256(coalesce(string_agg(text, '' order by turn, role, text), '')) as content_sha256, 'stop' as finish_reason, if(conv_id % 9 = 4, 'error', 'completed') as status from c group by conv_id
 """)
 def streamed_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deltas of messages that arrive file by file in any order, folded with state; some messages hold an error event."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min_by("text", "role").alias("text"))
-    k = F.col("conv_id")
-    parts = turns.select(k.cast("string").alias("message_id"), F.col("turn").cast("long").alias("seq"), F.to_json(F.struct(F.col("text").alias("content"))).alias("data"))
+    turns, k = _turns(spark, sf_dir), F.col("conv_id")
+    parts = turns.select(k.cast("string").alias("message_id"), "seq", F.to_json(F.struct(F.col("text").alias("content"))).alias("data"))
     ends = F.array_compact(F.array(F.struct(F.lit(1_000_000).cast("long").alias("seq"), F.lit('{"finish_reason": "stop"}').alias("data")), F.when(k % 9 == 4, F.struct(F.lit(1_000_001).cast("long").alias("seq"), F.lit('{"error": 1}').alias("data")))))
     tails = turns.select("conv_id").distinct().select(k.cast("string").alias("message_id"), F.explode(ends).alias("e")).select("message_id", "e.seq", "e.data")
     source = new_folder(spark, "deltas")
@@ -44,6 +49,25 @@ def streamed_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("message_id", F.sha2("content", 256).alias("content_sha256"), "finish_reason", "status")
 
 
+@query("""
+with t as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as seq from conversations),
+d as (select conv_id, 0 as place, 'note' as type, string_agg(text, '' order by seq) as text, max(seq) as id from t group by conv_id
+      union all select conv_id, 1, role, string_agg(substr(text, 1, 1), '' order by seq), null from t where role is not null group by conv_id, role)
+select conv_id::varchar as message_id, place, type, sha256(coalesce(text, '')) as text_sha256, id::bigint as id, 'completed' as status from d
+""")
+def assembled_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasoning details that come in parts: a note that every delta goes on with, and one detail for each role."""
+    turns, k = _turns(spark, sf_dir), F.col("conv_id").cast("string").alias("message_id")
+    note = F.struct(F.lit(0).alias("index"), F.lit("note").alias("type"), F.coalesce("text", F.lit("")).alias("text"), F.col("seq").alias("id"))
+    own = F.when(F.col("role").isNotNull(), F.struct(F.lit(1).alias("index"), F.col("role").alias("type"), F.substring(F.coalesce("text", F.lit("")), 1, 1).alias("text"), F.lit(None).cast("long").alias("id")))
+    deltas = turns.select(k, "seq", F.to_json(F.struct(F.array_compact(F.array(note, own)).alias("reasoning_details"))).alias("data"))
+    ends = turns.groupBy("conv_id").agg(F.max("seq").alias("n"))
+    last = ends.select(k, F.explode(F.array(F.struct((F.col("n") + 1).alias("seq"), F.lit('{"finish_reason": "stop"}').alias("data")), F.struct((F.col("n") + 2).alias("seq"), F.lit(messages.DONE).alias("data")))).alias("e")).select("message_id", "e.seq", "e.data")
+    details = F.from_json("details", "array<struct<index: int, type: string, text: string, id: long>>")
+    each = messages.assembled(deltas.unionByName(last)).select("message_id", "status", F.explode(details).alias("d"))
+    return each.select("message_id", F.col("d.index").alias("place"), "d.type", F.sha2(F.coalesce("d.text", F.lit("")), 256).alias("text_sha256"), "d.id", "status")
+
+
 @query("""
 select event_type, date_trunc('hour', ts) as start, count(*) as n, round(sum(value), 6) as total from events group by 1, 2
 """)

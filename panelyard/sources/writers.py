@@ -3,83 +3,57 @@
 from __future__ import annotations
 
 import hashlib
-import re
-import uuid
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelyard.functions.digests import canonical
-from panelyard.sources.folders import opened
+from panelyard.sources.committed import write_committed
 
-SUFFIXES = {"gzip": ".gz", "zstd": ".zst"}
+
+def _finite(value: Column, kind: T.DataType) -> Column | None:
+    """Whether all numbers of a value, at any depth, are finite; None where it has no doubles."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(True))
+    if isinstance(kind, T.StructType):
+        parts = [p for f in kind.fields if (p := _finite(value[f.name], f.dataType)) is not None]
+        return reduce(lambda a, b: a & b, parts) if parts else None
+    if isinstance(kind, T.ArrayType) and _finite(F.lit(None), kind.elementType) is not None:
+        return F.coalesce(F.forall(value, lambda x: _finite(x, kind.elementType)), F.lit(True))
+    if isinstance(kind, T.MapType) and _finite(F.lit(None), kind.valueType) is not None:
+        return F.coalesce(F.forall(F.map_values(value), lambda x: _finite(x, kind.valueType)), F.lit(True))
+    return None
+
+
+def record_json(df: DataFrame) -> Column:
+    """A row of ``df`` as JSON with its null fields, at any depth; a number that isn't finite is an error."""
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    for field in df.schema.fields:
+        finite = _finite(F.col(f"`{field.name}`"), field.dataType)
+        if finite is not None:
+            text = F.when(finite, text).otherwise(F.raise_error(F.lit(f"not a finite number in {field.name}")).cast("string"))
+    return text
 
 
 def canonical_lines(df: DataFrame, key: str) -> DataFrame:
-    """key and line: each row as canonical JSON (sorted keys, compact, null fields left out)."""
-    return df.select(F.col(key).alias("key"), canonical(F.to_json(F.struct(*df.columns))).alias("line"))
-
-
-class _Artifact:
-    """A packed file that is written line by line: what it holds and what it became are digested on the way."""
-
-    def __init__(self, folder: str, codec: str):
-        self.folder, self.suffix = folder, SUFFIXES[codec]
-        self.store, self.at = opened(folder)
-        self.store.create_dir(self.at, recursive=True)
-        self.own = f"{self.at}/.{uuid.uuid4().hex}"
-        self.out, self.n = self.store.open_output_stream(self.own, compression=None), 0
-        self.content, self.artifact = hashlib.sha256(), hashlib.sha256()
-        self.content_bytes = self.artifact_bytes = 0
-        self.pack = zlib.compressobj(6, zlib.DEFLATED, 16 + zlib.MAX_WBITS) if codec == "gzip" else zstandard.ZstdCompressor(level=9).compressobj()
-
-    def add(self, lines: list[str]) -> None:
-        content = "".join(line + "\n" for line in lines).encode()
-        self.content.update(content)
-        self.content_bytes, self.n = self.content_bytes + len(content), self.n + len(lines)
-        self._put(self.pack.compress(content))
-
-    def _put(self, packed: bytes) -> None:
-        self.artifact.update(packed)
-        self.artifact_bytes += len(packed)
-        self.out.write(packed)
-
-    def close(self) -> dict[str, object]:
-        """The descriptor.  The file gets a name made from its content, so a repeated task leaves the same file."""
-        self._put(self.pack.flush())
-        self.out.close()
-        name = f"{self.content.hexdigest()}.jsonl{self.suffix}"
-        self.store.move(self.own, f"{self.at}/{name}")
-        return {"path": f"{self.folder}/{name}", "records": self.n, "content_sha256": self.content.hexdigest(), "content_bytes": self.content_bytes, "artifact_sha256": self.artifact.hexdigest(), "artifact_bytes": self.artifact_bytes}
+    """key and line: each row as canonical JSON (sorted keys, compact, nulls as null); NaN and infinities are errors."""
+    return df.select(F.col(key).alias("key"), canonical(record_json(df)).alias("line"))
 
 
 def write_jsonl(df: DataFrame, key: str, folder: str, partition_rows: int = 1_000_000, codec: str = "gzip") -> DataFrame:
     """Writes packed JSON lines in key order; returns path, records, content_sha256, content_bytes, artifact_sha256, artifact_bytes.
 
     Rows are range-partitioned by key; a part's file is the same whenever it is written (no time stamp in it).  codec: gzip or
-    zstd.  Lines go into the packer batch by batch, so a task holds a batch, whatever the part's size.  The rows returned are
-    a table beside the files (``_manifest``), so reading them writes nothing anew.
+    zstd.  Lines go into the packer batch by batch, so a task holds a batch, whatever the part's size.  Files appear when every
+    task has ended, and nothing of failed attempts stays; the rows returned are a manifest beside them.
     """
     n = max(1, -(-df.count() // partition_rows))
     ordered = canonical_lines(df, key).repartitionByRange(n, "key").sortWithinPartitions("key", "line").select("line")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        for batch in batches:
-            if batch.num_rows:
-                out = out or _Artifact(folder, codec)
-                out.add(batch.column("line").to_pylist())
-        if out:
-            yield pa.RecordBatch.from_pylist([out.close()])
-
-    written = ordered.mapInArrow(write, "path string, records long, content_sha256 string, content_bytes long, artifact_sha256 string, artifact_bytes long")
-    manifest = f"{folder}/_manifest-{uuid.uuid4().hex}"
-    written.write.parquet(manifest)
-    return df.sparkSession.read.schema(written.schema).parquet(manifest)
+    return write_committed(ordered, folder, "path string, records long, content_sha256 string, content_bytes long, artifact_sha256 string, artifact_bytes long", codec=codec)
 
 
 def set_digest(df: DataFrame, key: str) -> DataFrame:
@@ -118,32 +92,11 @@ def tree_digest(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
 def write_files(df: DataFrame, folder: str, replace: bool = False) -> DataFrame:
     """One file for each row of (name, content); returns name, bytes, sha256.
 
-    A file appears whole or not at all (written beside its place, then moved).  One that is there already is an error, or is
-    replaced in one step.
+    All files appear when every task has ended, or none (:mod:`committed`).  One that is there already with other content is an
+    error, or is replaced.
     """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
-                    raise ValueError(f"not a plain file name: {name!r}")
-                store, at = opened(folder)
-                store.create_dir(at, recursive=True)
-                packed = content.encode()
-                there = store.get_file_info(f"{at}/{name}").is_file
-                if there and not replace:
-                    with store.open_input_stream(f"{at}/{name}", compression=None) as old:
-                        if old.read() != packed:
-                            raise FileExistsError(f"{folder}/{name}")
-                own = f"{at}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(own, compression=None) as out:
-                    out.write(packed)
-                store.move(own, f"{at}/{name}")
-                rows.append({"name": name, "bytes": len(packed), "sha256": hashlib.sha256(packed).hexdigest()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())]))
-
-    return df.select(F.col("name").cast("string").alias("name"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content")).mapInArrow(write, "name string, bytes long, sha256 string")
+    named = df.select(F.col("name").cast("string").alias("name"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content"))
+    return write_committed(named, folder, "name string, bytes long, sha256 string", replace=str(replace).lower())
 
 
 def promoted(descriptors: DataFrame, path: str, source: str, target: str) -> DataFrame:

@@ -78,7 +78,7 @@ def test_written_lines_are_canonical(spark, tmp_path):
     one, two = (writers.write_jsonl(d, "id", folder).collect() for d in (df, df.orderBy(F.desc("id"))))
     assert one == two
     text = gzip.decompress(open(one[0].path.removeprefix("file://"), "rb").read()).decode()
-    assert text == '{"id":"a","v":1.0,"w":"é"}\n{"id":"b","v":2.5}\n'
+    assert text == '{"id":"a","v":1.0,"w":"é"}\n{"id":"b","v":2.5,"w":null}\n'
     assert one[0].content_sha256 == hashlib.sha256(text.encode()).hexdigest()
     digests = [hashlib.sha256(line.encode()).hexdigest() for line in text.splitlines()]
     assert writers.set_digest(df, "id").first().set_sha256 == hashlib.sha256("\n".join(digests).encode()).hexdigest()
