@@ -13,6 +13,8 @@ from panelyard.operators import checks
 from panelyard.plans.registry import query, table
 from panelyard.sources import readers, writers
 from panelyard.sources.folders import new_folder, opened
+from panelyard.streaming import tables
+from panelyard.streaming.log import KeyedTable
 
 
 def _text_files(df: DataFrame, folder: str, lines: Column) -> str:
@@ -392,16 +394,15 @@ def cached_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, count(*) as n, round(sum(value), 6) as total from events group by user_id")
 def resumed_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed into a table twice over: rows that are there already are not appended again."""
-    from panelyard.streaming.tables import append_new
-
     source, target = new_folder(spark, "events"), new_folder(spark, "appended")
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     events.write.parquet(source)
     for k in range(2):
         stream = spark.readStream.schema(events.schema).parquet(source)
-        run = stream.writeStream.foreachBatch(lambda batch, epoch: append_new(batch, epoch, target, ["event_id"])).option("checkpointLocation", f"{target}-log-{k}").trigger(availableNow=True).start()
+        append = lambda batch, epoch, k=k: tables.append_new(batch, epoch, target, ["event_id"], f"run-{k}")
+        run = stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{target}-log-{k}").trigger(availableNow=True).start()
         run.awaitTermination()
-    return spark.read.parquet(target).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return KeyedTable(spark, target, ["event_id"]).rows().groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 @query("""

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.streaming.log import KeyedTable
+
 
 def latest_state(log: DataFrame, key: list[str], at: str) -> DataFrame:
     """Each key's last row of an append-only state log; equal times go to the row with the greater version."""
@@ -36,17 +38,12 @@ def resumable(run: Callable[[DataFrame], DataFrame], requests: DataFrame, cache:
     return cache.join(requests.select(digest).distinct(), digest, "left_semi").unionByName(run(fresh))
 
 
-def append_new(batch: DataFrame, epoch: int, path: str, key: list[str]) -> None:
-    """A foreachBatch sink that appends rows whose key is not there yet; a batch that is replayed adds nothing."""
-    spark = batch.sparkSession
-    try:
-        held = spark.read.parquet(path).select(*key)
-        fresh = batch.dropDuplicates(key).join(held, key, "left_anti")
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fresh = batch.dropDuplicates(key)
-    fresh.write.mode("append").parquet(path)
+def append_new(batch: DataFrame, epoch: int, path: str, key: list[str], writer: str = "stream") -> None:
+    """A foreachBatch sink that appends rows whose key is not there yet; a batch that is replayed adds nothing.
+
+    :class:`log.KeyedTable` keeps the files that count; only those that can hold the batch's keys are read.
+    """
+    KeyedTable(batch.sparkSession, path, key).append(batch, epoch, writer)
 
 
 def windowed_counts(events: DataFrame, at: str, by: list[str], size: str, late: str) -> DataFrame:
