@@ -41,7 +41,8 @@ def pearson(x: np.ndarray, y: np.ndarray) -> float:
     return max(-1.0, min(1.0, math.fsum(a * b) / math.sqrt(across[0] * across[1]))) if all(across) else 0.0
 
 
-def _mean_ranks(v: np.ndarray) -> np.ndarray:
+def mean_ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1; equal values share the mean of theirs."""
     _, place, n = np.unique(v, return_inverse=True, return_counts=True)
     return (np.cumsum(n) - (n - 1) / 2)[place]
 
@@ -60,7 +61,7 @@ def panel_correlations(df: DataFrame, by: list[str], prediction: str, reference:
     def run(key: tuple, panel: pa.Table) -> pa.Table:
         p, r = (panel[c].to_numpy() for c in ("p", "r"))
         keys = {f.name: pa.array([k.as_py()], panel.schema.field(f.name).type) for f, k in zip(fields, key, strict=True)}
-        return pa.table(keys | {"n": pa.array([len(p)]), "spearman_rho": [pearson(_mean_ranks(p), _mean_ranks(r))], "pearson_r": [pearson(p, r)]})
+        return pa.table(keys | {"n": pa.array([len(p)]), "spearman_rho": [pearson(mean_ranks(p), mean_ranks(r))], "pearson_r": [pearson(p, r)]})
 
     more = [T.StructField("n", T.LongType()), T.StructField("spearman_rho", T.DoubleType()), T.StructField("pearson_r", T.DoubleType())]
     return rows.groupBy(*by).applyInArrow(run, T.StructType(fields + more))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelyard.functions import tables
 from panelyard.operators import boards, sampling, selection, stats
 from panelyard.plans.registry import query, r6, table
 
@@ -24,6 +25,18 @@ def panel_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_suppkey", "n", r6("spearman_rho"), r6("pearson_r"))
 
 
+@query(f"""
+with base as (select l_partkey as g, l_quantity as p, l_discount as r from lineitem), {_CORRELATIONS}
+select g as l_partkey, n, round(spearman, 6) as spearman_rho, round(pearson, 6) as pearson_r from c
+""")
+def panel_scores_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels scored from SQL, by the table function."""
+    tables.register(spark)
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_discount")
+    found = spark.sql("select * from panel_scores(rows => table({rows}) partition by l_partkey, panel => 'l_partkey', prediction => 'l_quantity', reference => 'l_discount')", rows=rows)
+    return found.select("l_partkey", "n", r6("spearman_rho"), r6("pearson_r"))
+
+
 @query(f"""
 with base as (select (l_suppkey, l_returnflag) as g, l_quantity as p, l_extendedprice as r from lineitem), {_CORRELATIONS},
 s as (select g[1] as k, count(*) as n_tasks, avg(spearman) as m from c group by 1)

@@ -186,3 +186,18 @@ def test_overlaps_without_points(spark, narrow_ranges):
                 expected.append(i)
             reached = b if reached is None else max(reached, b)
     assert sorted(r.i for r in joins.overlapping_intervals(df, ["k"], "a", "b").collect()) == sorted(expected)
+
+
+def test_panels_from_sql_equal_those_of_dataframes(spark):
+    from panelyard.functions import tables
+
+    tables.register(spark)
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), str(rng.randint(0, 9)), rng.random(), "x") for _ in range(200)] + [("c", "NaN", 1.0, "x"), ("a", "word", 1.0, "x"), ("a", None, 2.0, "x")]
+    df = spark.createDataFrame(rows, "g string, p string, r double, n string")
+    df.createOrReplaceTempView("panel_rows")
+    out = spark.sql("select * from panel_scores(rows => table(panel_rows) partition by g, panel => 'g', prediction => 'p', reference => 'r')")
+    assert out.schema.simpleString() == "struct<g:string,n:bigint,spearman_rho:double,pearson_r:double>"
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, map(tuple, stats.panel_correlations(df.select("g", "p", "r"), ["g"], "p", "r").collect())))
+    with pytest.raises(Exception, match="not a column of the table"):
+        spark.sql("select * from panel_scores(rows => table(panel_rows) partition by g, panel => 'h', prediction => 'p', reference => 'r')").collect()
