@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
-A sentence's probability is the logistic of its words' weights (a word's weight is its own and those of its prefixes, so
-unseen compounds of an offending stem count too); a document's is the noisy-or of its sentences'.  The weights
-maximise the documents' likelihood: in a toxic document the gradient goes to the sentences that already explain it, in a
-clean one every sentence is pushed down.  The fitted sentence scores then locate the offending sentences.  Toxic labels that
-no sentence explains are met by a rate per document, which is part of the fit alone, a sentence without any word that has a
-weight of MARK is no evidence and scores 0: else the bias would take such labels, and every plain sentence of a long document
-would add to its score.
+A sentence's evidence z is the sum of its words' weights (a word's weight is its own and those of its prefixes, so unseen
+compounds of an offending stem count too), or 0 where that is negative.  Its probability is the logistic of z and BIAS, less
+what BIAS alone would give: 1 - (1 - logistic(z + BIAS)) / (1 - logistic(BIAS)).  It grows with every bit of evidence and is
+0 without any, so plain sentences add nothing, however many there are.  A document's is the noisy-or of its sentences'.  The
+weights maximise the documents' likelihood under this same score: in a toxic document the gradient goes to the sentences that
+already explain it, in a clean one every sentence with evidence is pushed down.  The fitted sentence scores then locate the
+offending sentences.  Toxic labels that no sentence explains are met by a rate per document, else weights of chance words would
+take them.
 """
 
 from __future__ import annotations
@@ -32,13 +33,9 @@ LEAST_DOCUMENTS = 3
 #: Standard errors that a feature's log odds over documents must lie above the labels' to get a weight.
 LEAST_Z = 3.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
-ROUNDS, RATE, RIDGE, BIAS = 150, 0.1, 2e-5, -6.0
+ROUNDS, RATE, RIDGE, BIAS = 600, 0.1, 2e-5, -2.0
 #: The rate per document of toxic labels that no sentence explains.
 UNEXPLAINED = 0.2
-#: Rounds end when the bias has moved by no more than STILL in the last ROUNDS of them, or after MOST_ROUNDS.
-STILL, MOST_ROUNDS = 0.1, 1500
-#: Log odds that a word must add for its sentence to be evidence at all.
-MARK = 2.0
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n")] = True
 
@@ -91,6 +88,11 @@ def sentences(texts: pa.StringArray) -> Sentences:
     return Sentences(found.ids, spelling_features(found.spellings), number, doc, begin - begins[doc], end - begins[doc])
 
 
+def activation(z: np.ndarray, bias: float) -> np.ndarray:
+    """-log(1 - p) of sentences with this evidence (0 and more); sums of it are the noisy-or."""
+    return np.logaddexp(0, z + bias) - np.logaddexp(0, bias)
+
+
 @dataclass
 class Model:
     """Sorted features with their weights, and the bias of a sentence."""
@@ -104,8 +106,8 @@ class Model:
             return np.zeros(len(own.doc))
         at = np.minimum(np.searchsorted(self.hashes, own.features), len(self.hashes) - 1)
         w = np.where(self.hashes[at] == own.features, self.weights[at], 0.0).sum(1)
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(own.sentence, w[own.word], len(own.doc)) + self.bias, -500, 500)))
-        return np.where(np.bincount(own.sentence, (w >= MARK)[own.word], len(own.doc)) > 0, p, 0.0)
+        z = np.maximum(np.bincount(own.sentence, w[own.word], len(own.doc)), 0.0)
+        return -np.expm1(-activation(z, self.bias))
 
     def document_scores(self, own: Sentences, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Noisy-or of each text's sentences (0 without one), and the sentence scores."""
@@ -156,25 +158,19 @@ def fit(texts: pa.StringArray, labels: np.ndarray) -> Model:
     word, n_spellings = own.word[use], len(own.features)
     told, sentence = np.unique(own.sentence[use], return_inverse=True)
     of = own.doc[told]
-    w, bias, size = np.zeros(int(many.sum())), BIAS, len(told)
-    m, v, past = np.zeros_like(w), np.zeros_like(w), bias
+    w, size = np.zeros(int(many.sum())), len(told)
+    m, v = np.zeros_like(w), np.zeros_like(w)
     weight = np.where(y > 0, (y == 0).sum() / max(1, (y > 0).sum()), 1.0) ** 0.5
-    for t in range(1, MOST_ROUNDS + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, np.bincount(spelling, w[number], n_spellings)[word], size) + bias, -30, 30)))
-        p = np.minimum(p, 1 - 1e-9)
-        none = (1 - UNEXPLAINED) * np.exp(np.bincount(of, np.log1p(-p), n))
-        pull = weight * np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0)
-        g = p * pull[of] / n
+    for t in range(1, ROUNDS + 1):
+        z = np.bincount(sentence, np.bincount(spelling, w[number], n_spellings)[word], size)
+        steep = 1 / (1 + np.exp(-np.clip(z + BIAS, -30, 30)))
+        none = (1 - UNEXPLAINED) * np.exp(-np.bincount(of, activation(np.maximum(z, 0), BIAS), n))
+        pull = (weight * np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0))[of] / n
+        g = np.where(z >= 0, steep, 0.0) * pull
         gw = np.bincount(number, np.bincount(word, g[sentence], n_spellings)[spelling], len(w)) - RIDGE * w
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         w = w + RATE * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-8)
-        # by the share of the pull that is left over, whatever its size; it stays below where it began, as most sentences are clean
-        bias = min(BIAS, bias + RATE * g.sum() / max(np.abs(g).sum(), 1e-300))
-        if t % ROUNDS == 0:
-            if abs(bias - past) <= STILL:
-                break
-            past = bias
-    return Model(hashes[many], w, float(bias))
+    return Model(hashes[many], w, BIAS)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_DOCUMENTS) -> Model:

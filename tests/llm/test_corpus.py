@@ -525,13 +525,13 @@ def test_scores_by_hand():
     own = toxicity.Model(*(lambda h, w: (h[np.argsort(h)], w[np.argsort(h)]))(toxicity.spelling_features(pa.array([b"vermin", b"rogues"], pa.binary()))[:, 0], np.array([5.0, 3.0])), -4.0)
     texts = ["Vermin! plain words. rogues and rogues\nvermin", "plain. words", "", "rogues. rogues. rogues. rogues"]
     weights = {"vermin": 5.0, "rogues": 3.0}
+    plain = 1 / (1 + math.exp(4.0))  # what a sentence without evidence would have
     expected = []
     for t in texts:
         kept = 1.0
         for sentence in re.split(r"[.!?\n]", t):
             w = [weights.get(x, 0.0) for x in low(sentence)]
-            if any(x >= toxicity.MARK for x in w):
-                kept *= 1 - 1 / (1 + math.exp(4.0 - sum(w)))
+            kept *= (1 - 1 / (1 + math.exp(4.0 - sum(w)))) / (1 - plain)
         expected.append(1 - kept)
     found = toxicity.sentences(pa.array(texts, pa.string()))
     score, p = own.document_scores(found, len(texts))
@@ -540,6 +540,39 @@ def test_scores_by_hand():
     assert np.bincount(found.doc, near, len(texts)).astype(bool).tolist() == (score >= 0.5).tolist()
 
 
+def test_several_weak_words_are_found():
+    """No word is evidence enough, three together are; many plain or doubtful sentences are not."""
+    words = [b"sly", b"mean", b"foul", b"kind"]
+    hashes = toxicity.spelling_features(pa.array(words, pa.binary()))[:, 0]
+    order = np.argsort(hashes)
+    model = toxicity.Model(hashes[order], np.array([1.9, 1.9, 1.9, -3.0])[order], -4.0)
+    texts = ["a sly man. plain", "sly mean foul. plain", "sly mean foul kind kind", "plain words here. " * 20_000]
+    score, _ = model.document_scores(toxicity.sentences(pa.array(texts, pa.string())), len(texts))
+    assert score[1] > 0.5 > score[0] > 0 and score[2] == score[3] == 0
+
+
+def test_weights_are_fitted_to_the_score():
+    """The fit's own gradient at its end: the likelihood of the scores, as they are given out, does not rise along any weight."""
+    rng = random.Random(9)
+    texts, labels = [], []
+    for k in range(400):
+        bad = k % 3 == 0
+        texts.append(". ".join(" ".join(rng.choices(STEMS, k=5) + (rng.sample(["sly", "mean", "foul"], 2) if bad and s == 1 else [])) for s in range(4)))
+        labels.append(bad != (k % 40 == 7))
+    y = np.array(labels)
+    model = toxicity.fit(pa.array(texts, pa.string()), y)
+    own, weight = toxicity.sentences(pa.array(texts, pa.string())), np.where(y, ((~y).sum() / y.sum()) ** 0.5, 1.0)
+
+    def likelihood(weights):
+        score, _ = toxicity.Model(model.hashes, weights, model.bias).document_scores(own, len(texts))
+        none = (1 - toxicity.UNEXPLAINED) * (1 - score)
+        return float(np.mean(weight * np.where(y, np.log1p(-none), np.log(none)))) - toxicity.RIDGE / 2 * float(weights @ weights)
+
+    best = likelihood(model.weights)
+    moved = [likelihood(model.weights + step * np.eye(len(model.weights))[j]) for j in range(len(model.weights)) for step in (-0.2, 0.2)]
+    assert len(model.weights) and max(moved) <= best + 1e-4
+
+
 def test_toxicity_learns_among_foreign_labels(spark):
     rows = [(k, "plain words here. more of them" + (". you utter vermin" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(400)]
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
