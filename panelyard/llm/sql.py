@@ -55,7 +55,7 @@ _VALUE = "[A-Za-z0-9+/_.=-]+"
 
 
 def _op4() -> str:
-    from panelyard.llm.secrets import COPIED_OWNERS, KINDS, LIVE_CHARACTERS
+    from panelyard.llm.secrets import _PLAIN_WORDS, COPIED_OWNERS, KINDS, LEAST_DISTINCT, LIVE_CHARACTERS, MOST_DISTINCT, RUN
 
     parts = []
     for k, (name, pattern, _, _, least) in enumerate(KINDS):
@@ -63,6 +63,8 @@ def _op4() -> str:
         found = f"regexp_extract_all(text, '{plain}') as m, regexp_extract_all(text, '{grouped}', 1) as v, string_split_regex(text, '{plain}') as gaps"
         parts.append(f"select row_id, {k} as k, '{name}' as kind, {least} as least, {found} from d")
     places = " union all ".join(parts)
+    steps = lambda by: f"len(list_filter(d, lambda x: x in (0, {by}))) >= {RUN} * len(d)"
+    plain = "[" + ", ".join(f"'{w}'" for w in sorted(_PLAIN_WORDS)) + "]"
     return rf"""
 with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as text, coalesce(source, '') as owner, coalesce(source, '') || '/' || coalesce(lang, '') as repository from documents),
 p as ({places}),
@@ -74,9 +76,13 @@ n as (select row_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1
       string_agg(kind || ':' || a || ':' || b, ',' order by a, k) filter (k < 3) as base, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) as spans from f group by row_id),
 e as (select distinct row_id, value, b - length(value) as at from f),
 o as (select value, count(distinct owner) as owners from e join d using (row_id) group by value),
-c as (select row_id, count(*) filter (owners >= {COPIED_OWNERS}) as n_copied,
-      count(*) filter (owners < {COPIED_OWNERS} and len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS}) as n_live, max(owners) as max_owners
-      from e join o using (value) group by row_id)
+v as (select value, lower(value) as low, string_split(lower(value), '') as ch, list_transform(regexp_extract_all(regexp_replace(value, '([A-Z][a-z])', ' \1', 'g'), '[A-Z]?[a-z]+|[A-Z]+'), lambda x: lower(x)) as words, owners from o),
+steps as (select *, list_transform(range(1, len(ch)), lambda i: ascii(ch[i + 1]) - ascii(ch[i])) as d from v),
+judged as (select value, owners, case when starts_with(value, '-----BEGIN ') then len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS}
+      else not (len(list_distinct(ch)) < least({MOST_DISTINCT}, {LEAST_DISTINCT} * len(ch)) or {steps(1)} or {steps(-1)} or instr(substr(low || low, 2), low) < len(ch)
+      or (len(words) > 0 and (list_contains({plain}, trim(low, '._-=/+')) or list_has_all({plain}, words)) and len(regexp_replace(low, '[^0-9]', '', 'g')) <= 4)) end as live from steps),
+c as (select row_id, count(*) filter (owners >= {COPIED_OWNERS}) as n_copied, count(*) filter (owners < {COPIED_OWNERS} and live) as n_live, max(owners) as max_owners
+      from e join judged using (value) group by row_id)
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256,
        coalesce(spans, '') as spans, coalesce(n_copied, 0)::bigint as n_copied, coalesce(n_live, 0)::bigint as n_live, coalesce(max_owners, 0)::bigint as max_owners
 from d left join n using (row_id) left join c using (row_id)
