@@ -1,15 +1,19 @@
 """Licence scan by a positional rare-token index.
 
-Templates are word sequences.  Their words form the licence vocabulary; each word's document frequency is counted over all
-documents.  A template is posted in the index under its mandatory key phrase's rarest words: for each file the words that
-are in the index are taken from the highest inverse document frequency down, a place of a word and a posting of it give an
-alignment (file position minus template position), the alignments of a template's rarest and second-rarest key words are
-intersected, and what is left is verified word by word over the whole key phrase.  Every occurrence of a key phrase holds
-its rarest words at their places, so none is missed.
+Templates are word sequences: phrases, notices and whole licence texts.  Their words form the licence vocabulary, whose document
+frequencies are counted over all documents.  Each template is posted under its RAREST places of highest inverse document
+frequency (all of them, where it is short).  An alignment (file position minus template position) on which enough of those
+places agree is a candidate, a short template's on all, a longer one's on half of them; so its body alone can propose it.
+
+A file's licence words are looked up from the highest inverse document frequency down: of ``n`` posted places of which
+``need`` must agree, one of the n - need + 1 rarest does, so those words alone propose alignments, and the others only vote on
+what was proposed.  No alignment is missed by that, and common words are never gone through.  Last, the template's key phrase
+must stand there word for word, else the candidate gives a score and no label.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,39 +22,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.llm.licence_texts import PHRASES, TEXTS
 from panelyard.llm.shared import text_slices
 from panelyard.llm.words import words
 
-#: Fixed values: (label, template, first and past-the-last word of the key phrase, base).  A base template is its key phrase;
-#: others are sentences of the licences' own texts and notices, whose key phrase must stand there word for word.
-TEMPLATES: list[tuple[str, str, int, int, bool]] = [
-    ("cc-by", "cc by", 0, 2, True),
-    ("gpl", "general public license", 0, 3, True),
-    ("reserved", "all rights reserved", 0, 3, True),
-    ("apache-2.0", "licensed under the apache license version 2 0", 3, 8, False),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 0, 8, False),
-    ("cc-by-nc", "licensed under cc by nc", 2, 5, False),
-    ("cc-by-sa", "licensed under cc by sa", 2, 5, False),
-    ("cc0", "dedicated to the public domain under cc0", 5, 7, False),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", 3, 9, False),
-    ("lgpl", "gnu lesser general public license", 1, 5, False),
-    ("mit", "released under the mit license", 3, 5, False),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", 0, 7, False),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 10, 20, False),
-    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", 17, 24, False),
-    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", 10, 20, False),
-    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", 24, 37, False),
-    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", 24, 37, False),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", 18, 23, False),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", 1, 17, False),
-    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", 14, 20, False),
-    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", 2, 11, False),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications", 31, 43, False),
-    ("bsl-1.0", "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy of the software", 0, 6, False),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", 9, 17, False),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", 6, 11, False),
-]
 LabelTemplates = list[tuple[str, str, int, int, bool]]
+#: Places of a template in the index, and words up to which a template is short: all of its places must agree.
+RAREST, SHORT = 12, 8
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def template(label: str, text: str, key: str, base: bool = False) -> tuple[str, str, int, int, bool]:
+    """label, words, first and past-the-last word of the key phrase, base."""
+    own, phrase = _WORD.findall(text.lower()), key.split()
+    at = next(k for k in range(len(own)) if own[k : k + len(phrase)] == phrase)
+    return label, " ".join(own), at, at + len(phrase), base
+
+
+TEMPLATES: LabelTemplates = [template(label, text, text, True) for label, text in PHRASES] + [template(*x) for x in TEXTS]
+
+
+def places_needed(n_words: int) -> tuple[int, int]:
+    """Posted places of a template of so many words, and how many of them must agree."""
+    return (n_words, n_words) if n_words <= SHORT else (min(RAREST, n_words), min(RAREST, n_words) // 2)
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -77,7 +71,7 @@ def word_frequencies(docs: DataFrame, templates: LabelTemplates = TEMPLATES) ->
 
 
 class RareWordIndex:
-    """Postings of the templates under the two rarest words of their key phrases, rarest words first."""
+    """Postings of the templates under their rarest places, rarest words first."""
 
     def __init__(self, templates: LabelTemplates, n_docs: dict[str, int]):
         self.labels = [x[0] for x in templates]
@@ -87,38 +81,45 @@ class RareWordIndex:
         number = {w.decode(): k for k, w in enumerate(self.vocabulary.to_pylist())}
         self.words = [np.array([number[w] for w in t]) for t in split]
         self.key = [(x[2], x[3]) for x in templates]
-        self.postings: dict[int, list[tuple[int, int, int]]] = {}  # word: template, its place, the second-rarest word's place
+        self.posted: list[list[int]] = []
+        self.need = [places_needed(len(own))[1] for own in self.words]
+        #: By word, the places of templates that it proposes.
+        self.proposing: dict[int, list[tuple[int, int]]] = {}
         for k, own in enumerate(self.words):
-            a, b = self.key[k]
-            order = sorted(range(a, b), key=lambda p: (own[p], p))
-            self.postings.setdefault(int(own[order[0]]), []).append((k, order[0], order[1] if len(order) > 1 else order[0]))
-
-    def alignments(self, row: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Template, where in the row of licence words (-1: another word) its first word would stand, share of words that agree."""
-        n = len(row)
+            n = places_needed(len(own))[0]
+            self.posted.append(sorted(range(len(own)), key=lambda p, own=own: (own[p], p))[:n])
+            for p in self.posted[k][: n - self.need[k] + 1]:
+                self.proposing.setdefault(int(own[p]), []).append((k, p))
+
+    def alignments(self, row: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Template, document, place of its first word there (negative before the start), share of words that agree, whether the key
+        phrase stands there.  row: each word's number or -1; document d has the words first[d] to first[d + 1]."""
         at = np.flatnonzero(row >= 0)
         order = at[np.argsort(row[at], kind="stable")]
         edges = np.searchsorted(row[order], np.arange(len(self.vocabulary) + 1))
-        places = lambda word: order[edges[word] : edges[word + 1]]
-        for word in sorted(self.postings):
-            here = places(word)
-            if not len(here):
-                continue
-            for k, first, second in self.postings[word]:
-                own, (a, b) = self.words[k], self.key[k]
-                starts = here - first
-                if second != first:
-                    starts = starts[np.isin(starts, places(int(own[second])) - second, assume_unique=True)]
-                starts = starts[(starts + a >= 0) & (starts + b <= n)]
-                for p in range(a, b):
-                    starts = starts[(row[starts + p] == own[p]) & (doc_of[starts + p] == doc_of[starts + a])]
-                if not len(starts):
-                    continue
-                same = np.zeros(len(starts), np.int64)
-                for p in range(len(own)):
-                    q = np.clip(starts + p, 0, n - 1)
-                    same += (q == starts + p) & (row[q] == own[p]) & (doc_of[q] == doc_of[starts + a])
-                yield k, starts, same / len(own)
+        proposed: dict[int, list[np.ndarray]] = {}
+        for word in sorted(self.proposing):  # by falling IDF
+            here = order[edges[word] : edges[word + 1]]
+            if len(here):
+                doc = np.searchsorted(first, here, side="right") - 1
+                for k, p in self.proposing[word]:
+                    proposed.setdefault(k, []).append(np.stack([doc, here - first[doc] - p]))
+        for k, parts in proposed.items():
+            own = self.words[k]
+            doc, start = np.unique(np.concatenate(parts, axis=1), axis=1)
+
+            def agree(places: list[int] | range, doc: np.ndarray, start: np.ndarray, own: np.ndarray = own) -> np.ndarray:
+                same = np.zeros(len(doc), np.int64)
+                for p in places:
+                    inside = (start + p >= 0) & (start + p < first[doc + 1] - first[doc])
+                    same += inside & (row[np.where(inside, first[doc] + start + p, 0)] == own[p])
+                return same
+
+            chosen = agree(self.posted[k], doc, start) >= self.need[k]
+            doc, start = doc[chosen], start[chosen]
+            if len(doc):
+                a, b = self.key[k]
+                yield k, doc, start, agree(range(len(own)), doc, start) / len(own), agree(range(a, b), doc, start) == b - a
 
 
 def licences(docs: DataFrame, templates: LabelTemplates = TEMPLATES) -> DataFrame:
@@ -126,27 +127,26 @@ def licences(docs: DataFrame, templates: LabelTemplates = TEMPLATES) -> DataFram
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z, counted from 0.  n_base counts all places of the base
     phrases, overlapping ones too; first_word and last_word are the smallest and largest of their starts.  labels add those
-    of templates whose key phrase stands in the text; score is the best aligned template's share of words that agree (0
-    without any).  places lists label, start of the key phrase and that share.  Null and empty texts have no words, empty
+    of aligned templates whose key phrase stands in its place; score is the best alignment's share of words that agree, with its
+    key phrase or without (0 without any).  places lists label, start of the template, that share and whether the key phrase is
+    there.  Null and empty texts have no words, empty
     labels and score 0; every row gets its row; other columns are not read.
     """
     base = _columns(docs)
     index = RareWordIndex(templates, {r.word: r.n_docs for r in word_frequencies(docs, templates).collect()})  # a row for each licence word
-    place = pa.struct([("label", pa.string()), ("start", pa.int64()), ("share", pa.float64())])
+    place = pa.struct([("label", pa.string()), ("start", pa.int64()), ("share", pa.float64()), ("verified", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             found, n = words(texts), len(texts)
-            places: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
+            places: list[list[tuple[int, int, float, bool]]] = [[] for _ in range(n)]
             if len(found.ids):
                 row = pc.fill_null(pc.index_in(found.spellings, value_set=index.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)[found.ids]
-                doc_of = found.doc_of()
-                for k, starts, share in index.alignments(row, doc_of):
-                    begin = starts + index.key[k][0]
-                    for d, s, x in zip(doc_of[begin].tolist(), (begin - found.first[doc_of[begin]]).tolist(), share.tolist(), strict=True):
-                        places[d].append((k, s, x))
-            plain = [[s for k, s, _ in own if index.base[k]] for own in places]
-            label = lambda own, base: ",".join(sorted({index.labels[k] for k, *_ in own if index.base[k] or not base}))
+                for k, doc, start, share, verified in index.alignments(row, found.first):
+                    for d, *x in zip(doc.tolist(), start.tolist(), share.tolist(), verified.tolist(), strict=True):
+                        places[d].append((k, *x))
+            plain = [[s for k, s, *_ in own if index.base[k]] for own in places]
+            label = lambda own, base: ",".join(sorted({index.labels[k] for k, *_, ok in own if ok and (index.base[k] or not base)}))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -156,10 +156,10 @@ def licences(docs: DataFrame, templates: LabelTemplates = TEMPLATES) -> DataFram
                     pa.array([max(x, default=None) for x in plain], pa.int64()),
                     pa.array([label(own, True) for own in places]),
                     pa.array([label(own, False) for own in places]),
-                    pa.array([max((x for *_, x in own), default=0.0) for own in places]),
-                    pa.array([[{"label": index.labels[k], "start": s, "share": x} for k, s, x in sorted(own, key=lambda y: (y[1], y[0]))] for own in places], pa.list_(place)),
+                    pa.array([max((x for *_, x, _ in own), default=0.0) for own in places]),
+                    pa.array([[{"label": index.labels[k], "start": s, "share": x, "verified": ok} for k, s, x, ok in sorted(own, key=lambda y: (y[1], y[0]))] for own in places], pa.list_(place)),
                 ],
                 names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"],
             )
 
-    return base.mapInArrow(scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,start:long,share:double>>")
+    return base.mapInArrow(scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,start:long,share:double,verified:boolean>>")

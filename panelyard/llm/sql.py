@@ -26,18 +26,23 @@ from d left join hits using (doc_id) left join names using (doc_id) left join be
 """
 
 def _op1() -> str:
-    from panelyard.llm.licences import TEMPLATES
+    from panelyard.llm.licences import TEMPLATES, places_needed
 
-    rows = ", ".join(f"({k}, '{label}', '{text}', {a}, {b}, {str(base).lower()})" for k, (label, text, a, b, base) in enumerate(TEMPLATES))
+    rows = ", ".join(f"({k}, '{label}', '{text}', {a}, {b}, {str(base).lower()}, {', '.join(map(str, places_needed(len(text.split()))))})" for k, (label, text, a, b, base) in enumerate(TEMPLATES))
     return rf"""
 with d as (select doc_id, {_WORDS} as w from documents),
-t as (select k, label, string_split(text, ' ') as tw, a, b, base from (values {rows}) v(k, label, text, a, b, base)),
-starts as (select doc_id, w, i from (select doc_id, w, unnest(range(0, len(w))) as i from d) where w[i + 1] in (select tw[a + 1] from t)),
+t as (select k, label, string_split(text, ' ') as tw, a, b, base, n, need from (values {rows}) v(k, label, text, a, b, base, n, need)),
+tp as (select k, unnest(range(0, len(tw))) as p, unnest(tw) as word, n from t),
+df as (select word, count(distinct doc_id) as c from (select doc_id, unnest(list_distinct(w)) as word from d) where word in (select word from tp) group by word),
+posted as (select k, p, word from tp left join df using (word) qualify row_number() over (partition by k order by coalesce(c, 0), word, p) <= n),
+spots as (select doc_id, unnest(range(0, len(w))) as i, unnest(w) as word from d),
+found as (select doc_id, k, i - p as start from spots join posted using (word) join t using (k) group by doc_id, k, start, need having count(*) >= need),
 places as (
-    select doc_id, label, base, i, list_sum(list_transform(range(0, len(tw)), lambda p: if(i - a + p >= 0 and w[i - a + p + 1] = tw[p + 1], 1, 0))) / len(tw) as share
-    from starts join t on w[i + 1] = tw[a + 1] and w[i + 1 : i + b - a] = tw[a + 1 : b]),
-g as (select doc_id, count(*) filter (base) as n_base, min(i) filter (base) as first_word, max(i) filter (base) as last_word,
-      string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score
+    select doc_id, label, base, start, list_sum(list_transform(range(0, len(tw)), lambda p: if(start + p >= 0 and w[start + p + 1] = tw[p + 1], 1, 0))) / len(tw) as share,
+           start + a >= 0 and w[start + a + 1 : start + b] = tw[a + 1 : b] as ok
+    from found join d using (doc_id) join t using (k)),
+g as (select doc_id, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
+      string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) filter (ok) as labels, max(share) as score
       from places group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
        coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score

@@ -133,6 +133,58 @@ def test_licences(spark, docs):
         assert licences.TEMPLATES[r.doc_id][0] in r.labels.split(",") and r.score == 1
 
 
+def licence_of(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r for r in licences.licences(df, **more).collect()}
+
+
+def test_body_words_propose_a_licence(spark):
+    """Texts without their key phrase are found by their bodies, but get no label; damaged bodies with it do."""
+    mit = next(t for label, t, *_ in licences.TEMPLATES if label == "mit" and len(t) > 100)
+    words = mit.split()
+    body = " ".join(words[40:])
+    texts = [mit, mit.replace("hereby", "herewith"), "before " * 30 + body, "new " + mit.replace("merge", "x").replace("sublicense", "y") + " end", " ".join(words[:7]), " ".join(words[:90]), " ".join(reversed(words)), mit + " " + mit]
+    out = licence_of(spark, texts)
+    assert (out[0].labels, out[0].score) == ("mit", 1)
+    assert out[1].labels == "" and out[1].score == pytest.approx(1 - 1 / len(words))
+    assert [(p.label, p.verified) for p in out[1].places] == [("mit", False)]
+    assert out[2].labels == "" and 0.7 < out[2].score < 1 and out[2].places[0].start == 30 - 40
+    assert out[3].labels == "mit" and 0.9 < out[3].score < 1
+    assert (out[4].labels, out[4].score) == ("", 0)  # the key phrase alone is not the licence
+    assert out[6].labels == ""
+    assert [p.start for p in out[7].places] == [0, len(words)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_licence_alignments_against_brute_force(spark, monkeypatch, seed):
+    """Every alignment on which enough of a template's rarest places agree, none else; templates with repeated words."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(licences, "RAREST", 6)
+    monkeypatch.setattr(licences, "SHORT", 3)
+    vocabulary = "abcdefgh"
+    templates = [(f"l{k}", " ".join(rng.choices(vocabulary, k=n)), 0, 1 + n // 3, n < 3) for k, n in enumerate((1, 2, 3, 3, 7, 9, 14, 20))]
+    texts = []
+    for _ in range(40):
+        own = rng.choice(templates)[1].split()
+        cut = own[rng.randint(0, 2) :]
+        texts.append(" ".join(rng.choices(vocabulary + "xyz", k=rng.randint(0, 5)) + [w if rng.random() > 0.15 else rng.choice("ax") for w in cut] + rng.choices("axyz", k=3)))
+    out = licence_of(spark, texts, templates=templates)
+    counts = {w: sum(w in t.split() for t in texts) for w in vocabulary}
+    for d, text in enumerate(texts):
+        w, expected = text.split(), []
+        for label, t, a, b, _ in templates:
+            t = t.split()
+            n, need = licences.places_needed(len(t))
+            posted = sorted(range(len(t)), key=lambda p: (counts[t[p]], t[p], p))[:n]
+            for start in range(-len(t), len(w)):
+                agree = lambda places: sum(0 <= start + p < len(w) and w[start + p] == t[p] for p in places)  # noqa: B023, E731
+                if agree(posted) >= need:
+                    expected.append((label, start, agree(range(len(t))) / len(t), agree(range(a, b)) == b - a))
+        assert sorted((p.label, p.start, p.share, p.verified) for p in out[d].places) == sorted(expected)
+        assert out[d].labels == ",".join(sorted({x[0] for x in expected if x[3]}))
+        assert out[d].score == max((x[2] for x in expected), default=0)
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
