@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.operators import selection
+
 
 def macro_average(df: DataFrame, key: list[str], task: str, score: str, tasks: list[str]) -> DataFrame:
     """Unweighted mean over tasks per key: n_tasks and macro_score, null unless every task is there with a score.
@@ -43,8 +45,9 @@ def coverage(df: DataFrame, expected: DataFrame, key: list[str], item: str, stat
 
 
 def leaderboard(df: DataFrame, score: str, names: list[str]) -> DataFrame:
-    """Adds position: by score descending, nulls last, then names in binary order.  One row per entry of the board."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last(score), *names)))
+    """Adds position: by score descending, nulls last, then names in binary order, numbered by ranges."""
+    placed = selection.numbered(df, [F.desc_nulls_last(score), *(F.col(n) for n in names)], "position")
+    return placed.withColumn("position", F.col("position").cast("int"))
 
 
 def collapse(value: str, many: str = "multiple") -> Column:

@@ -19,11 +19,11 @@ def winners_with_reasons(df: DataFrame, by: list[str], order: list[Column], most
     """Best row of each group, groups ranked in the same order, the first ``most`` selected: adds selected_rank and reason.
 
     reason: not_group_winner, below_selection_cutoff, or null for selected rows; selected_rank is null for losers of a group.
-    Only winners, one row per group, are ranked over all groups.
+    Only winners, one row per group, are ranked over all groups, and that by ranges.
     """
     placed = best_per_group(df, by, order, rank="_place")
-    first = placed.where("_place = 1").withColumn("selected_rank", F.row_number().over(Window.orderBy(*order)))
-    ranks = first.select(*by, F.col("selected_rank").alias("_rank"))
+    first = numbered(placed.where("_place = 1"), order, "selected_rank")
+    ranks = first.select(*by, F.col("selected_rank").cast("int").alias("_rank"))
     both = placed.join(ranks, by).withColumn("selected_rank", F.when(F.col("_place") == 1, F.col("_rank")))
     reason = F.when(F.col("_place") > 1, "not_group_winner").when(F.col("selected_rank") > most, "below_selection_cutoff")
     return both.withColumn("reason", reason).drop("_place", "_rank")

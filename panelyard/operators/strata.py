@@ -21,9 +21,9 @@ def coverage_plan(df: DataFrame, task: str, panel: str, axes: list[str], least_v
     long = unpivot_axes(df, [task, panel], axes)
     per_panel = long.groupBy(task, panel, "axis", "category").agg(F.count("*").alias("_n"))
     have = per_panel.groupBy(task, "axis", "category").agg(F.sum("_n").alias("n_variants"), F.count("*").alias("n_panels"), F.count_if(F.col("_n") >= least_variants).alias("n_eligible"))
-    domain = per_panel.groupBy("axis").agg(F.collect_set("category").alias("_all"))  # a row for each axis
+    domain = per_panel.select("axis", "category").distinct()
     tasks = per_panel.select(task).distinct().withColumn("axis", F.explode(F.array(*[F.lit(a) for a in axes])))
-    grid = tasks.join(F.broadcast(domain), "axis").select(task, "axis", F.explode("_all").alias("category"))  # tasks by categories
+    grid = tasks.join(domain, "axis").select(task, "axis", "category")  # tasks by categories, as the plan has it
     out = grid.join(have, [task, "axis", "category"], "left").na.fill(0, ["n_variants", "n_panels", "n_eligible"])
     status = F.when(F.col("n_variants") == 0, "absent").when(F.col("n_eligible") >= least_panels, "eligible").otherwise("insufficient")
     return out.withColumn("status", status)

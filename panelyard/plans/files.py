@@ -78,14 +78,18 @@ s as (select o_orderkey, 'urn:set:' || o_custkey % 3 || '#' || o_orderkey as acc
 
 
 def _score_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of allele texts in CSV with a byte order mark, read as text."""
+    return readers.read_delimited(spark, _score_folder(spark, sf_dir), ["accession", "hgvs_nt", "score", "qc"])
+
+
+def _score_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Scores of allele texts in CSV with a byte order mark."""
     k = F.col("o_orderkey")
     hgvs = F.when(k % 7 == 0, F.concat(F.lit("NC_000002.12:g."), (k % 90 + 1).cast("string"), F.lit("A>T"))).when(k % 7 == 1, F.concat(F.lit("NC_000002.12:g."), (k % 90 + 1).cast("string"), F.lit("A>A"))).when(k % 7 == 2, "c.5del").when(k % 7 == 3, "").otherwise(F.concat(F.lit("NC_000007.14:g."), (k % 500 + 1).cast("string"), F.lit("C>G")))
     score = F.when(k % 11 == 0, "NaN").when(k % 13 == 0, "").otherwise((k % 1000 / 8.0).cast("string"))
     rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("urn:set:"), (F.col("o_custkey") % 3).cast("string"), F.lit("#"), k.cast("string")).alias("﻿accession"), hgvs.alias("hgvs_nt"), score.alias("score"), F.when(F.col("o_orderpriority") == "1-URGENT", "fail").otherwise("pass").alias("qc"))
     path = new_folder(spark, "scores")
     rows.write.option("header", True).option("emptyValue", "").csv(path)
-    return readers.read_delimited(spark, path, ["accession", "hgvs_nt", "score", "qc"])
+    return path
 
 
 @query(f"""
@@ -117,6 +121,15 @@ def score_csv_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.join(twice, "key", "left").select("accession", "key", F.when(F.col("reason").isNull(), checks.oriented(F.col("x"), -1)).alias("oriented"), outcome.alias("outcome"))
 
 
+@query(f"""
+with {_SCORES} select 'accession' as rule, accession as key from s where accession not like 'urn:set:1#%'
+""")
+def score_accession_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other score sets in one set's file."""
+    _, broken = readers.read_scores(spark, _score_folder(spark, sf_dir), "urn:set:1", "qc")
+    return broken
+
+
 @query(f"""
 with {_SCORES} select accession, 'NC_000007.14:' || regexp_extract(hgvs, ':g\\.([0-9]+)', 1) || ':C:G' as key from s where hgvs like 'NC_000007.14:g.%' and o_orderkey % 7 > 3
 """)
@@ -386,8 +399,8 @@ def cached_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "cache")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     nations.write.parquet(path)
-    found = writers.set_digest(nations, "n_nationkey").first().asDict()
-    again = writers.set_digest(spark.read.parquet(path), "n_nationkey").first().asDict()
+    found = writers.tree_digest(nations, "n_nationkey").first().asDict()
+    again = writers.tree_digest(spark.read.parquet(path), "n_nationkey").first().asDict()
     return readers.load_cache(spark, path, found, again)
 
 

@@ -152,9 +152,18 @@ def preferred_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.preferred_latest(orders, ["o_custkey"], "o_orderstatus", ["F", "O"], "o_orderdate")
 
 
-@query("""
-with t as (select s_nationkey, count(*) as n, avg(s_acctbal) as mean, stddev_samp(s_acctbal) as sd, min(s_acctbal) = max(s_acctbal) as steady from supplier group by 1),
-c as (select * from (values """ + ", ".join(f"({d}, {stats.t_quantile(0.975, d)!r})" for d in range(1, 400)) + """) v(df, t))
+#: The share within +-t of Student's distribution, of x = atan(t / sqrt(nu)), as the finite sums for whole nu.
+_T_SHARE = """case when nu % 2 = 0 then sin(x) * (1 + coalesce(list_sum(list_transform(range(1, (nu - 2) // 2 + 1), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1) - lgamma(0.5)) * power(cos(x), 2 * j))), 0))
+     when nu = 1 then 2 * x / pi()
+     else 2 / pi() * (x + sin(x) * cos(x) * (1 + coalesce(list_sum(list_transform(range(1, (nu - 3) // 2 + 1), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * power(cos(x), 2 * j))), 0))) end"""
+
+
+@query(f"""
+with recursive t as (select s_nationkey, count(*) as n, avg(s_acctbal) as mean, stddev_samp(s_acctbal) as sd, min(s_acctbal) = max(s_acctbal) as steady from supplier group by 1),
+b as (select distinct n - 1 as nu, 0.0::double as lo, pi() / 2 as hi, 0 as k from t where n > 1
+      union all select nu, if(share < 0.95, x, lo), if(share < 0.95, hi, x), k + 1 from (select *, {_T_SHARE} as share from (select *, (lo + hi) / 2 as x from b where k < 70))),
+r as (select nu, lo, hi, k from b where k = 70),
+c as (select nu as df, sqrt(nu) * tan((lo + hi) / 2) as t from r)
 select s_nationkey, n, round(mean, 7) as mean, case when n >= 2 and not steady then round(mean - t * sd / sqrt(n), 7) end as ci_low, case when n >= 2 and not steady then round(mean + t * sd / sqrt(n), 7) end as ci_high,
        case when n < 2 then 'insufficient' when steady then 'constant_scores' else 'estimated' end as status
 from t left join c on df = n - 1
@@ -165,12 +174,13 @@ def t_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select s_nationkey as g, s_suppkey % 2 = 0 as first, s_acctbal as v, row_number() over (partition by s_nationkey order by s_suppkey) as i from supplier),
+with recursive s as (select s_nationkey as g, s_suppkey % 2 = 0 as first, s_acctbal as v, row_number() over (partition by s_nationkey order by s_suppkey) as i from supplier),
 z as (select g, count(*) filter (first) as n1, count(*) filter (not first) as n2, avg(v) filter (first) - avg(v) filter (not first) as d, list(v order by i) as vs, sum(v) as total from s group by g),
 c as (select g, round(product((n1 + n2 - least(n1, n2) + k) / k)) as ways from (select g, n1, n2, unnest(range(1, least(n1, n2) + 1)) as k from z) group by g),
 f as (select z.*, case when n1 >= 2 and n2 >= 2 then ways else 0 end::bigint as n_allocations from z left join c using (g)),
-m as (select g, n1, n2, d, total, vs, mask from (select *, unnest(range(0, 1 << (n1 + n2))) as mask from f where n_allocations between 1 and 200000 and n1 + n2 <= 18) where bit_count(mask) = n1),
-x as (select g, n1, n2, d, total, list_sum(list_transform(range(0, n1 + n2), lambda k: if((mask >> k) & 1 = 1, vs[k + 1], 0.0))) as part from m),
+m as (select g, least(n1, n2) as k, 0 as j, 0::bigint as last, 0.0::double as part from f where n_allocations between 1 and 200000
+      union all select g, k, j + 1, i, part + vs[i] from (select m.*, vs, unnest(range(last + 1, len(vs) - (k - j - 1) + 1)) as i from m join f using (g) where j < k)),
+x as (select g, n1, n2, d, if(n1 <= n2, part, total - part) as part, total from m join f using (g) where j = k),
 p as (select g, count(*) filter (part / n1 - (total - part) / n2 >= d - 1e-12 * greatest(1, abs(d))) / count(*) as p from x group by g)
 select g as s_nationkey, n1 as n_first, n2 as n_second, round(d, 7) as difference, n_allocations, round(p, 7) as p_value from f left join p using (g)
 """)

@@ -99,11 +99,12 @@ def merge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with w as (select user_id, event_id, ts, lag(ts) over (partition by user_id order by event_id) as previous_at from events)
-select user_id, event_id, ts, previous_at from w where previous_at > ts
+with w as (select o_custkey, o_orderkey, o_orderdate, lag(o_orderdate) over (partition by o_custkey order by o_orderkey) as previous_at from orders)
+select o_custkey, o_orderkey, o_orderdate, previous_at from w where previous_at > o_orderdate
 """)
 def chronology_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.chronology_breaches(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id")
+    """Orders that are older than the one before them by key."""
+    return checks.chronology_breaches(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey")
 
 
 @query("""

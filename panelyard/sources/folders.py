@@ -40,7 +40,17 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/panelyard/{name}-{uuid.uuid4().hex}"
+    """A folder of its own within the application's part of the shared one."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/panelyard/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder; no result that reads from it may be used after that."""
+    delete_folder(spark, _own_dir(spark))
 
 
 def as_table(df: DataFrame, name: str) -> DataFrame:

@@ -42,15 +42,25 @@ def read_delimited(spark: SparkSession, path: str, required: list[str], sep: str
     split, so its rows are dealt anew.
     """
     reader = spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST").option("enforceSchema", False)
-    df = (reader.option("comment", header_prefix) if header_prefix else reader).csv(path)
-    names = [n.lstrip("﻿").strip() for n in df.columns]
+    reader = reader.option("comment", header_prefix) if header_prefix else reader
+    first = reader.option("header", False).option("inferSchema", False).csv(path).limit(1).collect()  # the header as it is written; as column names, repeated ones are renamed
+    names = [(v or "").lstrip("﻿").strip() for v in first[0]] if first else []
     if len(set(names)) != len(names):
         raise ValueError(f"a column stands twice: {names}")
-    df = df.toDF(*names)
+    df = reader.option("header", True).csv(path).toDF(*names)
     checks.require_columns(df, required)
     return df.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else df
 
 
+def read_scores(spark: SparkSession, path: str, urn: str, qc: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a score set's CSV (accession, hgvs_nt, score, the QC column if one is named), and its violations: rule, key.
+
+    An accession is the set's URN, a # and the row's own part; rows of another set break the rule accession.
+    """
+    rows = read_delimited(spark, path, ["accession", "hgvs_nt", "score", *([qc] if qc else [])])
+    return rows, checks.violations(rows, F.col("accession"), {"accession": F.startswith(F.col("accession"), F.lit(f"{urn}#"))})
+
+
 def read_vcf(spark: SparkSession, path: str, filters: list[str]) -> tuple[DataFrame, DataFrame]:
     """Variants of a VCF (also .gz) and its violations: chrom, pos, id, ref, alt, filter, info (map); rule, key.
 

@@ -126,3 +126,31 @@ def test_csv_keeps_quotes_and_order(spark, tmp_path):
     writers.write_csv(df, ["k"], f"{tmp_path}/out")
     back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/out")
     assert {(r.k, r.v) for r in back.collect()} == {("1", "a,b"), ("2", 'say "hi", you'), ("3", None)}
+
+
+def test_a_column_that_stands_twice(spark, tmp_path):
+    (tmp_path / "twice.csv").write_text('a,"b",a\n1,2,3\n')
+    with pytest.raises(ValueError, match="stands twice"):
+        readers.read_delimited(spark, f"{tmp_path}/twice.csv", ["a"])
+    (tmp_path / "once.csv").write_text("﻿a,b\n1,2\n")
+    assert readers.read_delimited(spark, f"{tmp_path}/once.csv", ["a", "b"]).first().asDict() == {"a": "1", "b": "2"}
+
+
+def test_accessions_of_another_set(spark, tmp_path):
+    (tmp_path / "scores.csv").write_text("accession,hgvs_nt,score\nurn:x#1,c.1A>T,0.5\nurn:xy#2,c.1A>T,0.5\nurn:x,c.1A>T,1\n,c.1A>T,1\n")
+    rows, broken = readers.read_scores(spark, f"{tmp_path}/scores.csv", "urn:x")
+    assert rows.count() == 4
+    assert sorted((r.rule, r.key) for r in broken.where("key is not null").collect()) == [("accession", "urn:x"), ("accession", "urn:xy#2")] and broken.count() == 3
+
+
+def test_folders_of_an_application_are_cleared(spark, monkeypatch):
+    from panelyard.sources import folders
+
+    top = f"{folders.shared_dir(spark)}/panelyard"
+    kept, gone = f"{top}/kept-application", f"{top}/gone-application"
+    for own in (kept, gone):
+        monkeypatch.setattr(folders, "_own_dir", lambda session, own=own: own)
+        spark.range(1).write.parquet(f"{folders.new_folder(spark, 'table')}")
+    folders.clear(spark)
+    there = lambda path: folders.hadoop_path(spark, path)[1].exists(folders.hadoop_path(spark, path)[0])
+    assert there(kept) and not there(gone)
