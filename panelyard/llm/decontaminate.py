@@ -292,6 +292,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
     Matches shorter than the seed (three words, or the shortest item's) are not looked for.
     """
     base, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
+    tables, single = Tables(docs.sparkSession, "longest-matches"), _one_block(benchmark, block_bytes)
     for block in _blocks(benchmark, block_bytes):
         tests = TestSuffixes(block)
 
@@ -307,6 +308,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["item", "item_offset", "n_words", "doc_id", "doc_offset"])
 
         part = base.mapInArrow(scan, "item string, item_offset long, n_words long, doc_id long, doc_offset long")
+        part = part if single else tables.kept(part, "pass")  # so that no plan holds more than one block
         out = part if out is None else out.unionByName(part)
     if out is None:
         return base.sparkSession.createDataFrame([], "item string, item_offset long, n_words long, doc_id long, doc_offset long")

@@ -110,6 +110,9 @@ def test_longest_matches(spark):
     bench = spark.createDataFrame([(9, "one two three four five six")], "item_id long, text string")
     out = {r.item_offset: (r.n_words, r.doc_id, r.doc_offset) for r in decontaminate.longest_matches(docs, bench).collect()}
     assert out == {0: (4, 1, 1), 1: (4, 2, 0), 2: (3, 2, 1)}
+    more = bench.union(spark.createDataFrame([(8, "two three four five"), (7, "y x one two three")], "item_id long, text string"))
+    whole, blocks = (sorted(map(tuple, decontaminate.longest_matches(docs, more, size).collect())) for size in (1 << 20, 10))
+    assert whole == blocks and len({r[0] for r in whole}) == 3
 
 
 def test_licences(spark, docs):
