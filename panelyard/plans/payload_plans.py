@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.functions import payloads, sequence
+from panelyard.functions import parsing, payloads, sequence
 from panelyard.operators import checks, selection, stats
 from panelyard.plans.registry import query, table
 
@@ -111,3 +111,14 @@ def not_exactly_one_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers."""
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"))
     return checks.not_exactly_one(nations, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")), ["nation"])
+
+
+@query(r"""
+with p as (select page_id, url, if(page_id % 3 <> 0, regexp_extract(html, '(?s)<title>(.*?)</title>', 1), null) as t, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) as h from pages)
+select page_id, coalesce(if(trim(t) <> '', t, null), if(trim(h) <> '', h, null), if(trim(url) <> '', url, null)) as label from p
+""")
+def nested_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label: its title where one is known, else its heading, else its address."""
+    between = lambda tag: F.regexp_extract("html", f"(?s)<{tag}>(.*?)</{tag}>", 1)
+    title = F.when(F.col("page_id") % 3 != 0, between("title"))
+    return table(spark, sf_dir, "pages").select("page_id", parsing.first_text(title, between("h1"), F.col("url")).alias("label"))
