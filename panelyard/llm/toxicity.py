@@ -13,7 +13,7 @@ take them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -140,13 +140,19 @@ def _joined(parts: list[tuple[int, Sentences]]) -> Sentences:
 def fit(texts: pa.StringArray, labels: np.ndarray) -> Model:
     """Full-batch Adam on the noisy-or likelihood; the same rows in the same order give the same weights."""
     own, n = _joined([(k, sentences(part["text"])) for k, part in _sliced(texts)]), len(texts)
+    _, first, place = np.unique(own.features[:, 0], return_index=True, return_inverse=True)  # each spelling once
+    own = replace(own, word=place[own.word], features=own.features[first])
     hashes, feature = np.unique(own.features, return_inverse=True)
     feature = feature.reshape(own.features.shape)
     held = np.unique(own.doc[own.sentence] * (len(own.features) + 1) + own.word)
-    pairs = np.unique((held // (len(own.features) + 1))[:, None] * (len(hashes) + 1) + feature[held % (len(own.features) + 1)])
     y = labels.astype(float)
-    doc, of = pairs // (len(hashes) + 1), pairs % (len(hashes) + 1)
-    n_bad, n_all = np.bincount(of, y[doc], len(hashes)), np.bincount(of, minlength=len(hashes))
+    n_bad, n_all = np.zeros(len(hashes)), np.zeros(len(hashes), np.int64)
+    for column in feature.T:  # whole words, then prefixes of each length: no feature is in two columns
+        pairs = np.unique((held // (len(own.features) + 1)) * (len(hashes) + 1) + column[held % (len(own.features) + 1)])
+        doc, of = pairs // (len(hashes) + 1), pairs % (len(hashes) + 1)
+        n_bad += np.bincount(of, y[doc], len(hashes))
+        n_all += np.bincount(of, minlength=len(hashes))
+    del held, pairs, doc, of
     odds = np.log((n_bad + 0.5) / (n_all - n_bad + 0.5)) - np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     marked = (n_all >= LEAST_DOCUMENTS) & (odds * np.sqrt(1 / (1 / (n_bad + 0.5) + 1 / (n_all - n_bad + 0.5))) >= LEAST_Z) & (hashes != 0)
     many = marked.copy()  # and whole words that have a marked prefix, so that harmless ones can be told apart
@@ -156,8 +162,10 @@ def fit(texts: pa.StringArray, labels: np.ndarray) -> Model:
     number = (np.cumsum(many) - 1)[feature[spelling, column]]
     use = many[feature].any(1)[own.word]
     word, n_spellings = own.word[use], len(own.features)
+    del feature
     told, sentence = np.unique(own.sentence[use], return_inverse=True)
     of = own.doc[told]
+    del own, use
     w, size = np.zeros(int(many.sum())), len(told)
     m, v = np.zeros_like(w), np.zeros_like(w)
     weight = np.where(y > 0, (y == 0).sum() / max(1, (y > 0).sum()), 1.0) ** 0.5
