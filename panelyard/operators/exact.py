@@ -33,10 +33,23 @@ def _parts(x: Column) -> dict[str, Column]:
     return {"_bin": bin_, "_y": y}
 
 
+def _lone_bin(p: Column, n: Column) -> Column:
+    """The sum of a group that has one bin of moderate size, where one addition of doubles is its only rounding; else null.
+
+    The rest is brought below one; it is even, as a scaled value has no bit below 2**(1 - BEHIND), so either part is a double.
+    """
+    unit = F.lit(1 << BEHIND).cast("decimal(17, 0)")
+    carry = F.floor(p["rest"] / unit)
+    whole, rest = p["whole"] + carry, p["rest"] - carry * unit
+    scale = F.get(F.array(*[F.lit(2.0 ** (BITS * k)) for k in range(-20, 21)]), p["bin"] + 20)
+    plain = (n == 1) & p["bin"].between(-20, 20) & (F.abs(whole) <= F.lit(1 << 53)) & (F.abs(rest) <= unit) & (rest % 2 == 0)
+    return F.when(plain, (whole.cast("double") + rest.cast("double") * F.lit(2.0**-BEHIND)) * scale)
+
+
 @F.pandas_udf(T.DoubleType())
 def rounded(parts: pd.Series) -> pd.Series:
-    """The sum of a group's bins, which hold no NaN and one infinity at most; null for no number."""
-    return parts.map(_total)
+    """The sum of a group's bins, which hold no NaN and one infinity at most; null for no number, or no bins."""
+    return parts.map(lambda p: None if p is None else _total(p))
 
 
 def _total(parts) -> float | None:
@@ -66,7 +79,9 @@ def exact_sums(df: DataFrame, by: list[str], values: dict[str, Column], spoilt:
 
     def total(k: int) -> Column:
         own = F.filter("_held", lambda p: p["_c"] == k)
-        whole = rounded(F.transform(own, lambda p: F.struct(p["bin"].alias("bin"), p["whole"].alias("whole"), p["rest"].alias("rest"))))
+        alone = _lone_bin(F.get(own, F.lit(0)), F.size(own))
+        several = F.when(alone.isNull(), F.transform(own, lambda p: F.struct(p["bin"].alias("bin"), p["whole"].alias("whole"), p["rest"].alias("rest"))))
+        whole = F.coalesce(alone, rounded(several))
         has = lambda b: F.exists(own, lambda p: p["bin"] == b)
         whole = F.when(has(_NAN) | (has(_PLUS) & has(_MINUS)), F.lit(float("nan"))).otherwise(whole)  # a pandas UDF gives no NaN
         return F.when(~has(_NULL), whole) if spoilt else whole

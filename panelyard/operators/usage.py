@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.operators import exact, scans
+from panelyard.sources.folders import as_table
 
 
 def complete_sum(value: Column) -> Column:
@@ -51,12 +52,13 @@ def allocate(items: DataFrame, batch: list[str], order: list[str], weight: str,
     and their totals joined back, so one batch may hold most rows.
     """
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    items = as_table(items, "items")  # gone over several times
     about = items.groupBy(*batch).agg(F.min(w).alias("_least"), F.count("*").cast("double").alias("_n"), F.max(F.struct(*order)).alias("_last"))
     about = exact.joined(about, batch, exact.exact_sums(items, batch, {"_weights": w}))
     part = exact.joined(items, batch, about)
     positive = F.col("_least") > 0
     own = F.col(cost) * F.when(positive, w).otherwise(F.lit(1.0)) / F.when(positive, F.col("_weights")).otherwise(F.col("_n"))
-    part = part.withColumns({"_share": own, "_end": F.struct(*order).eqNullSafe(F.col("_last"))})
+    part = as_table(part.withColumns({"_share": own, "_end": F.struct(*order).eqNullSafe(F.col("_last"))}), "shares")
     others = exact.exact_sums(part.where("not _end"), batch, {"_others": F.col("_share")})
     left = F.col(cost) - F.coalesce(F.col("_others"), F.lit(0.0))
     whole = exact.joined(part, batch, others).withColumn("share", F.when(F.col("_end"), left).otherwise(F.col("_share")))

@@ -29,12 +29,15 @@ def numbers(kind, rng):
         return own + [-x for x in own] + [1e-20] * 3
     if kind == "tiny":
         return [rng.randint(-9, 9) * 5e-324 for _ in range(300)] + [2.0**-1022, -(2.0**-1040)]
+    if kind == "one bin":
+        own = [rng.choice([-1, 1]) * rng.uniform(1.5, 2.0**31.5) for _ in range(500)]
+        return own + [-x for x in own[: rng.choice([0, 499, 500])]]
     if kind == "borders":
         return [s * 2.0**k * f for k in range(-1000, 1000, 8) for s in (-1, 1) for f in (1.0, 1 - 2**-53, 1 + 2**-52)][: 3 * 249]
     return [0.1] * 1000 + [1e25, -0.0]
 
 
-@pytest.mark.parametrize("kind", ["wide", "cancelling", "tiny", "borders", "plain"])
+@pytest.mark.parametrize("kind", ["wide", "cancelling", "tiny", "borders", "plain", "one bin"])
 @pytest.mark.parametrize("parts", [1, 7])
 def test_exact_sums_equal_fsum(spark, kind, parts):
     values = {g: numbers(kind, random.Random(f"{kind}{g}")) for g in (1, 2, None)}
