@@ -47,6 +47,10 @@ def mean_ranks(v: np.ndarray) -> np.ndarray:
     return (np.cumsum(n) - (n - 1) / 2)[place]
 
 
+#: Rows of small panels that are scored together, about.
+BATCH_ROWS = 20_000
+
+
 def panel_correlations(df: DataFrame, by: list[str], prediction: str, reference: str, group_rows: int = scans.GROUP_ROWS) -> DataFrame:
     """Per panel: n, spearman_rho (Pearson over average ranks), pearson_r, with sums that are rounded once.
 
@@ -54,17 +58,24 @@ def panel_correlations(df: DataFrame, by: list[str], prediction: str, reference:
     group in a task, larger ones go by :func:`spread_correlations`, which gives the same numbers.
     """
     rows = df.select(*by, checks.finite_text(F.col(prediction)).alias("p"), checks.finite_text(F.col(reference)).alias("r")).dropna(subset=["p", "r"])
-    if (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > group_rows:
+    largest, total = rows.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+    if (largest or 0) > group_rows:
         return spread_correlations(rows, by)
     fields = [rows.schema[c] for c in by]
 
-    def run(key: tuple, panel: pa.Table) -> pa.Table:
-        p, r = (panel[c].to_numpy() for c in ("p", "r"))
-        keys = {f.name: pa.array([k.as_py()], panel.schema.field(f.name).type) for f, k in zip(fields, key, strict=True)}
-        return pa.table(keys | {"n": pa.array([len(p)]), "spearman_rho": [pearson(mean_ranks(p), mean_ranks(r))], "pearson_r": [pearson(p, r)]})
-
+    def run(held: pa.Table) -> pa.Table:
+        number = held.select(by).to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(number, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(number[order], prepend=-1)), len(order))
+        p, r = (held[c].to_numpy()[order] for c in ("p", "r"))
+        panels = [(p[a:z], r[a:z]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        keys = held.select(by).take(pa.array(order[edges[:-1]]))
+        own = {"n": pa.array(np.diff(edges)), "spearman_rho": pa.array([pearson(mean_ranks(x), mean_ranks(y)) for x, y in panels], pa.float64()), "pearson_r": pa.array([pearson(x, y) for x, y in panels], pa.float64())}
+        return pa.table(dict(zip(by, keys.columns, strict=True)) | own)
+
+    dealt = F.pmod(F.xxhash64(*by), F.lit(max(1, -(-(total or 0) // BATCH_ROWS))))  # several panels go together
     more = [T.StructField("n", T.LongType()), T.StructField("spearman_rho", T.DoubleType()), T.StructField("pearson_r", T.DoubleType())]
-    return rows.groupBy(*by).applyInArrow(run, T.StructType(fields + more))
+    return rows.groupBy(dealt).applyInArrow(run, T.StructType(fields + more))
 
 
 def spread_correlations(rows: DataFrame, by: list[str]) -> DataFrame:
