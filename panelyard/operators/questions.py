@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelyard.functions import parsing
 from panelyard.operators import checks, stats
@@ -26,9 +29,44 @@ def rendered(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*(values[p[1:-1]].cast("string") if p[1:-1] in names and p.startswith("{") else F.lit({"{{": "{", "}}": "}"}.get(p, p)) for p in pieces if p))
 
 
-def occurrences(text: Column, part: Column) -> Column:
-    """How often ``part`` (not empty) stands in the text, counted without overlap."""
-    return ((F.char_length(text) - F.char_length(F.replace(text, part, F.lit("")))) / F.char_length(part)).cast("int")
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _stand_once(text: str | None, parts: list[str | None]) -> list[bool]:
+    """Whether each part stands in the text exactly once, counted without overlap; nulls and empty parts don't.
+
+    Parts of one length are looked up together: the text's windows of that length are hashed at once, and those that have the hash
+    of a part are compared with it.  So the work grows with the text, once for each length, not with text times parts.
+    """
+    by_length: dict[int, set[str]] = {}
+    for part in parts:
+        if text and part:
+            by_length.setdefault(len(part), set()).add(part)
+    if not by_length:
+        return [False] * len(parts)
+    code = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    power = lambda base, n: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+    powers, back = power(_BASE, len(text)), power(_INVERSE, len(text))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code(text) * powers[:-1])])
+    seen: dict[str, tuple[int, int]] = {}  # how often, and where the last one ends
+    for length, group in by_length.items():
+        if length > len(text):
+            continue
+        windows = (upto[length:] - upto[:-length]) * back[: len(text) - length + 1]
+        hashes = np.unique((np.stack([code(part) for part in group]) * powers[:length]).sum(axis=1, dtype=np.uint64))
+        for at in np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, windows), len(hashes) - 1)] == windows).tolist():
+            part = text[at : at + length]
+            n, end = seen.get(part, (0, 0))
+            if at >= end and part in group:
+                seen[part] = n + 1, at + length
+    return [part is not None and seen.get(part, (0, 0))[0] == 1 for part in parts]
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def stand_once(texts: pd.Series, parts: pd.Series) -> pd.Series:
+    """For each of an array of parts whether it stands in the text exactly once (null array: null)."""
+    return pd.Series([None if p is None else _stand_once(t, list(p)) for t, p in zip(texts, parts, strict=True)], dtype=object)
 
 
 def choice_violations(questions: DataFrame) -> DataFrame:
@@ -39,7 +77,8 @@ def choice_violations(questions: DataFrame) -> DataFrame:
     """
     ids = F.transform("choices", lambda c: c["choice_id"])
     whole = {"two_choices": F.size("choices") >= 2, "unique_choices": F.size(F.array_distinct(ids)) == F.size(ids), "answer": F.size(F.filter(ids, lambda i: i == F.col("answer_choice_id"))) == 1}
-    return _broken(questions, whole, "choices", {"rendered": lambda c: occurrences(F.col("prompt"), F.concat(c["choice_id"], F.lit(". "), c["text"])) == 1})
+    lines = F.transform("choices", lambda c: F.concat(c["choice_id"], F.lit(". "), c["text"]))
+    return _broken(questions.withColumn("_once", stand_once("prompt", lines)), whole, "choices", {"rendered": _is_once})
 
 
 def candidate_violations(questions: DataFrame) -> DataFrame:
@@ -51,10 +90,16 @@ def candidate_violations(questions: DataFrame) -> DataFrame:
     """
     allele = F.transform("candidates", lambda c: F.struct(c["chrom"].alias("chrom"), c["pos"].alias("pos"), c["ref"].alias("ref"), c["alt"].alias("alt")))
     ids = F.transform("candidates", lambda c: c["candidate_id"])
-    whole = {"unique_ids": F.size(F.array_distinct(ids)) == F.size(ids), "unique_alleles": F.size(F.array_distinct(allele)) == F.size(allele), "sorted": F.array_sort(allele) == allele}
-    finite = lambda c: c["reference_score"].isNotNull() & ~F.isnan(c["reference_score"]) & (F.abs(c["reference_score"]) < float("inf"))
+    inorder = F.sort_array(allele)
+    twins = F.zip_with(inorder, F.slice(inorder, F.lit(2), F.size(inorder)), lambda a, b: a.eqNullSafe(b))  # distinct structs would be found pair by pair
+    whole = {"unique_ids": F.size(F.array_distinct(ids)) == F.size(ids), "unique_alleles": ~F.exists(twins, lambda t: t), "sorted": inorder == allele}
+    finite = lambda c, k: c["reference_score"].isNotNull() & ~F.isnan(c["reference_score"]) & (F.abs(c["reference_score"]) < float("inf"))
     row = lambda c: F.concat_ws("\t", c["chrom"], c["pos"].cast("string"), c["candidate_id"], c["ref"], c["alt"])
-    return _broken(questions, whole, "candidates", {"finite": finite, "rendered": lambda c: occurrences(F.col("prompt"), row(c)) == 1})
+    return _broken(questions.withColumn("_once", stand_once("prompt", F.transform("candidates", row))), whole, "candidates", {"finite": finite, "rendered": _is_once})
+
+
+def _is_once(_part: Column, k: Column) -> Column:
+    return F.get("_once", k)
 
 
 def _broken(df: DataFrame, whole: dict[str, Column], parts: str, each: dict) -> DataFrame:
@@ -63,7 +108,7 @@ def _broken(df: DataFrame, whole: dict[str, Column], parts: str, each: dict) ->
 
     def marked(rule: str, ok) -> Column:
         at = lambda k: F.concat(F.lit(f"{parts}."), k.cast("string")).alias("path")
-        return F.transform(parts, lambda c, k: F.when(~F.coalesce(ok(c), F.lit(False)), F.struct(F.lit(rule).alias("rule"), at(k))))
+        return F.transform(parts, lambda c, k: F.when(~F.coalesce(ok(c, k), F.lit(False)), F.struct(F.lit(rule).alias("rule"), at(k))))
 
     inner = [marked(rule, ok) for rule, ok in each.items()]
     found = F.array_compact(F.concat(F.array(*top), *inner))

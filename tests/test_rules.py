@@ -2,6 +2,8 @@
 
 import gzip
 import json
+import random
+import time
 
 import pytest
 import zstandard
@@ -194,3 +196,23 @@ def test_sampling_digest_of_odd_keys(spark):
     for key in ('a"b', "back\\slash", "tab\t", "é", "plain"):
         expected = hashlib.sha256(json.dumps(["s", "q", 3, key], separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
         assert spark.range(1).select(sampling_digest("s", F.lit("q"), F.lit(3), F.lit(key))).first()[0] == expected
+
+
+def test_rows_of_tables_are_found_in_one_pass(spark):
+    rng = random.Random(3)
+    for _ in range(300):
+        letters = rng.choice(["ab", "a", "aé\U0001f600", "ab\t"])
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        parts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 5))) for _ in range(6)] + [None, text]
+        assert questions._stand_once(text, parts) == [bool(p) and text.count(p) == 1 for p in parts]
+    n = 20_000  # text times rows is 10**10 here
+    rows = [f"chr1\t{k}\tV{k}\tA\tC" for k in range(n)]
+    candidates = [("V%d" % k, "chr1", k, "A", "C", 1.0) for k in range(n)]
+    candidates[7] = candidates[6][:1] + candidates[6][1:5] + (float("nan"),)
+    df = spark.createDataFrame([("q", ";\n".join(rows) + ";", candidates)], "question_id string, prompt string, candidates array<struct<candidate_id string, chrom string, pos long, ref string, alt string, reference_score double>>")
+    began = time.monotonic()
+    found = sorted((r.rule, r.path) for r in questions.candidate_violations(df).collect())
+    assert found == [("finite", "candidates.7"), ("unique_alleles", "<record>"), ("unique_ids", "<record>")]
+    assert time.monotonic() - began < 60
+    none = df.select("question_id", F.lit(None).cast("string").alias("prompt"), F.slice("candidates", 1, 2).alias("candidates"))
+    assert sorted((r.rule, r.path) for r in questions.candidate_violations(none).collect()) == [("rendered", "candidates.0"), ("rendered", "candidates.1")]
