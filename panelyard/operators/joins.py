@@ -46,12 +46,13 @@ def overlap_join(left: DataFrame, right: DataFrame, key: list[str], left_span: t
     return starts_inside.unionByName(begins_later)
 
 
-def overlapping_intervals(intervals: DataFrame, key: list[str], start: str, stop: str) -> DataFrame:
+def overlapping_intervals(intervals: DataFrame, key: list[str], start: str, stop: str, ties: list[str] | None = None) -> DataFrame:
     """Intervals (inclusive ends) that an earlier one of the same key reaches into, with the greatest stop before them as reached.
 
-    A sweep along the starts that carries the greatest stop, so overlaps are found that no point falls into.
+    A sweep along the starts that carries the greatest stop, so overlaps are found that no point falls into.  Equal intervals
+    go by ``ties``; without them any of these may be the earlier one.
     """
-    swept = scans.scanned(intervals, key, [start, stop], before={"reached": F.col(stop)})
+    swept = scans.scanned(intervals, key, [start, stop, *(ties or [])], before={"reached": F.col(stop)})
     return swept.where(F.col("reached") >= F.col(start))
 
 

@@ -130,7 +130,7 @@ r as (select *, max(a + w) over (partition by k order by a, a + w rows between u
 select o_orderkey, reached from r where reached >= a
 """)
 def overlapping_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of orders that an earlier span of their group reaches into, three groups over the whole table."""
+    """Spans of orders that an earlier span of their group reaches into, three groups over the whole table; equal spans go by order."""
     a = F.unix_date(F.to_date("o_orderdate")).cast("long") * 100_000 + F.col("o_orderkey") % 100_000
     spans = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("k"), a.alias("a"), (a + F.col("o_orderkey") % 7 * 40).alias("b"))
-    return joins.overlapping_intervals(spans, ["k"], "a", "b").select("o_orderkey", "reached")
+    return joins.overlapping_intervals(spans, ["k"], "a", "b", ["o_orderkey"]).select("o_orderkey", "reached")

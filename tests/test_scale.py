@@ -191,6 +191,16 @@ def test_overlaps_without_points(spark, narrow_ranges):
     assert sorted(r.i for r in joins.overlapping_intervals(df, ["k"], "a", "b").collect()) == sorted(expected)
 
 
+def test_equal_intervals_go_by_their_ties(spark, tmp_path):
+    from panelyard.plans import QUERIES
+
+    day = "timestamp '1994-01-01'"
+    # orders of one group and day whose keys agree modulo 100000 and 7: equal spans, the least key is the earlier one
+    spark.range(40).selectExpr("(39 - id) * 700000 + 6 as o_orderkey", "3L as o_custkey", f"{day} as o_orderdate").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    out = {r.o_orderkey: r.reached for r in QUERIES["overlapping_intervals"](spark, str(tmp_path)).collect()}
+    assert sorted(out) == [k * 700000 + 6 for k in range(1, 40)] and len(set(out.values())) == 1
+
+
 def test_panels_from_sql_equal_those_of_dataframes(spark):
     from panelyard.functions import tables
 
