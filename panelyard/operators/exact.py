@@ -8,6 +8,7 @@ double, ties to even.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -73,8 +74,8 @@ def exact_sums(df: DataFrame, by: list[str], values: dict[str, Column], spoilt:
     each = df.select(*by, F.posexplode(F.array(*[v.cast("double") for v in values.values()])).alias("_c", "_x"))
     split = each.withColumns(_parts(F.col("_x"))).withColumn("_whole", F.col("_y").cast("long"))
     split = split.withColumn("_rest", ((F.col("_y") - F.col("_whole")) * float(1 << BEHIND)).cast("long"))
-    digits = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(20, 0)")), F.lit(0).cast("decimal(30, 0)"))
-    bins = split.groupBy(*by, "_c", "_bin").agg(digits("_whole").alias("_whole"), digits("_rest").alias("_rest"))
+    summed = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(20, 0)")), F.lit(0).cast("decimal(30, 0)"))
+    bins = split.groupBy(*by, "_c", "_bin").agg(summed("_whole").alias("_whole"), summed("_rest").alias("_rest"))
     held = bins.groupBy(*by).agg(F.collect_list(F.struct("_c", F.col("_bin").alias("bin"), F.col("_whole").alias("whole"), F.col("_rest").alias("rest"))).alias("_held"))
 
     def total(k: int) -> Column:
@@ -89,6 +90,44 @@ def exact_sums(df: DataFrame, by: list[str], values: dict[str, Column], spoilt:
     return held.select(*by, *(total(k).alias(name) for k, name in enumerate(values)))
 
 
+#: A digit of what is behind the point in :func:`digits`, and the size from which values are left to :func:`exact_sums`.
+_DIGIT, _MOST = BEHIND // 2, 2.0**36
+
+
+def digits(value: Column, name: str) -> dict[str, Column]:
+    """A double as whole numbers that plain sums add exactly: ``name`` with _whole, _high and _low (two digits behind the point), or
+    with _odd for a number that has no such form (not finite, 2**36 and more, bits below 2**-54).  See :func:`added`."""
+    x = value.cast("double")
+    whole = F.when(F.abs(x) < _MOST, x).cast("long")
+    behind = (x - whole) * float(1 << BEHIND)
+    rest = behind.cast("long")  # null where the whole part is
+    plain = rest.cast("double") == behind
+    kept = lambda c: F.when(plain, c)
+    return {f"{name}_whole": kept(whole), f"{name}_high": kept(F.shiftright(rest, _DIGIT)), f"{name}_low": kept(rest.bitwiseAND((1 << _DIGIT) - 1)), f"{name}_odd": F.when(x.isNotNull() & ~F.coalesce(plain, F.lit(False)), True)}
+
+
+def added(name: str, over: Callable[[Column], Column] = lambda c: c) -> dict[str, Column]:
+    """Aggregates of the columns of :func:`digits`, under the same names; ``over`` puts them in a window."""
+    return {f"{name}_{d}": over(F.try_sum(f"{name}_{d}")) for d in ("whole", "high", "low")} | {f"{name}_odd": over(F.count(f"{name}_odd"))}
+
+
+def told(name: str) -> Column:
+    """The sum from the columns of :func:`added`, rounded once; null where that isn't sure (odd numbers, no number at all, sums that
+    are too large or too near to zero), which :func:`exact_sums` must add.
+
+    What is behind the point is brought below one and into 53 bits, the last of which also stands for the one that is cut off;
+    far enough from zero that is no tie, so the one addition of doubles rounds as the whole sum would.
+    """
+    mask = F.lit((1 << _DIGIT) - 1).cast("long")
+    high = F.col(f"{name}_high") + F.shiftright(F.col(f"{name}_low"), _DIGIT)
+    whole = F.col(f"{name}_whole") + F.shiftright(high, _DIGIT)
+    rest = F.shiftleft(high.bitwiseAND(mask), _DIGIT).bitwiseOR(F.col(f"{name}_low").bitwiseAND(mask))
+    last = rest.bitwiseAND(F.lit(1).cast("long"))
+    total = F.when(whole.between(-(1 << 53), 1 << 53) & ((last == 0) | ~whole.between(-2, 1)), whole.cast("double") + F.shiftright(rest, 1).bitwiseOR(last).cast("double") * F.lit(2.0 ** (1 - BEHIND)))
+    small = lambda c: F.col(c).between(-(1 << 60), 1 << 60)
+    return F.when((F.col(f"{name}_odd") == 0) & small(f"{name}_whole") & small(f"{name}_high") & small(f"{name}_low"), total)
+
+
 def joined(df: DataFrame, by: list[str], *others: DataFrame) -> DataFrame:
     """``df`` with the other columns of tables that have one row for each ``by``; null keys meet."""
 

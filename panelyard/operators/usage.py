@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.operators import exact, scans
@@ -44,15 +44,44 @@ def execution_metrics(df: DataFrame, by: list[str], tokens: Column, cost: Column
     return exact.joined(counted, by, exact.exact_sums(df, by, {"total_cost": cost}, spoilt=True))
 
 
-def allocate(items: DataFrame, batch: list[str], order: list[str], weight: str, cost: str) -> DataFrame:
+def allocate(items: DataFrame, batch: list[str], order: list[str], weight: str, cost: str, group_rows: int = scans.GROUP_ROWS) -> DataFrame:
     """Splits a batch's cost (the same on all its rows) over its items: adds share.
 
     By weight if every item's is positive, else equally; the last item in ``order`` (a total order) takes what the others
-    leave, their shares added exactly, so shares add up to the cost within its last place.  Batches are summed map side first
-    and their totals joined back, so one batch may hold most rows.
+    leave, their shares added exactly, so shares add up to the cost within its last place.  Batches are counted first: up to
+    ``group_rows`` rows a batch is one window, and only batches whose sums are not sure there are gone over again; if one is larger
+    all are summed map side first and their totals joined back, so one batch may hold most rows.
     """
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
     items = as_table(items, "items")  # gone over several times
+    if (items.groupBy(*batch).count().agg(F.max("count")).first()[0] or 0) > group_rows:
+        return _allocated_apart(items, batch, order, weight, cost)
+    run = Window.partitionBy(*batch).orderBy(*[F.desc(c) for c in order])
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    over = lambda c: c.over(whole)
+    rows = items.repartition(*batch).withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
+    rows = rows.withColumns(exact.digits(F.col("_w"), "_w")).withColumns({"_k": F.row_number().over(run), "_n": over(F.count("*")), "_least": over(F.min("_w")), **exact.added("_w", over)})
+    positive = F.col("_least") > 0
+    own = F.col(cost) * F.when(positive, F.col("_w")).otherwise(F.lit(1.0)) / F.when(positive, exact.told("_w")).otherwise(F.col("_n").cast("double"))
+    rows = rows.select(*items.columns, (F.col("_k") == 1).alias("_end"), own.alias("_share"), (~positive | exact.told("_w").isNotNull()).alias("_sure"))
+    rows = rows.withColumns(exact.digits(F.when(F.col("_end"), 0.0).otherwise(F.col("_share")), "_s")).withColumns(exact.added("_s", over))
+    share = F.when(F.col("_end"), F.col(cost) - exact.told("_s")).otherwise(F.col("_share"))
+    sure = F.col("_sure") & exact.told("_s").isNotNull()  # the same for all of a batch
+    shared = as_table(rows.select(*items.columns, share.alias("share"), sure.alias("_sure")), "shares")
+    unsure = shared.where("not _sure").select(*batch).distinct()
+    done = shared.where("_sure").drop("_sure")
+    if unsure.isEmpty():
+        return done
+    return done.unionByName(_allocated_apart(_within(items, unsure, batch), batch, order, weight, cost))
+
+
+def _within(df: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """Rows whose ``by`` stands among the keys, null with null."""
+    return df.alias("l").join(keys.alias("r"), scans.same("l", "r", by), "left_semi")
+
+
+def _allocated_apart(items: DataFrame, batch: list[str], order: list[str], weight: str, cost: str) -> DataFrame:
+    """:func:`allocate` for batches of any size and any numbers."""
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
     about = items.groupBy(*batch).agg(F.min(w).alias("_least"), F.count("*").cast("double").alias("_n"), F.max(F.struct(*order)).alias("_last"))
     about = exact.joined(about, batch, exact.exact_sums(items, batch, {"_weights": w}))
     part = exact.joined(items, batch, about)

@@ -191,6 +191,35 @@ def test_overlaps_without_points(spark, narrow_ranges):
     assert sorted(r.i for r in joins.overlapping_intervals(df, ["k"], "a", "b").collect()) == sorted(expected)
 
 
+def test_sums_of_digits_are_rounded_once_or_not_told(spark):
+    rng = random.Random(21)
+    kinds = [lambda: rng.random() * 1e5, lambda: rng.gauss(0, 3), lambda: rng.random() / 4, lambda: rng.choice([1e9, -1e9, 0.1, -0.1]), lambda: float(rng.randint(-9, 9)), lambda: rng.choice([0.5, 2.0**-54, -0.5, 2.0]), lambda: rng.choice([1e300, 1e-300, 1.0]), lambda: rng.choice([float("nan"), None, 2.0])]
+    groups = {g: [kinds[g % len(kinds)]() for _ in range(rng.randint(1, 30))] for g in range(400)}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, v double")
+    found = df.withColumns(exact.digits(F.col("v"), "_v")).groupBy("g").agg(*(c.alias(k) for k, c in exact.added("_v").items())).select("g", exact.told("_v").alias("s"))
+    out = {r.g: r.s for r in found.collect()}
+    assert all(out[g] is None or out[g] == math.fsum(v for v in vs if v is not None) for g, vs in groups.items())
+    assert all(out[g] is not None for g in groups if g % len(kinds) in (0, 4))
+    odd = {g for g, vs in groups.items() if any(v is not None and (v != v or abs(v) in (1e300, 1e-300)) for v in vs)}
+    assert all(out[g] is None for g in odd)
+
+
+def test_shares_are_the_same_in_windows_and_apart(spark, monkeypatch):
+    rng = random.Random(22)
+    weights = {0: lambda: float(rng.randint(1, 50)), 1: lambda: rng.choice([0.0, 1.0]), 2: lambda: rng.random() * 1e-30, 3: lambda: rng.choice([1e200, 3.0]), 4: lambda: rng.choice([None, 2.0]), 5: lambda: rng.random()}
+    rows = [(g if g % 11 else None, k, weights[g % 6](), None if g == 13 else g * 97.31 + 0.07) for g in range(1, 60) for k in range(rng.randint(1, 9))]
+    rows = [(*r[:3], 5.25 if r[0] is None else r[3]) for r in rows]
+    rows = [(b, k, w, c) for k, (b, _, w, c) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "b int, k int, w double, cost double").repartition(3)
+    out = {r.k: (r.b, r.share) for r in usage.allocate(df, ["b"], ["k"], "w", "cost").collect()}
+    apart = {r.k: (r.b, r.share) for r in usage.allocate(df, ["b"], ["k"], "w", "cost", group_rows=1).collect()}
+    assert len(out) == len(rows) and out == apart
+    calls = []
+    monkeypatch.setattr(exact, "exact_sums", lambda *a, **k: calls.append(a))
+    plain = usage.allocate(df.where("b % 6 = 0"), ["b"], ["k"], "w", "cost")
+    assert calls == []  # sums of usual amounts are made in the batch's own window
+
+
 def test_equal_intervals_go_by_their_ties(spark, tmp_path):
     from panelyard.plans import QUERIES
 
