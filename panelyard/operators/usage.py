@@ -107,14 +107,19 @@ def ledger_violations(shares: DataFrame, batch: list[str], share: str, cost: str
 
     The shares' exact sum may differ from the receipt by one unit in the last place of the larger, however many they are.
     """
-    g = shares.groupBy(*batch).agg(F.min(cost).alias("_lo"), F.max(cost).alias("_hi"), F.min(share).alias("_least"))
-    g = exact.joined(g, batch, exact.exact_sums(shares, batch, {"_sum": F.col(share)}))
+    g = shares.withColumns(exact.digits(F.col(share), "_s")).groupBy(*batch).agg(F.min(cost).alias("_lo"), F.max(cost).alias("_hi"), F.min(share).alias("_least"), *(c.alias(k) for k, c in exact.added("_s").items()))
+    g = as_table(g.select(*batch, "_lo", "_hi", "_least", exact.told("_s").alias("_sum")), "ledger")
+    unsure = g.where("_sum is null").drop("_sum")
+    if not unsure.isEmpty():
+        sums = exact.exact_sums(_within(shares, unsure.select(*batch), batch), batch, {"_sum": F.col(share)})
+        g = g.where("_sum is not null").unionByName(exact.joined(unsure, batch, sums))
     near = F.greatest(ulp(F.col("_sum")), ulp(F.col("_hi")))
     rules = {"receipts_differ": F.col("_lo") != F.col("_hi"), "negative_share": F.col("_least") < -near, "total_differs": F.abs(F.col("_sum") - F.col("_hi")) > near}
     out = g.select(*batch, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))).alias("rule"))
     if members is not None and item is not None:
         keys = [*batch, item]
-        odd = shares.select(*keys).exceptAll(members.select(*keys)).union(members.select(*keys).exceptAll(shares.select(*keys)))
+        counted = shares.select(*keys).withColumn("_n", F.lit(1)).union(members.select(*keys).withColumn("_n", F.lit(-1)))
+        odd = counted.groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n <> 0")
         out = out.union(odd.select(*batch).distinct().withColumn("rule", F.lit("members_differ")))
     return out
 

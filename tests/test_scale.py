@@ -217,6 +217,7 @@ def test_shares_are_the_same_in_windows_and_apart(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(exact, "exact_sums", lambda *a, **k: calls.append(a))
     plain = usage.allocate(df.where("b % 6 = 0"), ["b"], ["k"], "w", "cost")
+    assert usage.ledger_violations(plain, ["b"], "share", "cost", df.where("b % 6 = 0"), "k").count() == 0
     assert calls == []  # sums of usual amounts are made in the batch's own window
 
 
