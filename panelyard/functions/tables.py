@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
@@ -27,7 +27,8 @@ class PanelScores:
     """``panel_scores(rows => TABLE(t) PARTITION BY (...), panel => 'column', prediction => 'column', reference => 'column')``
 
     One row a partition: the panel's column with the type that it has in the table, n, spearman_rho and pearson_r over the rows
-    that hold a finite number on both sides; no row for a partition without any.  Other columns may be there.
+    that hold a finite number on both sides; no row for a partition without any.  Other columns may be there.  A row whose
+    prediction and reference are arrays of one length stands for as many rows (:func:`packed` makes such).
     """
 
     @staticmethod
@@ -46,9 +47,11 @@ class PanelScores:
 
     def eval(self, rows, panel: str, prediction: str, reference: str):
         self.panel = rows[panel]
-        pair = finite(rows[prediction]), finite(rows[reference])
-        if None not in pair:
-            self.pairs.append(pair)
+        p, r = rows[prediction], rows[reference]
+        if not (isinstance(p, list) and isinstance(r, list)):
+            p, r = [p], [r]
+        pairs = ((finite(a), finite(b)) for a, b in zip(p, r, strict=True))
+        self.pairs.extend(pair for pair in pairs if None not in pair)
 
     def terminate(self):
         if self.pairs:
@@ -56,5 +59,17 @@ class PanelScores:
             yield self.panel, len(x), pearson(mean_ranks(x), mean_ranks(y)), pearson(x, y)
 
 
+#: Rows of a panel that :func:`packed` puts in one.
+PACK_ROWS = 1000
+
+
+def packed(df: DataFrame, panel: str, prediction: str, reference: str, most: int = PACK_ROWS) -> DataFrame:
+    """A panel's rows put together, ``most`` in one with arrays of predictions and references: a table function in Python is called
+    for each row, which costs more than the row's own work."""
+    place = F.row_number().over(Window.partitionBy(panel).orderBy(F.lit(1)))
+    blocks = df.select(panel, prediction, reference, F.floor((place - 1) / most).alias("_block")).groupBy(panel, "_block").agg(F.collect_list(F.struct(F.col(prediction).alias("p"), F.col(reference).alias("r"))).alias("_pairs"))
+    return blocks.select(panel, F.col("_pairs.p").alias(prediction), F.col("_pairs.r").alias(reference))
+
+
 def register(spark: SparkSession) -> None:
     spark.udtf.register("panel_scores", PanelScores)

@@ -30,9 +30,9 @@ with base as (select l_partkey as g, l_quantity as p, l_discount as r from linei
 select g as l_partkey, n, round(spearman, 6) as spearman_rho, round(pearson, 6) as pearson_r from c
 """)
 def panel_scores_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panels scored from SQL, by the table function."""
+    """Panels scored from SQL, by the table function, which takes many lines of a panel in one row."""
     tables.register(spark)
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_discount")
+    rows = tables.packed(table(spark, sf_dir, "lineitem"), "l_partkey", "l_quantity", "l_discount")
     found = spark.sql("select * from panel_scores(rows => table({rows}) partition by l_partkey, panel => 'l_partkey', prediction => 'l_quantity', reference => 'l_discount')", rows=rows)
     return found.select("l_partkey", "n", r6("spearman_rho"), r6("pearson_r"))
 

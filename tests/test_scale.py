@@ -244,3 +244,18 @@ def test_panels_from_sql_equal_those_of_dataframes(spark):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, map(tuple, stats.panel_correlations(df.select("g", "p", "r"), ["g"], "p", "r").collect())))
     with pytest.raises(Exception, match="not a column of the table"):
         spark.sql("select * from panel_scores(rows => table(panel_rows) partition by g, panel => 'h', prediction => 'p', reference => 'r')").collect()
+
+
+def test_packed_panels_from_sql(spark):
+    from panelyard.functions import tables
+
+    tables.register(spark)
+    rng = random.Random(13)
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, float("nan"), float(rng.randint(0, 9))]), rng.choice([None, rng.random()])) for _ in range(300)] + [(3, None, 1.0)]
+    df = spark.createDataFrame(rows, "g int, p double, r double").repartition(3)
+    call = "select * from panel_scores(rows => table({rows}) partition by g, panel => 'g', prediction => 'p', reference => 'r')"
+    whole = sorted(map(repr, map(tuple, spark.sql(call, rows=df).collect())))
+    for most in (1, 7, 1000):
+        packs = tables.packed(df, "g", "p", "r", most)
+        assert packs.selectExpr("max(size(p))").first()[0] <= most and packs.selectExpr("sum(size(p))").first()[0] == len(rows)
+        assert sorted(map(repr, map(tuple, spark.sql(call, rows=packs).collect()))) == whole
