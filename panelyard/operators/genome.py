@@ -57,7 +57,8 @@ def transcript_alleles(changes: DataFrame, text: str, transcripts: DataFrame, ch
     are not such a change, unknown transcripts, spans outside the genome and bases that do not stand there.  chunks: chrom,
     chunk_start, seq as :func:`readers.read_fasta_chunks` gives them; they are read several times.
     """
-    rows = as_table(changes.withColumn("_row", F.monotonically_increasing_id()).withColumn("_p", sequence.transcript_parts(F.col(text))), "changes")
+    dealt = changes.repartition(changes.sparkSession.sparkContext.defaultParallelism)  # a small file is one task, and all that follows too
+    rows = as_table(dealt.withColumn("_row", F.monotonically_increasing_id()).withColumn("_p", sequence.transcript_parts(F.col(text))), "changes")
     named = rows.select("_row", "_p").join(transcript_index(transcripts).withColumnRenamed("id", "_id"), F.col("_p.id") == F.col("_id"), "left")
     coding = F.col("_p.kind") == "c"
     first, last = (F.when(coding, _located(F.col(f"_p.{side}"))).when(~F.col(f"_p.{side}.after_stop") & (F.col(f"_p.{side}.offset") == 0), F.col(f"_p.{side}.n")) for side in ("first", "last"))

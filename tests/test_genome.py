@@ -128,3 +128,18 @@ def test_dna_ends_where_the_text_does(spark):
     df = spark.createDataFrame([("ACGT",), ("ACGT\n",), ("",), (None,)], "s string")
     assert [r[0] for r in df.select(sequence.is_dna(F.col("s"))).collect()] == [True, False, False, False]
     assert df.limit(1).select(sequence.hgvs_allele(F.lit("ACGTACGT"), F.lit("c.5del"))).first()[0] is None
+
+
+def test_pattern_of_changes_is_matched_once(spark):
+    texts = ["T1:c.5A>C", "T1.2(G):c.-3_*4delAinsGG", "NC_1:g.1_2insac", "T:c.5+1_6-2dup", "T:c.5delinsT", "T:c.5", "T:c.5insA\n", "T(a\nb):c.7del", "", None, "p.Val5Gly", "\nT:c.5A>C"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(sequence.transcript_parts(F.col("t")).alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_") == 1
+    flat = [None if (p := r.p) is None else (p.id, p.kind, tuple(p.first), tuple(p.last), p.type, p.ref, p.alt) for r in df.collect()]
+    assert flat == [
+        ("T1", "c", (False, 5, 0), (False, 5, 0), ">", "A", "C"),
+        ("T1.2", "c", (False, -3, 0), (True, 4, 0), "delins", "A", "GG"),
+        ("NC_1", "g", (False, 1, 0), (False, 2, 0), "ins", None, "AC"),
+        ("T", "c", (False, 5, 1), (False, 6, -2), "dup", None, None),
+        ("T", "c", (False, 5, 0), (False, 5, 0), "delins", None, "T"),
+        None, None, ("T", "c", (False, 7, 0), (False, 7, 0), "del", None, None), None, None, None, None,
+    ]
